@@ -90,7 +90,29 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "WHEN 'error' THEN 'unsubscribe' WHEN 'click' THEN 'manage' "
             "ELSE 'resend_confirmation' END AS action",
             "CASE WHEN event_id % 2 = 0 THEN 'simple' ELSE 'normal' END AS mode",
-            "concat(event_type, ',', ' k', CAST(event_id % 5 AS STRING)) AS keywords_text",
+            "concat(event_type, '，', ' k', CAST(event_id % 5 AS STRING), ',, ', CAST(value AS STRING), ',d') AS keywords_text",
+            "concat('t', CAST(event_id % 2 AS STRING)) AS token",
+            "event_id % 7 <> 0 AS mail_ok",
+        ],
+    ),
+    # Guarded updates of the subscriber table.
+    "changes": (
+        "events",
+        [
+            "event_id AS change_id",
+            f"lower({EMAIL.format(id='user_id')}) AS email",
+            "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'active' END AS if_status",
+            "CASE event_type WHEN 'click' THEN 'manage_token' WHEN 'error' THEN 'unsubscribe_token' END AS token_kind",
+            "CASE event_type WHEN 'click' THEN concat('m', CAST(user_id - event_id % 3 AS STRING)) "
+            "WHEN 'error' THEN concat('u', CAST(user_id AS STRING), '&x') END AS if_token",
+            "CASE WHEN event_type IN ('click', 'signup') THEN 'simple' END AS new_mode",
+            "CASE WHEN event_type = 'click' THEN '[\"new\"]' END AS new_keywords_json",
+            "CASE event_type WHEN 'error' THEN 'unsubscribed' WHEN 'purchase' THEN 'pending' END AS new_status",
+            "CASE WHEN event_type = 'purchase' THEN concat('c', CAST(event_id AS STRING), '!') END AS new_confirm_token",
+            "CAST(NULL AS STRING) AS new_unsubscribe_token",
+            "CASE WHEN event_type = 'purchase' THEN concat('m', CAST(event_id AS STRING), '!') END AS new_manage_token",
+            "CASE WHEN event_type = 'view' THEN CAST(ts AS TIMESTAMP) END AS new_confirmed_at",
+            "event_type = 'purchase' AS clear_confirmed",
         ],
     ),
     "subscribers": (
