@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.text import clip, json_quote, strip
+from gazette.operators.common import once
 from gazette.schemas import PAYLOAD
 
 # List and text limits of a payload.
@@ -31,20 +32,18 @@ def answer_text(content: Column) -> Column:
     )
 
 
-def extract_answer(answers: DataFrame, content: str = "content", out: str = "doc") -> DataFrame:
-    """Adds `out`, the answer as VARIANT; null when the answer holds no JSON object.
+def extract_answer(answers: DataFrame, content: str = "content") -> DataFrame:
+    """Adds `doc`, the answer as VARIANT; null when the answer holds no JSON object.
 
     The fenced (or whole) text is tried first, then its part from the first `{` to the last `}`.
     """
-    raw = F.col("_raw")
+    raw, whole = F.col("_raw"), F.col("_whole")
+    read = once(answers, _raw=answer_text(F.col(content)))
+    read = once(read, _whole=F.try_parse_json(raw))
     braces = F.regexp_extract(raw, r"(\{[\s\S]*\})", 1)
-    return (
-        answers.withColumn("_raw", answer_text(F.col(content)))
-        .withColumn("_whole", F.try_parse_json(raw))
-        .withColumn("_doc", F.coalesce(F.col("_whole"), F.try_parse_json(braces)))
-        .withColumn(out, F.when(is_object(F.col("_doc")), F.col("_doc")))
-        .drop("_raw", "_whole", "_doc")
-    )
+    read = once(read, _doc=F.when(whole.isNull(), F.try_parse_json(braces)).otherwise(whole))
+    found = F.when(is_object(F.col("_doc")), F.col("_doc"))
+    return read.withColumn("doc", found).drop("_raw", "_whole", "_doc")
 
 
 def is_object(v: Column) -> Column:

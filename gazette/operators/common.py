@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that cost much to work out, in a form no later filter can repeat.
+
+    Spark moves filters below projections by copying the projected expressions into them; it does
+    not move them below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 def first_per(df: DataFrame, keys: list[Column | str], order: list[Column], most: int = 1, rank: str | None = None) -> DataFrame:
     """The first `most` rows of each key.
 
