@@ -56,7 +56,10 @@ def lookup(requests: DataFrame, subscribers: DataFrame, key: str) -> DataFrame:
     clash = [c for c in known.columns if c != key and c in requests.columns]
     for c in clash:
         known = known.withColumnRenamed(c, f"subscriber_{c}")
-    return salted_join(requests, known, [key], "inner", [c for c in requests.columns if c != key])
+    spread = [c for c in requests.columns if c != key]
+    if not spread:
+        return requests.join(known, key)
+    return salted_join(requests, known, [key], "inner", spread)
 
 
 def duplicate_tokens(subscribers: DataFrame, token: str) -> DataFrame:

@@ -32,12 +32,16 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return build
 
     return add
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_views(sql) for name, sql in ORACLES.items()}
+
+
 def with_views(sql: str) -> str:
     """`sql` with a WITH clause for every `v_...` name it uses."""
     known = {f"v_{n}": text for n, text in fixtures.ctes().items()} | {

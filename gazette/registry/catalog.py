@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gazette.registry import digests, ingest, people  # noqa: F401
-from gazette.registry.base import ORACLES, QUERIES
+from gazette.registry import digests, histories, ingest, people  # noqa: F401
+from gazette.registry.base import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

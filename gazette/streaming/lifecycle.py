@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gazette.schemas import ACTIVE, MODES, PENDING, UNSUBSCRIBED
-from gazette.streaming.runs import newest_version
+from gazette.streaming.runs import newest_version, read_batches, run_batches, start_table, write_batch
 
 STATE = (
     "status string, mode string, keywords string, confirmed_at long, token string, "
@@ -124,9 +124,16 @@ def metric_changes(states: DataFrame) -> DataFrame:
     )
 
 
-def metrics_after(changes: DataFrame, batch_id: int | None = None) -> DataFrame:
-    """The metrics after a batch (the last one by default): the sum of the changes up to it."""
-    rows = changes if batch_id is None else changes.filter(F.col("batch_id") <= batch_id)
-    return rows.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "active_confirmed", "pending", "unsubscribed")]
+def metrics_stream(states: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Audience metrics kept up while states arrive; returns them after the last batch.
+
+    Each batch adds one row of changes under `path`, so a batch costs what it brings, not what the
+    audience holds. The metrics after any batch are the sum of the rows up to it.
+    """
+    shape = metric_changes(states.sparkSession.createDataFrame([], states.schema))
+    start_table(shape, path)
+    run_batches(
+        states, lambda rows, batch_id: write_batch(metric_changes(rows), batch_id, path), checkpoint, "update"
     )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in shape.columns]
+    return read_batches(shape, path).agg(*sums)
