@@ -17,19 +17,18 @@ TERM_LENGTH, EXPLAIN_LENGTH = 64, 120
 # Headings of the stored texts.
 TOP3_HEADING = "## 本周 AI 热点排行（Top3）"
 
-# How an empty, zero or false JSON value prints.
-FALSY_PRINTS = ["0", "0.0", "-0.0", "0E0", "false", "{}", "[]"]
+# JSON texts of the values that count as false.
+FALSY = ['""', "null", "false", "0", "0.0", "-0.0", "0E0", "[]", "{}"]
 
-FENCE = r"(?iU)```(?:json)?\s*([\s\S]*?)\s*```"
+FENCE = "```"
 
 
-def answer_text(content: Column) -> Column:
-    """The inside of the first fenced block, else the whole text."""
-    return strip(
-        F.when(F.regexp_like(content, F.lit(FENCE)), F.regexp_extract(content, FENCE, 1)).otherwise(
-            content
-        )
-    )
+def answer_text(parts: Column) -> Column:
+    """The inside of the first fenced block, else the whole text; `parts` is the text cut at fences."""
+    inside = F.get(parts, F.lit(1))
+    named = F.lower(F.substring(inside, 1, 4)) == "json"
+    block = F.when(named, F.substr(inside, F.lit(5))).otherwise(inside)
+    return strip(F.when(F.size(parts) > 2, block).otherwise(F.array_join(parts, FENCE)))
 
 
 def extract_answer(answers: DataFrame, content: str = "content") -> DataFrame:
@@ -38,36 +37,38 @@ def extract_answer(answers: DataFrame, content: str = "content") -> DataFrame:
     The fenced (or whole) text is tried first, then its part from the first `{` to the last `}`.
     """
     raw, whole = F.col("_raw"), F.col("_whole")
-    read = once(answers, _raw=answer_text(F.col(content)))
+    read = once(answers, _parts=F.split(content, FENCE))
+    read = once(read, _raw=answer_text(F.col("_parts"))).drop("_parts")
     read = once(read, _whole=F.try_parse_json(raw))
     braces = F.regexp_extract(raw, r"(\{[\s\S]*\})", 1)
-    read = once(read, _doc=F.when(whole.isNull(), F.try_parse_json(braces)).otherwise(whole))
-    found = F.when(is_object(F.col("_doc")), F.col("_doc"))
-    return read.withColumn("doc", found).drop("_raw", "_whole", "_doc")
+    found = F.when(whole.isNull(), F.try_parse_json(braces)).when(F.startswith(raw, F.lit("{")), whole)
+    return once(read, doc=found).drop("_raw", "_whole")
 
 
 def is_object(v: Column) -> Column:
-    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    return F.startswith(F.to_json(v), F.lit("{"))
 
 
-def truthy(v: Column) -> Column:
-    printed = v.cast("string")
-    is_text = F.schema_of_variant(v) == "STRING"
-    return F.coalesce(
-        F.when(is_text, printed != "").otherwise(~printed.isin(FALSY_PRINTS)), F.lit(False)
-    )
+def truthy(json: Column) -> Column:
+    """Whether a value, given as JSON text, counts as true; an absent one does not."""
+    return F.coalesce(~json.isin(FALSY), F.lit(False))
 
 
-def printed(v: Column) -> Column:
-    """A present JSON value as text: null is `None`, booleans are capitalised; absent is empty."""
+def printed(v: Column, json: Column) -> Column:
+    """A JSON value as text: null is `None`, booleans are capitalised, absent is empty."""
     return (
-        F.when(v.isNull(), F.lit(""))
-        .when(F.is_variant_null(v), F.lit("None"))
-        .when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(v.cast("string")))
+        F.when(json.isNull(), F.lit(""))
+        .when(json == "null", F.lit("None"))
+        .when(json.isin("true", "false"), F.initcap(json))
         .otherwise(v.cast("string"))
     )
 
 
+def _printed_at(v: Column, path: str) -> Column:
+    value = _get(v, path)
+    return printed(value, F.to_json(value))
+
+
 def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -77,37 +78,42 @@ def _links(items: Column, label: str, label_length: int, most: int, passes: int)
 
     A second pass finds the bare strings without a url and drops them, after they were counted.
     """
-    parts = F.transform(
-        items,
-        lambda v: F.struct(
-            F.schema_of_variant(v).alias("kind"),
-            v.alias("whole"),
-            _get(v, f"$.{label}").alias("label"),
-            _get(v, "$.url").alias("url"),
-        ),
-    )
+    def found(v: Column) -> Column:
+        return F.struct(
+            v.alias("whole"), _get(v, f"$.{label}").alias("text"), _get(v, "$.url").alias("url")
+        )
+
+    def part(p: Column) -> Column:
+        absent = p["text"].isNull() & p["url"].isNull()
+        return F.struct(
+            p["whole"].cast("string").alias("whole"),
+            (absent & F.startswith(F.to_json(p["whole"]), F.lit('"'))).alias("bare"),
+            p["text"].cast("string").alias("text"),
+            F.to_json(p["text"]).alias("text_json"),
+            p["url"].cast("string").alias("url"),
+            F.to_json(p["url"]).alias("url_json"),
+        )
+
     kept = F.filter(
-        parts,
-        lambda p: F.when(p["kind"] == "STRING", strip(p["whole"].cast("string")) != "").otherwise(
-            truthy(p["label"]) & truthy(p["url"])
+        F.transform(F.transform(items, found), part),
+        lambda p: F.when(p["bare"], strip(p["whole"]) != "").otherwise(
+            truthy(p["text_json"]) & truthy(p["url_json"])
         ),
     )
     cut = F.transform(
         F.slice(kept, 1, most),
         lambda p: F.struct(
             clip(
-                F.when(p["kind"] == "STRING", strip(p["whole"].cast("string"))).otherwise(
-                    printed(p["label"])
-                ),
+                F.when(p["bare"], strip(p["whole"])).otherwise(printed(p["text"], p["text_json"])),
                 label_length,
             ).alias(label),
-            F.when(p["kind"] == "STRING", F.lit(""))
-            .otherwise(clip(printed(p["url"]), URL_LENGTH))
+            F.when(p["bare"], F.lit(""))
+            .otherwise(clip(printed(p["url"], p["url_json"]), URL_LENGTH))
             .alias("url"),
         ),
     )
-    once = F.coalesce(cut, F.array().cast(f"array<struct<{label}: string, url: string>>"))
-    return once if passes == 1 else F.filter(once, lambda p: p["url"] != "")
+    once_cleaned = F.coalesce(cut, F.array().cast(f"array<struct<{label}: string, url: string>>"))
+    return once_cleaned if passes == 1 else F.filter(once_cleaned, lambda p: p["url"] != "")
 
 
 def payload_lines(doc: Column, passes: int = 2) -> Column:
@@ -124,8 +130,8 @@ def payload_sections(doc: Column) -> Column:
         F.transform(
             objects,
             lambda v: F.struct(
-                printed(_get(v, "$.title")).alias("title"),
-                printed(_get(v, "$.paragraph")).alias("paragraph"),
+                _printed_at(v, "$.title").alias("title"),
+                _printed_at(v, "$.paragraph").alias("paragraph"),
             ),
         ),
         F.array().cast("array<struct<title: string, paragraph: string>>"),
@@ -134,14 +140,14 @@ def payload_sections(doc: Column) -> Column:
 
 def payload_glossary(doc: Column) -> Column:
     terms = F.filter(
-        _get(doc, "$.glossary", "array<variant>"), lambda v: truthy(_get(v, "$.term"))
+        _get(doc, "$.glossary", "array<variant>"), lambda v: truthy(F.to_json(_get(v, "$.term")))
     )
     return F.coalesce(
         F.transform(
             terms,
             lambda v: F.struct(
-                clip(printed(_get(v, "$.term")), TERM_LENGTH).alias("term"),
-                clip(printed(_get(v, "$.explain")), EXPLAIN_LENGTH).alias("explain"),
+                clip(_printed_at(v, "$.term"), TERM_LENGTH).alias("term"),
+                clip(_printed_at(v, "$.explain"), EXPLAIN_LENGTH).alias("explain"),
             ),
         ),
         F.array().cast("array<struct<term: string, explain: string>>"),
@@ -150,7 +156,8 @@ def payload_glossary(doc: Column) -> Column:
 
 def payload_footer(doc: Column) -> Column:
     footer = _get(doc, "$.simple.footer")
-    return F.when(truthy(footer), printed(footer)).otherwise(F.lit(""))
+    json = F.to_json(footer)
+    return F.when(truthy(json), printed(footer, json)).otherwise(F.lit(""))
 
 
 def normalize_payload(doc: Column, passes: int = 2) -> Column:

@@ -50,9 +50,10 @@ def newest(subscribers: DataFrame, key: Column | str) -> DataFrame:
 def lookup(requests: DataFrame, subscribers: DataFrame, key: str) -> DataFrame:
     """Each request row with the newest subscriber that has its `key`; unknown keys drop out.
 
-    Many requests may ask for one key, so they are spread.
+    Only subscribers that are asked for go on; many requests may ask for one key, so they are spread.
     """
-    known = newest(subscribers, key)
+    asked = requests.select(key).distinct()
+    known = newest(subscribers.join(asked, key, "left_semi"), key)
     clash = [c for c in known.columns if c != key and c in requests.columns]
     for c in clash:
         known = known.withColumnRenamed(c, f"subscriber_{c}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions.keys import entry_key, heat_score
 from gazette.functions.text import clean
-from gazette.operators.common import first_per
+from gazette.operators.common import first_per, once
 
 # Limits of a weekly issue; each is a parameter of its operator.
 PER_FEED, PER_ISSUE = 15, 80
@@ -50,11 +50,14 @@ def with_heat(entries: DataFrame) -> DataFrame:
 
 
 def clean_entries(entries: DataFrame) -> DataFrame:
-    return (
-        entries.withColumn("title", clean(F.col("title"), TITLE_LENGTH))
-        .withColumn("summary", clean(F.col("summary"), SUMMARY_LENGTH))
-        .withColumn("link", clean(F.col("link"), LINK_LENGTH))
+    """Title, summary and link stripped and cut. Title and link, which later filters and keys use,
+    are worked out once; the summary only where it is read."""
+    cleaned = once(
+        entries.withColumnsRenamed({"title": "_title", "link": "_link"}),
+        title=clean(F.col("_title"), TITLE_LENGTH),
+        link=clean(F.col("_link"), LINK_LENGTH),
     )
+    return cleaned.withColumn("summary", clean(F.col("summary"), SUMMARY_LENGTH)).drop("_title", "_link")
 
 
 def drop_blank(cleaned: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def _split(actions: DataFrame, gather_limit: int) -> tuple[DataFrame, DataFrame]
     is more, so there are at most `LONG_HISTORIES` long ones to broadcast.
     """
     counts = actions.groupBy("email").agg(F.count("*").alias("n"))
-    share = F.ceil(counts.agg(F.sum("n")).scalar() / LONG_HISTORIES)
+    share = F.ceil(actions.agg(F.count("*")).scalar() / LONG_HISTORIES)
     long = F.broadcast(
         counts.filter(F.col("n") > F.greatest(F.lit(gather_limit).cast("long"), share)).select("email")
     )

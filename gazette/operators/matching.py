@@ -80,13 +80,17 @@ def keyword_sets(subscribers: DataFrame) -> DataFrame:
     )
 
 
-def matches_per_set(sets: DataFrame, matches: DataFrame, items: DataFrame, item_id: str) -> DataFrame:
-    """How many items of each issue and section a keyword list finds; an item counts once per list."""
-    words = sets.select("set_key", F.explode("keywords").alias("keyword"))
-    found = matches.join(words, "keyword").select("set_key", "item_id").distinct()
+def sections_per_set(sets: DataFrame, matches: DataFrame, items: DataFrame, item_id: str) -> DataFrame:
+    """The issue sections in which a keyword list finds something: `set_key, issue_id, section`.
+
+    Matches are first cut down to one row per keyword and section, so a keyword found in very many
+    items, or asked for by very many lists, does not pair them all.
+    """
     placed = items.select(F.col(item_id).alias("item_id"), "issue_id", "section")
+    found = matches.join(placed, "item_id").select("keyword", "issue_id", "section").distinct()
+    words = sets.select("set_key", F.explode("keywords").alias("keyword"))
     return (
-        found.join(placed, "item_id")
-        .groupBy("set_key", "issue_id", "section")
-        .agg(F.count("*").alias("n_items"))
+        salted_join(words, found, ["keyword"], "inner", ["set_key"])
+        .select("set_key", "issue_id", "section")
+        .distinct()
     )

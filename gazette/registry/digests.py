@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.functions import keys as KEYS
+from gazette.functions import keys
 from gazette.functions import payload as P
 from gazette.functions import render as R
 from gazette.functions.keywords import keywords_parse
@@ -17,8 +17,9 @@ from gazette.plans import mailings, weekly_issue
 from gazette.registry import people  # noqa: F401  (its SQL steps are used here)
 from gazette.registry.base import STEPS, query, rows_text, sql_rows_text, sql_strip, sql_time, time_text
 from gazette.registry.fixtures import issues, table, view
+from gazette.schemas import WEEKLY_ISSUES
 from gazette.session import shared_dir
-from gazette.sources.tables import append_log, read_table
+from gazette.sources.tables import append_log, read_table, write_log, write_snapshot
 
 URL = "https://digest.example.org/"
 PERIOD = "1997-06-30"
@@ -215,13 +216,16 @@ def _payloads(spark, sf):
 
 
 def _store(spark, sf):
-    """The issue table after a build of all periods, each ready at half past midnight."""
+    """The issue table as a build of all periods leaves it, each ready at half past midnight."""
     drafts = _with_texts(issues(spark, sf).withColumn("status", F.lit("draft")))
     periods = issues(spark, sf).select(
         F.col("id").alias("issue_id"), "period_start", F.lit(True).alias("has_items")
     )
     ready_at = F.col("period_start").cast("timestamp") + F.expr("INTERVAL '30' MINUTE")
-    return weekly_issue.build_issues(drafts, periods, view(spark, sf, "answers"), ready_at)
+    built = weekly_issue.build_issues(drafts, periods, view(spark, sf, "answers"), ready_at)
+    path = shared_dir(spark, "issues")
+    write_snapshot(built, path)
+    return read_table(spark, path, WEEKLY_ISSUES)
 
 
 def _with_texts(store):
@@ -391,14 +395,14 @@ def digest_filter(spark, sf):
 
 @query("issue_key", """SELECT id, CASE WHEN id % 3 = 0 THEN CAST(period_start AS VARCHAR)
     WHEN ready_at IS NOT NULL THEN strftime(ready_at, '%Y-%m-%dT%H:%M:%S') ELSE 'unknown' END AS issue_key FROM v_issues""")
-def issue_key(spark, sf):
+def issue_key_(spark, sf):
     period = F.when(F.col("id") % 3 == 0, F.col("period_start"))
-    return issues(spark, sf).select("id", KEYS.issue_key(period, F.col("ready_at")).alias("issue_key"))
+    return issues(spark, sf).select("id", keys.issue_key(period, F.col("ready_at")).alias("issue_key"))
 
 
 @query("delivery_key", """SELECT id, 'weekly:1997-06-30:' || substr(sha256(lower(email)), 1, 16) AS kind FROM v_subscribers""")
-def delivery_key(spark, sf):
-    key = KEYS.delivery_key(F.lit("weekly:1997-06-30"), F.concat(F.lit("  "), F.col("email"), F.lit("\t")))
+def delivery_key_(spark, sf):
+    key = keys.delivery_key(F.lit("weekly:1997-06-30"), F.concat(F.lit("  "), F.col("email"), F.lit("\t")))
     return view(spark, sf, "subscribers").select("id", key.alias("kind"))
 
 
@@ -406,9 +410,9 @@ def delivery_key(spark, sf):
     "period_monday",
     "SELECT event_id, CAST(CAST(date_trunc('week', ts + INTERVAL '8' HOUR) AS DATE) AS VARCHAR) AS period_start FROM events",
 )
-def period_monday(spark, sf):
+def period_monday_(spark, sf):
     rows = table(spark, sf, "events")
-    period = KEYS.period_monday(F.col("ts").cast("timestamp"))
+    period = keys.period_monday(F.col("ts").cast("timestamp"))
     return rows.select("event_id", period.cast("string").alias("period_start"))
 
 
@@ -547,7 +551,7 @@ def manual_resend_plan(spark, sf):
 def send_log_append(spark, sf):
     path = shared_dir(spark, "send_log")
     log = view(spark, sf, "send_log")
-    log.select("subscriber_id", "issue_id", "kind", "sent_at").write.partitionBy("issue_id").parquet(path)
+    write_log(log.select("subscriber_id", "issue_id", "kind", "sent_at"), path)
     shape = "subscriber_id long, kind string, sent_at timestamp, issue_id long"
     plan = mailings.weekly_delivery(
         view(spark, sf, "subscribers"), _store(spark, sf), read_table(spark, path, shape),

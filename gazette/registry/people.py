@@ -358,11 +358,11 @@ def keyword_item_match(spark, sf):
 
 @query(
     "keyword_set_match",
-    """SELECT set_key, issue_id, section, count(DISTINCT item_id) AS n_items FROM (
+    """SELECT DISTINCT set_key, issue_id, section FROM (
       SELECT DISTINCT array_to_string(list_sort(list_distinct(kws)), chr(10)) AS set_key, unnest(kws) AS keyword FROM v_lower_words) s
-    JOIN v_matches m USING (keyword) GROUP BY set_key, issue_id, section""",
+    JOIN v_matches m USING (keyword)""",
 )
 def keyword_set_match(spark, sf):
     people, items = _subscribers(spark, sf), view(spark, sf, "issue_items")
     found = M.keyword_matches(M.distinct_keywords(people), items, "item_id", "content")
-    return M.matches_per_set(M.keyword_sets(people), found, items, "item_id")
+    return M.sections_per_set(M.keyword_sets(people), found, items, "item_id")

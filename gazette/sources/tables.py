@@ -36,9 +36,14 @@ def replace_issue_items(items: DataFrame, path: str) -> None:
     )
 
 
+def write_log(rows: DataFrame, path: str) -> None:
+    """Adds log rows, stored by issue; small issues make one file and a large one is split."""
+    rows.hint("rebalance", "issue_id").write.mode("append").partitionBy("issue_id").parquet(path)
+
+
 def append_log(plan: DataFrame, path: str, sent_at: str | None = None) -> None:
-    """Adds one log row per planned delivery, stored by issue."""
-    log_rows(plan, sent_at).write.mode("append").partitionBy("issue_id").parquet(path)
+    """Adds one log row per planned delivery."""
+    write_log(log_rows(plan, sent_at), path)
 
 
 def log_rows(plan: DataFrame, sent_at: str | None = None) -> DataFrame:
