@@ -107,7 +107,8 @@ def subscribers_page(
     if keyword_after_page:
         page = page.filter(fits)
     ids = F.broadcast(page.select(F.col("id").alias("subscriber_id")))
-    return admin_row(with_sends(page, send_log.join(ids, "subscriber_id", "left_semi")))
+    rows = with_sends(page, send_log.join(ids, "subscriber_id", "left_semi"))
+    return admin_row(rows.orderBy(F.desc("created_at"), "id"))
 
 
 def subscriber_detail(ids: DataFrame, subscribers: DataFrame, send_log: DataFrame) -> DataFrame:

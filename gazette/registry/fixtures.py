@@ -165,12 +165,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         [
             "p_partkey AS response_id",
             f"{BRAND} AS issue_id",
-            f"""CASE p_partkey % 5
-            WHEN 0 THEN concat('```JSON', {NL}, {ANSWER_JSON}, {NL}, '```')
-            WHEN 1 THEN {ANSWER_JSON}
-            WHEN 2 THEN concat('Here it is: ', {ANSWER_JSON}, ' Done.')
-            WHEN 3 THEN concat('```', {ANSWER_JSON}, '```')
-            ELSE concat('sorry ', p_name) END AS content""",
+            f"concat(CASE p_partkey % 5 WHEN 0 THEN concat('```JSON', {NL}) WHEN 2 THEN 'Here it is: ' "
+            f"WHEN 3 THEN '```' WHEN 4 THEN 'sorry ' ELSE '' END, "
+            f"CASE WHEN p_partkey % 5 = 4 THEN p_name ELSE {ANSWER_JSON} END, "
+            f"CASE p_partkey % 5 WHEN 0 THEN concat({NL}, '```') WHEN 2 THEN ' Done.' WHEN 3 THEN '```' ELSE '' END) AS content",
         ],
     ),
     # Payload elements one per row.
