@@ -80,9 +80,15 @@ def duplicate_tokens(subscribers: DataFrame, token: str) -> DataFrame:
 
 
 def token_clashes(candidates: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Candidate ids of which any of the three tokens is taken by a token of the same kind."""
-    taken = _token_rows(subscribers).distinct()
-    hits = _token_rows(candidates, "candidate_id").join(taken, ["kind", "token"], "left_semi")
+    """Candidate ids of which any of the three tokens is taken by a token of the same kind.
+
+    One join on kind and token in place of an OR over three columns; of the subscribers' tokens
+    only those asked for go on.
+    """
+    asked = _token_rows(candidates, "candidate_id")
+    pair = ["kind", "token"]
+    taken = _token_rows(subscribers).join(asked.select(*pair), pair, "left_semi").distinct()
+    hits = asked.join(taken, pair, "left_semi")
     return hits.groupBy("candidate_id").agg(F.count("*").alias("n_taken"))
 
 

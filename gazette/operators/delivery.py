@@ -41,14 +41,20 @@ def fan_out(audience: DataFrame, issue: DataFrame, base: str) -> DataFrame:
     return rows.withColumn("kind", delivery_key(prefix, F.col("email")))
 
 
-def not_sent(fanned: DataFrame, send_log: DataFrame, base: str) -> DataFrame:
-    """Deliveries whose key the log does not hold. Each key once: of one address the lowest id.
+def sent_keys(send_log: DataFrame, issue: DataFrame, base: str) -> DataFrame:
+    """The delivery keys the log holds for this mail and issue, each once.
 
-    Only log keys of this kind of mail are read, each once, so a constant kind with very many rows
-    does not meet the join.
+    The log is cut by the start of the key as it is read, so neither other issues nor a constant
+    kind with very many rows meet the join.
     """
-    sent = send_log.filter(F.startswith("kind", F.lit(base + ":"))).select("kind").distinct()
-    return first_per(fanned, ["kind"], [F.col("id")]).join(sent, "kind", "left_anti")
+    prefix = issue_head(issue).select(F.concat(F.lit(base + ":"), F.col("key"), F.lit(":"))).scalar()
+    return send_log.filter(F.startswith("kind", prefix)).select("kind").distinct()
+
+
+def not_sent(fanned: DataFrame, send_log: DataFrame, issue: DataFrame, base: str) -> DataFrame:
+    """Deliveries whose key the log does not hold. Each key once: of one address the lowest id."""
+    first = first_per(fanned, ["kind"], [F.col("id")])
+    return first.join(sent_keys(send_log, issue, base), "kind", "left_anti")
 
 
 def with_mail(deliveries: DataFrame, issue: DataFrame, subject: Column, public_url: str, brand: str = R.BRAND) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gazette.schemas import ACTIVE, MODES, PENDING, UNSUBSCRIBED
 
 GATHER_LIMIT = 50_000  # actions of one address that may be gathered into one row
-LONG_HISTORIES = 200_000  # most addresses that can be beyond the limit
+LONG_HISTORIES = 2_000_000  # most addresses that can be beyond the limit, about 100 MB of them
 RUN = 1024  # actions per run of a long history, a power of two
 
 STATE = (

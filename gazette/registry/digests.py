@@ -480,7 +480,7 @@ def issue_fanout(spark, sf):
 def delivery_plan(spark, sf):
     latest = I.latest_ready_issue(_store(spark, sf))
     rows = D.fan_out(A.eligible(view(spark, sf, "subscribers")), latest, "weekly")
-    return D.not_sent(rows, view(spark, sf, "send_log"), "weekly").select("id", "kind")
+    return D.not_sent(rows, view(spark, sf, "send_log"), latest, "weekly").select("id", "kind")
 
 
 def _mail_columns(df):
