@@ -22,6 +22,7 @@ STATE = (
     "struct<status: string, mode: string, keywords: array<string>, confirmed_at: timestamp, "
     "token: string, rejects: bigint, own_mode: boolean, own_confirmed: boolean, own_token: boolean>"
 )
+STATE_FIELDS = [f.split(":")[0].strip() for f in STATE[7:-1].split(", ")]
 REJECTS = "array<struct<event_id: bigint, action: string, reason: string>>"
 
 
@@ -50,61 +51,72 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _outcome(s: Column, x: Column, check_tokens: bool) -> dict[str, Column]:
-    """What action `x` does in state `s`; every flag is true or false, never null."""
-    known = s["status"].isNotNull()
-    pending, active = s["status"].eqNullSafe(PENDING), s["status"].eqNullSafe(ACTIVE)
-    token_ok = F.coalesce(s["token"] == x["token"], F.lit(False)) if check_tokens else F.lit(True)
-    action = x["action"]
-    subscribed = (action == "subscribe") & F.when(known, ~active).otherwise(x["mail_ok"])
-    reopened = (action == "resend_confirmation") & known & ~active
-    return {
-        "subscribed": subscribed,
-        "opened": subscribed | reopened,
-        "confirmed": (action == "confirm") & token_ok & pending,
-        "left": known & (((action == "unsubscribe") & token_ok) | (action == "admin_unsubscribe")),
-        "managed": (action == "manage") & token_ok & active & x["mode"].isin(*MODES),
-        "known": known,
-        "active": active,
-        "token_ok": token_ok,
-    }
+# What an action did to a state.
+SUBSCRIBED, REOPENED, CONFIRMED, LEFT, MANAGED = range(5)
 
 
-def _step(s: Column, x: Column, check_tokens: bool) -> Column:
-    o = _outcome(s, x, check_tokens)
-    opened, confirmed, left = o["opened"], o["confirmed"], o["left"]
-    prefers = o["subscribed"] | o["managed"]
-    done = opened | confirmed | left | o["managed"]
+def _outcome(s: Column, x: Column, check_tokens: bool) -> Column:
+    """What action `x` does in state `s`, as one of the codes above; null when it is refused."""
+    action, status = x["action"], s["status"]
+    known = status.isNotNull()
+    token_ok = s["token"] == x["token"] if check_tokens else F.lit(True)
+    subscribed = F.when(known, status != ACTIVE).otherwise(x["mail_ok"])
+    return (
+        F.when(action == "subscribe", F.when(subscribed, F.lit(SUBSCRIBED)))
+        .when(action == "confirm", F.when((status == PENDING) & token_ok, F.lit(CONFIRMED)))
+        .when(action == "manage", F.when((status == ACTIVE) & token_ok & x["mode"].isin(*MODES), F.lit(MANAGED)))
+        .when(action == "unsubscribe", F.when(known & token_ok, F.lit(LEFT)))
+        .when(action == "admin_unsubscribe", F.when(known, F.lit(LEFT)))
+        .when(action == "resend_confirmation", F.when(status != ACTIVE, F.lit(REOPENED)))
+    )
+
+
+def _after(s: Column, x: Column, did: Column) -> Column:
+    """The state after an action, given what the action does (null: it is refused)."""
+    opened, prefers = did.isin(SUBSCRIBED, REOPENED), did.isin(SUBSCRIBED, MANAGED)
     return F.struct(
         F.when(opened, F.lit(PENDING))
-        .when(confirmed, F.lit(ACTIVE))
-        .when(left, F.lit(UNSUBSCRIBED))
+        .when(did == CONFIRMED, F.lit(ACTIVE))
+        .when(did == LEFT, F.lit(UNSUBSCRIBED))
         .otherwise(s["status"])
         .alias("status"),
         F.when(prefers, x["mode"]).otherwise(s["mode"]).alias("mode"),
         F.when(prefers, x["keywords"]).otherwise(s["keywords"]).alias("keywords"),
-        F.when(confirmed, x["ts"])
-        .when(~opened, s["confirmed_at"])
+        F.when(did == CONFIRMED, x["ts"])
+        .when(opened, F.lit(None))
+        .otherwise(s["confirmed_at"])
         .alias("confirmed_at"),
         F.when(opened, x["token"]).otherwise(s["token"]).alias("token"),
-        (s["rejects"] + F.when(done, 0).otherwise(1)).alias("rejects"),
+        s["rejects"].alias("rejects"),
         (s["own_mode"] | prefers).alias("own_mode"),
-        (s["own_confirmed"] | opened | confirmed).alias("own_confirmed"),
+        (s["own_confirmed"] | opened | (did == CONFIRMED)).alias("own_confirmed"),
         (s["own_token"] | opened).alias("own_token"),
-    ).cast(STATE)
+    )
+
+
+def _refuse(s: Column) -> Column:
+    return F.struct(
+        *[(s[c] + 1 if c == "rejects" else s[c]).alias(c) for c in STATE_FIELDS]
+    )
+
+
+def _step(s: Column, x: Column, check_tokens: bool) -> Column:
+    return _bind(
+        _outcome(s, x, check_tokens),
+        lambda did: F.when(did.isNull(), _refuse(s)).otherwise(_after(s, x, did)),
+    )
 
 
 def _reason(s: Column, x: Column, check_tokens: bool) -> Column:
-    """Why an action was refused; null when it was not."""
-    o = _outcome(s, x, check_tokens)
-    action, known, matched = x["action"], o["known"], o["known"] & o["token_ok"]
-    done = o["opened"] | o["confirmed"] | o["left"] | o["managed"]
+    """Why an action was refused."""
+    action, known = x["action"], s["status"].isNotNull()
+    token_ok = F.coalesce(s["token"] == x["token"], F.lit(False)) if check_tokens else F.lit(True)
+    active = s["status"].eqNullSafe(ACTIVE)
     return (
-        F.when(done, F.lit(None))
-        .when(action == "subscribe", F.when(known, F.lit("already subscribed")).otherwise(F.lit("mail failed")))
-        .when(action == "confirm", F.when(matched, F.lit("already confirmed")).otherwise(F.lit("invalid token")))
+        F.when(action == "subscribe", F.when(known, F.lit("already subscribed")).otherwise(F.lit("mail failed")))
+        .when(action == "confirm", F.when(known & token_ok, F.lit("already confirmed")).otherwise(F.lit("invalid token")))
         .when(action == "unsubscribe", F.lit("unknown token"))
-        .when(action == "manage", F.when(matched & o["active"], F.lit("invalid mode")).otherwise(F.lit("invalid link")))
+        .when(action == "manage", F.when(token_ok & active, F.lit("invalid mode")).otherwise(F.lit("invalid link")))
         .when(action == "resend_confirmation", F.when(known, F.lit("already confirmed")).otherwise(F.lit("not found")))
         .when(action == "admin_unsubscribe", F.lit("not found"))
         .otherwise(F.lit("unknown action"))
@@ -135,22 +147,23 @@ def _chain(before: Column, branches: Column) -> Column:
             (before["own_mode"] | r["own_mode"]).alias("own_mode"),
             (before["own_confirmed"] | r["own_confirmed"]).alias("own_confirmed"),
             (before["own_token"] | r["own_token"]).alias("own_token"),
-        ).cast(STATE),
+        ),
     )
 
 
 def _starts(tokens: Column) -> Column:
-    """Every state a run may start from: each status, with each token it mentions or another one."""
-    statuses = F.array(
-        F.lit(None).cast("string"), F.lit(PENDING), F.lit(ACTIVE), F.lit(UNSUBSCRIBED)
-    )
-    held = F.concat(tokens, F.array(F.lit(None).cast("string")))
-    return F.flatten(
+    """Every state a run may start from: not known yet, or known with each token the run mentions
+    or another one."""
+    nothing = F.lit(None).cast("string")
+    statuses = F.array(F.lit(PENDING), F.lit(ACTIVE), F.lit(UNSUBSCRIBED))
+    held = F.concat(tokens, F.array(nothing))
+    known = F.flatten(
         F.transform(
             statuses,
             lambda s: F.transform(held, lambda t: F.struct(s.alias("status"), t.alias("token"))),
         )
     )
+    return F.concat(F.array(F.struct(nothing.alias("status"), nothing.alias("token"))), known)
 
 
 def _branches(starts: Column, fold) -> Column:
@@ -288,12 +301,23 @@ def _refused(events: Column, start: Column, check_tokens: bool) -> Column:
     """State after `events` and the refused ones among them."""
     zero = F.struct(start.alias("s"), F.array().cast(REJECTS).alias("refused"))
 
-    def step(a: Column, x: Column) -> Column:
-        reason = _reason(a["s"], x, check_tokens)
-        row = F.struct(x["event_id"].alias("event_id"), x["action"].alias("action"), reason.alias("reason"))
-        refused = F.when(reason.isNull(), a["refused"]).otherwise(F.concat(a["refused"], F.array(row)))
+    def refuse(a: Column, x: Column) -> Column:
+        row = F.struct(
+            x["event_id"].alias("event_id"),
+            x["action"].alias("action"),
+            _reason(a["s"], x, check_tokens).alias("reason"),
+        )
         return F.struct(
-            _step(a["s"], x, check_tokens).alias("s"), refused.cast(REJECTS).alias("refused")
+            _refuse(a["s"]).alias("s"),
+            F.concat(a["refused"], F.array(row)).alias("refused"),
+        )
+
+    def step(a: Column, x: Column) -> Column:
+        return _bind(
+            _outcome(a["s"], x, check_tokens),
+            lambda did: F.when(did.isNull(), refuse(a, x)).otherwise(
+                F.struct(_after(a["s"], x, did).alias("s"), a["refused"].alias("refused"))
+            ),
         )
 
     return F.aggregate(events, zero, step)
