@@ -18,7 +18,7 @@ TERM_LENGTH, EXPLAIN_LENGTH = 64, 120
 TOP3_HEADING = "## 本周 AI 热点排行（Top3）"
 
 # JSON texts of the values that count as false.
-FALSY = ['""', "null", "false", "0", "0.0", "-0.0", "0E0", "[]", "{}"]
+FALSY = ["null", "false", "0", "0.0", "-0.0", "0E0", "[]", "{}"]
 
 FENCE = "```"
 
@@ -37,36 +37,49 @@ def extract_answer(answers: DataFrame, content: str = "content") -> DataFrame:
     The fenced (or whole) text is tried first, then its part from the first `{` to the last `}`.
     """
     raw, whole = F.col("_raw"), F.col("_whole")
-    read = once(answers, _parts=F.split(content, FENCE))
-    read = once(read, _raw=answer_text(F.col("_parts"))).drop("_parts")
-    read = once(read, _whole=F.try_parse_json(raw))
+    read = answers.withColumn("_parts", F.split(content, FENCE))
+    read = read.withColumn("_raw", answer_text(F.col("_parts"))).withColumn("_whole", F.try_parse_json(raw))
     braces = F.regexp_extract(raw, r"(\{[\s\S]*\})", 1)
     found = F.when(whole.isNull(), F.try_parse_json(braces)).when(F.startswith(raw, F.lit("{")), whole)
-    return once(read, doc=found).drop("_raw", "_whole")
+    return once(read, doc=found).drop("_parts", "_raw", "_whole")
 
 
 def is_object(v: Column) -> Column:
     return F.startswith(F.to_json(v), F.lit("{"))
 
 
-def truthy(json: Column) -> Column:
-    """Whether a value, given as JSON text, counts as true; an absent one does not."""
-    return F.coalesce(~json.isin(FALSY), F.lit(False))
+def _plain(v: Column) -> Column:
+    """A JSON value as `text`, and as `json` where the text alone does not tell its kind."""
+    text = v.cast("string")
+    unsure = text.isNull() | text.isin([*FALSY, "true"])
+    return F.struct(text.alias("text"), F.when(unsure, F.to_json(v)).alias("json"))
 
 
-def printed(v: Column, json: Column) -> Column:
+def truthy(p: Column) -> Column:
+    """Whether a value counts as true; an absent one does not."""
+    return F.when(p["json"].isNotNull(), ~p["json"].isin(FALSY)).otherwise(
+        F.coalesce(p["text"] != "", F.lit(False))
+    )
+
+
+def printed(p: Column) -> Column:
     """A JSON value as text: null is `None`, booleans are capitalised, absent is empty."""
     return (
-        F.when(json.isNull(), F.lit(""))
-        .when(json == "null", F.lit("None"))
-        .when(json.isin("true", "false"), F.initcap(json))
-        .otherwise(v.cast("string"))
+        F.when(p["json"] == "null", F.lit("None"))
+        .when(p["json"].isin("true", "false"), F.initcap(p["json"]))
+        .otherwise(F.coalesce(p["text"], F.lit("")))
     )
 
 
-def _printed_at(v: Column, path: str) -> Column:
-    value = _get(v, path)
-    return printed(value, F.to_json(value))
+def _fields(items: Column, *paths: str) -> Column:
+    """Each element with the values at `paths` as plain text, and itself as `whole`."""
+    found = F.transform(
+        items, lambda v: F.struct(v.alias("whole"), *[_get(v, f"$.{p}").alias(p) for p in paths])
+    )
+    return F.transform(
+        found,
+        lambda e: F.struct(e["whole"].alias("whole"), *[_plain(e[p]).alias(p) for p in paths]),
+    )
 
 
 def _get(v: Column, path: str, kind: str = "variant") -> Column:
@@ -78,42 +91,26 @@ def _links(items: Column, label: str, label_length: int, most: int, passes: int)
 
     A second pass finds the bare strings without a url and drops them, after they were counted.
     """
-    def found(v: Column) -> Column:
-        return F.struct(
-            v.alias("whole"), _get(v, f"$.{label}").alias("text"), _get(v, "$.url").alias("url")
-        )
+    def bare(p: Column) -> Column:
+        nothing = p[label]["text"].isNull() & p["url"]["text"].isNull()
+        return nothing & F.startswith(F.to_json(p["whole"]), F.lit('"'))
 
-    def part(p: Column) -> Column:
-        absent = p["text"].isNull() & p["url"].isNull()
-        return F.struct(
-            p["whole"].cast("string").alias("whole"),
-            (absent & F.startswith(F.to_json(p["whole"]), F.lit('"'))).alias("bare"),
-            p["text"].cast("string").alias("text"),
-            F.to_json(p["text"]).alias("text_json"),
-            p["url"].cast("string").alias("url"),
-            F.to_json(p["url"]).alias("url_json"),
-        )
+    def text(p: Column) -> Column:
+        return strip(p["whole"].cast("string"))
 
     kept = F.filter(
-        F.transform(F.transform(items, found), part),
-        lambda p: F.when(p["bare"], strip(p["whole"]) != "").otherwise(
-            truthy(p["text_json"]) & truthy(p["url_json"])
-        ),
+        _fields(items, label, "url"),
+        lambda p: (truthy(p[label]) & truthy(p["url"])) | (bare(p) & (text(p) != "")),
     )
     cut = F.transform(
         F.slice(kept, 1, most),
         lambda p: F.struct(
-            clip(
-                F.when(p["bare"], strip(p["whole"])).otherwise(printed(p["text"], p["text_json"])),
-                label_length,
-            ).alias(label),
-            F.when(p["bare"], F.lit(""))
-            .otherwise(clip(printed(p["url"], p["url_json"]), URL_LENGTH))
-            .alias("url"),
+            clip(F.when(bare(p), text(p)).otherwise(printed(p[label])), label_length).alias(label),
+            clip(F.when(bare(p), F.lit("")).otherwise(printed(p["url"])), URL_LENGTH).alias("url"),
         ),
     )
-    once_cleaned = F.coalesce(cut, F.array().cast(f"array<struct<{label}: string, url: string>>"))
-    return once_cleaned if passes == 1 else F.filter(once_cleaned, lambda p: p["url"] != "")
+    cleaned = F.coalesce(cut, F.array().cast(f"array<struct<{label}: string, url: string>>"))
+    return cleaned if passes == 1 else F.filter(cleaned, lambda p: p["url"] != "")
 
 
 def payload_lines(doc: Column, passes: int = 2) -> Column:
@@ -128,10 +125,9 @@ def payload_sections(doc: Column) -> Column:
     objects = F.filter(_get(doc, "$.normal.sections", "array<variant>"), is_object)
     return F.coalesce(
         F.transform(
-            objects,
-            lambda v: F.struct(
-                _printed_at(v, "$.title").alias("title"),
-                _printed_at(v, "$.paragraph").alias("paragraph"),
+            _fields(objects, "title", "paragraph"),
+            lambda p: F.struct(
+                printed(p["title"]).alias("title"), printed(p["paragraph"]).alias("paragraph")
             ),
         ),
         F.array().cast("array<struct<title: string, paragraph: string>>"),
@@ -139,15 +135,13 @@ def payload_sections(doc: Column) -> Column:
 
 
 def payload_glossary(doc: Column) -> Column:
-    terms = F.filter(
-        _get(doc, "$.glossary", "array<variant>"), lambda v: truthy(F.to_json(_get(v, "$.term")))
-    )
+    found = _fields(_get(doc, "$.glossary", "array<variant>"), "term", "explain")
     return F.coalesce(
         F.transform(
-            terms,
-            lambda v: F.struct(
-                clip(_printed_at(v, "$.term"), TERM_LENGTH).alias("term"),
-                clip(_printed_at(v, "$.explain"), EXPLAIN_LENGTH).alias("explain"),
+            F.filter(found, lambda p: truthy(p["term"])),
+            lambda p: F.struct(
+                clip(printed(p["term"]), TERM_LENGTH).alias("term"),
+                clip(printed(p["explain"]), EXPLAIN_LENGTH).alias("explain"),
             ),
         ),
         F.array().cast("array<struct<term: string, explain: string>>"),
@@ -155,9 +149,8 @@ def payload_glossary(doc: Column) -> Column:
 
 
 def payload_footer(doc: Column) -> Column:
-    footer = _get(doc, "$.simple.footer")
-    json = F.to_json(footer)
-    return F.when(truthy(json), printed(footer, json)).otherwise(F.lit(""))
+    footer = _plain(_get(doc, "$.simple.footer"))
+    return F.when(truthy(footer), printed(footer)).otherwise(F.lit(""))
 
 
 def normalize_payload(doc: Column, passes: int = 2) -> Column:

@@ -11,13 +11,20 @@ from gazette.operators.common import salted_join
 GRAM = 3
 
 
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def _grams(chars: Column, length: int) -> Column:
     """Distinct substrings of `length` characters, from the array of single characters."""
+    if length == 1:
+        return F.array_distinct(chars)
+    last = F.greatest(F.size(chars) - (length - 1), F.lit(0))
     windows = F.transform(
-        chars,
+        F.slice(chars, F.lit(1), last),
         lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, length)]),
     )
-    return F.array_distinct(F.filter(windows, lambda g: g.isNotNull()))
+    return F.array_distinct(windows)
 
 
 def distinct_keywords(subscribers: DataFrame) -> DataFrame:
@@ -32,20 +39,20 @@ def keyword_matches(keywords: DataFrame, items: DataFrame, item_id: str, content
     characters) they hold. Each keyword is looked up by its rarest triple; only those candidates
     are compared in full. A triple found in very many items is spread over several tasks.
     """
-    chars = F.filter(F.split(F.lower(F.col(content)), ""), lambda c: c != "")
-    cut = items.select(F.col(item_id).alias("item_id"), chars.alias("chars"))
-    parts = F.concat(*[_grams(F.col("chars"), n) for n in range(1, GRAM + 1)])
-    held = cut.select("item_id", F.explode(parts).alias("gram"))
-
     words = keywords.select("keyword").filter(F.col("keyword") != "").distinct()
-    letters = F.filter(F.split("keyword", ""), lambda c: c != "")
-    words = words.withColumn("chars", letters)
-    own = (
-        F.when(F.size("chars") >= 3, _grams(F.col("chars"), 3))
-        .when(F.size("chars") == 2, _grams(F.col("chars"), 2))
-        .otherwise(F.col("chars"))
-    )
-    wanted = words.select("keyword", F.explode(own).alias("gram"))
+    words = words.withColumn("chars", _letters(F.col("keyword")))
+    size = F.least(F.size("chars"), F.lit(GRAM))
+    own = F.when(size == 1, _grams(F.col("chars"), 1)).when(size == 2, _grams(F.col("chars"), 2))
+    wanted = words.select("keyword", F.explode(own.otherwise(_grams(F.col("chars"), GRAM))).alias("gram"))
+
+    # Texts give up pairs and single characters only if some keyword is that short.
+    none = F.array().cast("array<string>")
+    lengths = [
+        F.when(words.agg(F.max(size == n)).scalar(), _grams(F.col("chars"), n)).otherwise(none)
+        for n in range(1, GRAM + 1)
+    ]
+    cut = items.select(F.col(item_id).alias("item_id"), _letters(F.lower(F.col(content))).alias("chars"))
+    held = cut.select("item_id", F.explode(F.concat(*lengths)).alias("gram"))
     frequency = (
         held.join(wanted.select("gram").distinct(), "gram", "left_semi")
         .groupBy("gram")
