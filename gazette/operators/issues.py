@@ -70,6 +70,11 @@ def duplicate_periods(issues: DataFrame) -> DataFrame:
     return issues.groupBy("period_start").agg(F.count("*").alias("n_issues")).filter("n_issues > 1")
 
 
+def duplicate_deliveries(send_log: DataFrame) -> DataFrame:
+    """Delivery keys logged more than once."""
+    return send_log.groupBy("kind").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+
+
 def upsert_issues(issues: DataFrame, built: DataFrame, ready_at: Column) -> DataFrame:
     """The issue table after a build.
 

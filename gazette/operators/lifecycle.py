@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.operators.common import salted_join
 from gazette.schemas import ACTIVE, MODES, PENDING, UNSUBSCRIBED
 
 GATHER_LIMIT = 50_000  # actions of one address that may be gathered into one row
@@ -218,7 +219,7 @@ def _known_tokens(long: DataFrame) -> DataFrame:
     """Tokens never handed out to the address become null: they fit no state, so no run need try them."""
     handed = F.col("action").isin("subscribe", "resend_confirmation")
     issued = long.filter(handed).select("email", "token", F.lit(True).alias("_issued")).distinct()
-    marked = long.join(issued, ["email", "token"], "left")
+    marked = salted_join(long, issued, ["email", "token"], "left", ["event_id"])
     return marked.withColumn("token", F.when(F.col("_issued"), F.col("token"))).drop("_issued")
 
 

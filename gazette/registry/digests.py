@@ -438,6 +438,28 @@ def recent_issues(spark, sf):
     return _issue_columns(I.recent_issues(issues(spark, sf)))
 
 
+# Each order stands for an issue row of its week.
+@query(
+    "duplicate_periods",
+    """SELECT CAST(p AS VARCHAR) AS period_start, count(*) AS n_issues FROM (
+    SELECT CAST(date_trunc('week', o_orderdate + INTERVAL '8' HOUR) AS DATE) AS p FROM orders) t GROUP BY p HAVING count(*) > 1""",
+)
+def duplicate_periods(spark, sf):
+    period = keys.period_monday(F.col("o_orderdate").cast("timestamp"))
+    rows = table(spark, sf, "orders").select(period.cast("string").alias("period_start"))
+    return I.duplicate_periods(rows)
+
+
+@query("duplicate_deliveries", "SELECT kind, count(*) AS n_rows FROM v_send_log GROUP BY kind HAVING count(*) > 1")
+def duplicate_deliveries(spark, sf):
+    return I.duplicate_deliveries(view(spark, sf, "send_log"))
+
+
+@query("rejected_answers", "SELECT response_id, content FROM v_answers WHERE response_id NOT IN (SELECT response_id FROM v_docs)")
+def rejected_answers(spark, sf):
+    return I.rejected_answers(view(spark, sf, "answers")).select("response_id", "content")
+
+
 # The store lacks every third issue; one brand in eight has no items this time.
 STEPS["old_store"] = "SELECT * FROM v_issues WHERE id % 3 <> 0"
 _BUILT = """

@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every job relies on: stored times are UTC."""
+    """Settings every job relies on: stored times are UTC; caps per key up to 10,000 rows are
+    applied ahead of the shuffle."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     return spark
 
 
