@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +25,10 @@ OUTPUT = (
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Workers need not have this package: the processor travels with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class SubscriberState(StatefulProcessor):
     """Applies the actions of a batch to the address's state, in order of time and id."""
 
