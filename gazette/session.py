@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,26 +9,25 @@ from pyspark.sql import SparkSession
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every job relies on: stored times are UTC; caps per key up to 10,000 rows are
-    applied ahead of the shuffle."""
+    applied ahead of the shuffle; checkpoints have their folder."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
+    shared_root(spark)
     return spark
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
+    """The folder all executors can reach.
 
-    Only a local session may run without it; it then gets a fresh temporary folder,
-    which is kept for the rest of the session.
+    It is the one named by ``spark.checkpoint.dir`` or set on the context; where neither is, a folder
+    in the warehouse, which executors share as well. Checkpoints are sent there too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="gazette-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 

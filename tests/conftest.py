@@ -8,11 +8,11 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from gazette.session import prepare, shared_root  # noqa: E402
+from gazette.session import prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -20,10 +20,11 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tmp_path_factory.mktemp("shared").as_uri())
+        .config("spark.sql.warehouse.dir", tmp_path_factory.mktemp("warehouse").as_uri())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     prepare(session)
-    shared_root(session)
     yield session
     session.stop()

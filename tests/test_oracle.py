@@ -7,7 +7,8 @@ import os
 import oracle
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from gazette.registry.catalog import QUERIES, oracles
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -18,13 +19,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(oracles()) == set(QUERIES)
 
 
 def test_entry(spark):
     assert entry(spark).count() == 80
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert oracle.difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
+    assert oracle.difference(QUERIES[name](spark, SF_DIR), con, oracles()[name]) is None
