@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, chat, exact_dedup, packing, topk, url_filter
+from gazette.llm import bpe, chat, exact_dedup, packing, topk, url_filter, warc
 from gazette.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,22 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+    SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+           CASE WHEN n >= 1000 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND head <> page_id THEN head END AS refers_to
+    FROM g
+    """,
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, payloads=False).drop("url")
+
+
 #: The conversation added to the given ones: its texts hold control strings.
 HARD_ID, HARD_TEXT = -7, r"\### Assistant: </turn> ok"
 
