@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, chat, exact_dedup, packing, quality, topk, url_filter, warc
+from gazette.llm import bpe, chat, exact_dedup, packing, quality, substring_dedup, topk, url_filter, warc
 from gazette.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,32 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(HARD_TEXT).alias("text"),
     )
     return chat.chat_digests(chat.format_chats(given.unionByName(hard)))
+
+
+@query(
+    "op10_substring_dedup",
+    r"""
+    WITH w AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+        FROM documents
+    ), p AS (
+        SELECT r, unnest(range(1, len(words) - 33)) AS pos FROM w WHERE len(words) >= 35
+    ), g AS (
+        SELECT p.r, p.pos, md5(array_to_string(w.words[p.pos:p.pos + 34], ' ')) AS g FROM p JOIN w USING (r)
+    ), often AS (
+        SELECT g FROM g GROUP BY g HAVING count(*) > 1
+    ), gone AS (
+        SELECT DISTINCT r, unnest(range(pos, pos + 35)) AS pos FROM g WHERE g IN (SELECT g FROM often)
+    ), k AS (
+        SELECT w.r, count(gone.pos) AS n_removed,
+               coalesce(string_agg(u.word, ' ' ORDER BY u.pos) FILTER (WHERE gone.pos IS NULL), '') AS kept
+        FROM w LEFT JOIN (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w) u ON u.r = w.r
+        LEFT JOIN gone ON gone.r = u.r AND gone.pos = u.pos
+        GROUP BY w.r
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, n_removed, sha256(kept) AS kept_sha256 FROM w JOIN k USING (r)
+    """,
+)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
