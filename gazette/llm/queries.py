@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, chat, exact_dedup, packing, quality, substring_dedup, topk, url_filter, warc
+from gazette.llm import bpe, chat, exact_dedup, ngram_join, packing, quality, substring_dedup, topk, url_filter, warc
 from gazette.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,34 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query(
+    "op7_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[ 	-]+'), lambda x: x <> '') AS words
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT r, array_to_string(words[i:i + 3], ' ') AS s
+        FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)
+    ), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+    e AS (
+        SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r
+        JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r
+        GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+    ), c AS (
+        SELECT r AS a, r AS b FROM w UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a
+    )
+    SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+    FROM w LEFT JOIN n USING (r)
+    JOIN (SELECT c.a, min(v.doc_id) AS component_id FROM c JOIN w v ON v.r = c.b GROUP BY c.a) m ON m.a = w.r
+    """,
+)
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_warc",
     """
