@@ -25,13 +25,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders that `stored` has written and `release` has not yet removed.
+MADE: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: later steps start from the files."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the folders `stored` has written so far; results that read them must be written by now."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while MADE:
+        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """The wanted columns only, a null text as an empty one. Other columns of `docs` never matter."""
     return docs.select(*[F.col(c) for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -135,15 +135,33 @@ def by_content(blocks: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, key=F.xxhash64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too."""
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too; points (its code
+    points) and ties (rows of its group that share doc_id and points with the one that stays)."""
     rows = stored(identities(docs, size, key), "identities")
-    best = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "row"))
-    groups = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    return rows.join(groups, ["level", "name"]).select(
+    place = F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id")
+    sizes = rows.groupBy("level", "name", place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
+    groups = sizes.groupBy("level", "name").agg(F.sum("n").alias("group_size"), F.min(F.struct("place", "row", "n")).alias("best"))
+    return rows.join(stored(groups, "groups"), ["level", "name"]).select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
+        F.col("best.place.doc_id").alias("keep_id"),
         "group_size",
         (F.col("best.row") == F.col("row")).alias("kept"),
         "text_sha256",
-        "row",
+        "points",
+        F.col("best.n").alias("ties"),
     )
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay, whole. Rows that agree in doc_id, points and normalised text with
+    the one that stays cannot be told apart by these; of them any one stays."""
+    kept = exact_dedup(docs).filter("kept").select(
+        F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), F.col("points").alias("_points"), F.col("ties").alias("_ties")
+    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = once(docs, _key=F.sha2(normalised(text), 256), _length=F.char_length(text))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_sha")) & (F.col("_length") == F.col("_points"))
+    found = marked.join(stored(kept, "kept"), same)
+    one = found.filter("_ties = 1").select(*docs.columns)
+    tied = found.filter("_ties > 1").dropDuplicates(["doc_id", "_key", "_length"]).select(*docs.columns)
+    return one.unionByName(tied)

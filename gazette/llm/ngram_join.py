@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import stored, texts
 from gazette.llm.components import components
-from gazette.llm.substring_dedup import class_of
+from gazette.llm.substring_dedup import class_of, with_class
 from gazette.llm.words import MIX_A, WordHashes, mixed, run_hashes, words_of
 
 WORDS, PERCENT = 4, 85
@@ -259,13 +259,31 @@ def similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame
     return scanned, classes, near.unionByName(more)
 
 
+def labelled_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """class, smallest (none, doc_id and class of the component's first document): one row per class."""
+    labels = components(links).withColumnRenamed("node", "id")
+    labelled = classes.select("id", "class", "rep").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    smallest = labelled.groupBy("label").agg(F.min(F.struct("rep.none", "rep.doc_id", "class")).alias("smallest"))
+    return labelled.join(smallest, "label").select("class", "smallest")
+
+
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over any number of links)."""
     scanned, classes, links = similar_classes(docs, size, percent)
-    labels = components(links).withColumnRenamed("node", "id")
-    labelled = classes.select("id", "class", "rep").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    smallest = labelled.groupBy("label").agg(F.min("rep").alias("smallest"))
-    by_class = labelled.join(smallest, "label").select("class", F.col("smallest.doc_id").alias("component"), F.lit(True).alias("known"))
+    by_class = labelled_classes(classes, links).select("class", F.col("smallest.doc_id").alias("component"), F.lit(True).alias("known"))
     every = scanned.select("doc_id", "class", F.col("n").alias("n_shingles")).join(by_class, "class", "left")
     component = F.when(F.col("known"), F.col("component")).otherwise(F.col("doc_id"))
     return every.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` that stay: of each component the smallest doc_id (a null one last; of several
+    texts with that doc_id the first by class), and every document without shingles."""
+    scanned, classes, links = similar_classes(docs, size, percent)
+    first = labelled_classes(classes, links).select("smallest").distinct()
+    kept = first.select(F.col("smallest.doc_id").alias("_doc"), F.col("smallest.class").alias("_class"))
+    empty = scanned.filter("n = 0").select(F.col("doc_id").alias("_doc"), F.col("class").alias("_class")).distinct()
+    stay = stored(kept.unionByName(empty), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("class_") == F.col("_class"))
+    marked = with_class(docs, lower=True, name="class_")
+    return marked.join(stay, same, "left_semi").select(*docs.columns)

@@ -244,16 +244,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     return learn(documents, shares, prior)
 
 
-def score(docs: DataFrame, model: tuple, keep: list[str | Column] | None = None) -> DataFrame:
-    """The columns `keep` (by default doc_id) and `score` of every document."""
+def score(docs: DataFrame, model: tuple, keep: list[str | Column] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` (by default doc_id) of every document and its score under `name`."""
     table = kinds()
-    kept = docs.select(*(keep or ["doc_id"]), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    names = kept.columns[:-1]
+    kept = docs.select(*(keep or ["doc_id"]))
+    names = kept.columns
+    slim = kept if "text" in names else docs.select(*(keep or ["doc_id"]), F.col("text").alias("_text"))
+    at = names.index("text") if "text" in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_texts(batch.column(len(names)).to_pylist(), model, table)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(scores)], names=[*names, "score"])
+            scores = score_texts([t or "" for t in batch.column(at).to_pylist()], model, table)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores)], names=[*names, name])
 
-    kinds_ = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds_}, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return slim.mapInArrow(run, f"{schema}, `{name}` double")

@@ -86,17 +86,17 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.groupBy("class").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in rest])
 
 
-def with_class(docs: DataFrame) -> DataFrame:
-    """`docs` with the class of each text; null texts count as empty."""
+def with_class(docs: DataFrame, lower: bool = False, name: str = "class") -> DataFrame:
+    """`docs` with the class of each text under `name`; null texts count as empty."""
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = [class_of(words_of(t or "")) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.binary())], names=[*names, "class"])
+            classes = [class_of(words_of(t or "", lower)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.binary())], names=[*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, class binary")
+    return docs.mapInArrow(run, f"{schema}, `{name}` binary")
 
 
 def stretches(work: DataFrame, window: int, group: int) -> DataFrame:
@@ -261,6 +261,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """`docs` with repeats cut out of `text`; documents that lose nothing keep their text as it is."""
     scanned = stored(scan(docs, window, prefix), "scanned")
-    gone = repeats(scanned, docs, window, prefix, group).select("class", "kept")
-    joined = with_class(docs).join(gone, "class", "left")
-    return joined.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    gone = stored(repeats(scanned, docs, window, prefix, group), "repeats").select(F.col("class").alias("class_"), F.col("kept").alias("kept_"))
+    joined = with_class(docs, name="class_").join(gone, "class_", "left")
+    return joined.withColumn("text", F.coalesce("kept_", "text")).select(*docs.columns)
