@@ -128,8 +128,8 @@ def by_content(blocks: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFram
         F.char_length("text").alias("points"),
         F.sha2("norm", 256).alias("text_sha256"),
         F.transform("blocks", lambda x: F.lit(0)).alias("keys"),
-        F.posexplode("blocks").alias("place", "content"),
-    )
+        "blocks",
+    ).select(*kept, F.posexplode("blocks").alias("place", "content"))
     found = stored(rows.join(names.drop("key"), "content").drop("content"), "found")
     return found.filter("place = 0").select(*kept), found.select("row", "place", "name")
 

@@ -46,41 +46,35 @@ from gazette.llm.words import MIX_A, WordHashes, mixed, run_hashes, words_of
 WORDS, PERCENT = 4, 85
 FREQUENT, MOST_FREQUENT, BITMAP_BITS = 32, 1 << 17, 1 << 24
 ORDERS = 3
-LAST = np.uint64(1 << 63)
 
 
 def shingles(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
     """The distinct shingles, sorted."""
     if not words:
         return np.empty(0, dtype=np.uint64)
-    return np.unique(run_hashes(hashes.of(words), min(size, len(words))))
+    found = run_hashes(hashes.of(words), min(size, len(words)))
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def order_keys(tokens: np.ndarray, order: int, frequent: np.ndarray | None) -> np.ndarray:
-    """The place of each token in an order: frequent tokens have the highest bit."""
+def order_keys(tokens: np.ndarray, order: int) -> np.ndarray:
+    """The place of each token in an order, without regard to frequency."""
     with np.errstate(over="ignore"):
-        keys = mixed(tokens + np.uint64(order + 1) * MIX_A) >> np.uint64(1)
-    return keys if frequent is None else np.where(is_frequent(tokens, frequent), keys | LAST, keys)
+        return mixed(tokens + np.uint64(order + 1) * MIX_A) >> np.uint64(1)
 
 
 def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     bit = tokens & np.uint64(BITMAP_BITS - 1)
-    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return (bitmap[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def prefix(tokens: np.ndarray, order: int, frequent: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first tokens of a set in an order: their keys, sorted, and the tokens."""
-    size = prefix_size(len(tokens), percent)
-    keys = order_keys(tokens, order, frequent)
-    if size < len(keys):
-        chosen = np.argpartition(keys, size - 1)[:size] if size else np.empty(0, dtype=np.int64)
-        keys, tokens = keys[chosen], tokens[chosen]
-    by = np.argsort(keys)
-    return keys[by], tokens[by]
+def prefix(keys: np.ndarray, size: int) -> np.ndarray:
+    """The first `size` keys of a set, in no order."""
+    return np.partition(keys, size - 1)[:size] if size < len(keys) else keys
 
 
 def frequent_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
@@ -89,8 +83,12 @@ def frequent_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [prefix(shingles(words_of(t, lower=True), hashes, size), 0, None, percent)[1] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["token"])
+            found = [np.empty(0, np.uint64)]
+            for text in batch.column("text").to_pylist():
+                tokens = shingles(words_of(text, lower=True), hashes, size)
+                short = prefix_size(len(tokens), percent)
+                found.append(tokens[np.argpartition(order_keys(tokens, 0), short - 1)[:short]] if short < len(tokens) else tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
     counts = texts(docs).mapInArrow(run, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     most = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
@@ -101,7 +99,8 @@ def frequent_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, class, n (shingles), cold (infrequent ones) and the prefix keys of each order, as bytes."""
+    """row, doc_id, class, n (shingles), cold (infrequent ones) and the prefix keys of each order, as bytes:
+    of the first order whole and in no order, of the others the upper half of each key, sorted."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size, percent))
     slim = texts(docs, "doc_id")
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -114,60 +113,58 @@ def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = words_of(text, lower=True)
                 tokens = shingles(words, hashes, size)
-                cold = int((~is_frequent(tokens, shared.value)).sum())
-                keys = [prefix(tokens, i, shared.value, percent)[0].tobytes() for i in range(ORDERS)]
-                rows.append((class_of(words), len(tokens), cold, *keys))
+                hot, short = is_frequent(tokens, shared.value), prefix_size(len(tokens), percent)
+                last = hot.astype(np.uint64) << np.uint64(63)
+                keys = [prefix(order_keys(tokens, i) | last, short) for i in range(ORDERS)]
+                halves = [np.sort((k >> np.uint64(32)).astype("<u4")) for k in keys[1:]]
+                rows.append((class_of(words), len(tokens), len(tokens) - int(hot.sum()), *[k.tobytes() for k in (keys[0], *halves)]))
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             kinds = [pa.binary(), pa.int64(), pa.int64()] + [pa.binary()] * ORDERS
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names])
 
     orders = ", ".join(f"o{i} binary" for i in range(ORDERS))
-    return slim.mapInArrow(run, f"doc_id {kind}, class binary, n bigint, cold bigint, {orders}")
+    found = slim.mapInArrow(run, f"doc_id {kind}, class binary, n bigint, cold bigint, {orders}")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def exploded(classes: DataFrame) -> DataFrame:
-    """token, id, n, cold: the first order's prefix, one row per token."""
+    """token, id: the first order's prefix, one row per token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.frombuffer(x, "<i8") for x in batch.column("o0").to_pylist()]
-            if not keys:
-                continue
-            sizes = np.array([len(k) for k in keys])
-            rest = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)) for c in ("id", "n", "cold")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *rest], names=["token", "id", "n", "cold"])
+            if keys:
+                ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["token", "id"])
 
-    return classes.select("id", "n", "cold", "o0").mapInArrow(run, "token bigint, id bigint, n bigint, cold bigint")
+    return classes.select("id", "o0").mapInArrow(run, "token bigint, id bigint")
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def passing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes allow the needed overlap under every order."""
-    orders = [f"o{i}" for i in range(ORDERS)]
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(o).alias(f"{o}_{x}") for o in orders])
+def passing(pairs: DataFrame, scanned: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes allow the needed overlap under each of the other orders."""
+    orders = [f"o{i}" for i in range(1, ORDERS)]
+    side = lambda x: scanned.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(o).alias(f"{o}_{x}") for o in orders])
     wide = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def allowed(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
+        """Both prefixes are whole below the smaller of their last keys; keys are cut, so equal ones may differ."""
         limit = min(x[-1], y[-1])
-        x, y = x[: np.searchsorted(x, limit, side="right")], y[: np.searchsorted(y, limit, side="right")]
+        x, y = x[: np.searchsorted(x, limit)], y[: np.searchsorted(y, limit)]
         return common(x, y) + min(n_x - len(x), n_y - len(y))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {c: batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b")}
-            keep = [needed(n, m, percent) for n, m in zip(rows["n_a"], rows["n_b"], strict=True)]
+            n_a, n_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
             alive = list(range(batch.num_rows))
             for o in orders:
                 x, y = batch.column(f"{o}_a"), batch.column(f"{o}_b")
-                alive = [
-                    i
-                    for i in alive
-                    if allowed(np.frombuffer(x[i].as_py(), "<u8"), np.frombuffer(y[i].as_py(), "<u8"), rows["n_a"][i], rows["n_b"][i]) >= keep[i]
-                ]
+                keys = lambda column, i: np.frombuffer(column[i].as_buffer(), "<u4")
+                alive = [i for i in alive if allowed(keys(x, i), keys(y, i), n_a[i], n_b[i]) >= needed(n_a[i], n_b[i], percent)]
             chosen = pa.array(alive, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(chosen), batch.column("b").take(chosen)], names=["a", "b"])
 
@@ -186,13 +183,11 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.select("id", "class", F.col("rep.doc_id").alias("_doc")).join(ids, "id", "left_semi")
-    found = texts(docs, "doc_id").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "class", "text")
+def token_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id and the whole sorted set, as bytes, of the wanted classes (id, class, doc)."""
+    found = texts(docs, "doc_id").join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("id", "class", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             ids, tokens = [], []
@@ -203,14 +198,18 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
                     tokens.append(shingles(words, hashes, size).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
-    whole = stored(found.mapInArrow(sets, "id bigint, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
-    side = lambda x: whole.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
+    return found.mapInArrow(run, "id bigint, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, alive = batch.column("t_a"), batch.column("t_b"), []
             for i in range(batch.num_rows):
-                a, b = np.frombuffer(x[i].as_py(), "<u8"), np.frombuffer(y[i].as_py(), "<u8")
+                a, b = np.frombuffer(x[i].as_buffer(), "<u8"), np.frombuffer(y[i].as_buffer(), "<u8")
                 if common(a, b) >= needed(len(a), len(b), percent):
                     alive.append(i)
             chosen = pa.array(alive, pa.int64())
@@ -222,40 +221,45 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
 def similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scanned documents, classes, and links (a, b) between classes that hold their components together."""
     scanned = stored(scan(docs, size, percent), "scanned")
-    orders = [f"o{i}" for i in range(ORDERS)]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep")
     classes = stored(
-        scanned.filter("n > 0")
-        .groupBy("class")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep"), F.first(F.struct("n", "cold", *orders)).alias("x"))
-        .select(F.monotonically_increasing_id().alias("id"), "class", "rep", "x.*"),
+        scanned.filter("n > 0").groupBy("class").agg(first, F.min(F.struct("row", "n", "cold")).alias("x")).select(
+            F.col("x.row").alias("id"), "class", "rep", F.col("x.n").alias("n"), (F.col("x.cold") * 1000 / F.col("x.n")).cast("int").alias("cold")
+        ),
         "classes",
     )
-    rows = exploded(classes)
-    best = F.min(F.struct((F.col("cold") * 1000 / F.col("n")).cast("int").alias("cold"), "id", "n"))
-    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members"), best.alias("leader")).filter("members > 1")
+    taking_part = scanned.select(F.col("row").alias("id"), "o0").join(classes.select("id"), "id", "left_semi")
+    rows = exploded(taking_part)
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
+    met = rows.join(often, "token", "left_semi").join(classes.select("id", "n", "cold"), "id")
+    met = stored(met, "met")
+    leaders = met.groupBy("token").agg(F.min(F.struct("cold", "id", "n")).alias("leader"))
     shared = stored(
-        rows.join(buckets, "token").select("token", "id", "n", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "shared"
+        met.join(leaders, "token").select("token", "id", "n", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "shared"
     )
     a, b = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
-    first = shared.filter((F.col("id") != F.col("leader")) & sizes_fit(F.col("n"), F.col("leader_n"), percent)).select(a, b).distinct()
-    near = stored(verified(stored(passing(first, classes, percent), "candidates"), classes, docs, size, percent), "links")
+    stars = shared.filter((F.col("id") != F.col("leader")) & sizes_fit(F.col("n"), F.col("leader_n"), percent)).select(a, b).distinct()
+    stars = stored(stars, "stars")
+    wanted = classes.select("id", "class", F.col("rep.doc_id").alias("doc")).join(shared.select("id").distinct(), "id", "left_semi")
+    sets = stored(token_sets(wanted, docs, size), "sets")
+    near = stored(verified(passing(stars, scanned, percent), sets, percent), "links")
     labels = components(near)
     of = lambda x, label: labels.select(F.col("node").alias(x), F.col("label").alias(label))
-    labelled = (
-        shared.join(of("id", "label"), "id", "left").join(of("leader", "leader_label"), "leader", "left").select(
-            "token", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")
-        )
+    labelled = shared.join(of("id", "label"), "id", "left").join(of("leader", "leader_label"), "leader", "left")
+    labelled = stored(
+        labelled.select("token", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")),
+        "labelled",
     )
-    labelled = stored(labelled, "labelled")
     outside = labelled.filter("label <> leader_label")
     left = outside.select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    right = labelled.join(outside.select("token").distinct(), "token", "left_semi")
-    right = right.select("token", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"), (F.col("label") != F.col("leader_label")).alias("too"))
-    # Both outside: taken once, from the smaller id.
+    right = labelled.join(outside.select("token").distinct(), "token", "left_semi").select(
+        F.col("token").alias("token_y"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"), (F.col("label") != F.col("leader_label")).alias("too")
+    )
+    # Both outside the leader's component: taken once, from the smaller id.
     apart = (F.col("label_x") != F.col("label_y")) & (~F.col("too") | (F.col("x") < F.col("y")))
-    met = left.join(right, (left["token"] == right["token"]) & apart & sizes_fit(F.col("n_x"), F.col("n_y"), percent))
-    second = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(verified(stored(passing(second, classes, percent), "candidates"), classes, docs, size, percent), "links")
+    pairs = left.join(stored(right, "right"), (F.col("token") == F.col("token_y")) & apart & sizes_fit(F.col("n_x"), F.col("n_y"), percent))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = stored(verified(passing(pairs, scanned, percent), sets, percent), "links")
     return scanned, classes, near.unionByName(more)
 
 

@@ -7,10 +7,11 @@ words go. Windows are the beginnings of suffixes, and two equal ones are leaves
 * Anchors. Of the `PREFIX`-word runs inside a window the one with the smallest hash is its anchor. Equal
   windows have equal anchors at the same place, and neighbouring windows mostly share one, so about one
   position in twelve is an anchor. Runs that occur once in the corpus cannot lie in a repeat.
-* Prefixes. Windows are dealt by their anchor, a prefix of `PREFIX` words. Where more than `GROUP`
-  stretches share it, the prefix is lengthened to the whole window, which spreads a hot run over
-  as many groups as it has different windows; such groups need no tree, only a count, taken ahead of the
-  shuffle.
+* Stretches. An anchor's windows overlap and travel as one stretch of words. Equal stretches are
+  combined ahead of the shuffle, with their number.
+* Prefixes. Stretches are dealt by their anchor, a prefix of `PREFIX` words. Where more than `GROUP`
+  share it, the prefix is lengthened to the whole window, which spreads a hot run over as many groups as
+  it has different windows; such groups need no tree, only a count, again taken ahead of the shuffle.
 * Subtrees. A group's suffixes are sorted; neighbours that agree down to the window's depth are leaves
   under one deep internal node. Groups have at most `GROUP` stretches and fit in memory by construction.
 
@@ -20,7 +21,7 @@ a class takes part in the search; of a class with two members or more every wind
 Defined cases: null, empty and blank texts have no words; texts shorter than a window lose nothing;
 repeated rows are documents of their own and so copies; no rows, no result. Other columns pass through
 `without_repeats` and are not looked at. Hashes only choose groups, windows are compared word for word
-(in lengthened groups by 128 bits of hash).
+(stretches, and windows in lengthened groups, by 128 bits of hash).
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from gazette.llm.common import stored, texts
 from gazette.llm.words import WordHashes, run_hashes, words_of
 
-WINDOW, PREFIX, GROUP = 35, 12, 2048
+WINDOW, PREFIX, GROUP = 35, 12, 16384
 
 
 def class_of(words: list[bytes]) -> bytes:
@@ -99,99 +100,106 @@ def with_class(docs: DataFrame, lower: bool = False, name: str = "class") -> Dat
     return docs.mapInArrow(run, f"{schema}, `{name}` binary")
 
 
-def stretches(work: DataFrame, window: int, group: int) -> DataFrame:
-    """key, id, first, windows, words: for each anchor of a group of bounded size its windows' words."""
+def stretches(work: DataFrame, window: int) -> DataFrame:
+    """The words of each anchor's windows: s, t (128 bits of hash), key, members, id, first, windows, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                words = words_of(x["text"])
-                keys, ids, firsts, counts, parts = [], [], [], [], []
-                for a in x["anchors"]:
-                    if a["members"] <= group:
-                        keys.append(a["key"])
-                        firsts.append(a["first"])
-                        counts.append(a["windows"])
-                        parts.append(b" ".join(words[a["first"] : a["first"] + a["windows"] + window - 1]))
-                        ids.append(x["id"])
-                if keys:
-                    columns = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "first", "windows", "words"])
-
-    return work.select("id", "text", "anchors").mapInArrow(run, "key bigint, id bigint, first int, windows int, words binary")
-
-
-def subtree(rows: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int]]:
-    """Of one group's stretches (id, first, windows, words) the word ranges under deep nodes."""
+                words, anchors = words_of(x["text"]), x["anchors"]
+                parts = [b" ".join(words[a["first"] : a["first"] + a["windows"] + window - 1]) for a in anchors]
+                names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
+                columns = [pa.array(names[:, i].copy()) for i in (0, 1)]
+                columns += [pa.array([a[c] for a in anchors], k) for c, k in (("key", pa.int64()), ("members", pa.int64()))]
+                columns += [pa.array([x["id"]] * len(anchors), pa.int64())]
+                columns += [pa.array([a[c] for a in anchors], pa.int32()) for c in ("first", "windows")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], names=["s", "t", "key", "members", "id", "first", "windows", "words"])
+
+    schema = "s bigint, t bigint, key bigint, members bigint, id bigint, first int, windows int, words binary"
+    return work.select("id", "text", "anchors").mapInArrow(run, schema)
+
+
+def subtree(rows: list[tuple[int, int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """Of one group's different stretches (s, t, times, windows, words) the window ranges under deep nodes."""
     suffixes: list[tuple[bytes, int, int]] = []
-    for i, (_, _, windows, words) in enumerate(rows):
-        ends = list(accumulate(len(w) + 1 for w in words.split(b" ")))
-        starts = [0, *ends[: windows - 1]]
-        suffixes += [(words[starts[j] : ends[j + window - 1] - 1], i, j) for j in range(windows)]
-    suffixes.sort()
     deep: dict[int, set[int]] = {}
+    for i, (_, _, times, windows, words) in enumerate(rows):
+        if times > 1:
+            deep[i] = set(range(windows))
+        if len(rows) > 1:
+            ends = list(accumulate(len(w) + 1 for w in words.split(b" ")))
+            starts = [0, *ends[: windows - 1]]
+            suffixes += [(words[starts[j] : ends[j + window - 1] - 1], i, j) for j in range(windows)]
+    suffixes.sort()
     for (a, i, j), (b, k, m) in zip(suffixes, suffixes[1:], strict=False):
         if a == b:
             deep.setdefault(i, set()).add(j)
             deep.setdefault(k, set()).add(m)
     for i, found in deep.items():
-        yield from ranges(rows[i][0], sorted(rows[i][1] + j for j in found), window)
+        for start, end in ranges(sorted(found), window):
+            yield rows[i][0], rows[i][1], start, end
 
 
-def ranges(owner: int, windows: list[int], window: int) -> Iterator[tuple[int, int, int]]:
+def ranges(windows: list[int], window: int) -> Iterator[tuple[int, int]]:
     """Word ranges covered by sorted window starts."""
     start = end = -1
     for p in windows:
         if p > end:
             if end >= 0:
-                yield owner, start, end
+                yield start, end
             start = p
         end = p + window
     if end >= 0:
-        yield owner, start, end
+        yield start, end
 
 
-def subtrees(parts: DataFrame, window: int) -> DataFrame:
-    """id, start, end: word ranges of repeats. Groups stand together in sorted partitions."""
+def subtrees(different: DataFrame, window: int) -> DataFrame:
+    """s, t, start, end: word ranges of repeats within stretches. Groups stand together in sorted partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("key", "id", "first", "windows", "words")]
+            found: list[tuple[int, int, int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in ("key", "s", "t", "times", "windows", "words")]
             for k, *row in zip(*columns, strict=True):
                 if k != key:
-                    if len(rows) > 0:
-                        found += subtree(rows, window)
+                    found += subtree(rows, window)
                     key, rows = k, []
                 rows.append(row)
             yield range_batch(found)
         yield range_batch(list(subtree(rows, window)))
 
-    even = parts.repartition("key").sortWithinPartitions("key")
-    return even.mapInArrow(run, "id bigint, start int, end int")
+    even = different.select("key", "s", "t", "times", "windows", "words").repartition("key").sortWithinPartitions("key")
+    return even.mapInArrow(run, "s bigint, t bigint, start int, end int")
 
 
-def range_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32())
-    columns = zip(*found, strict=True) if found else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "start", "end"])
+def range_batch(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    columns = zip(*found, strict=True) if found else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["s", "t", "start", "end"])
 
 
-def hot_windows(work: DataFrame, window: int, group: int) -> DataFrame:
-    """id, at, a, b: every window of a too large group with 128 bits of hash of its words."""
+def hot_windows(different: DataFrame, window: int) -> DataFrame:
+    """s, t, times, at, a, b: every window of the stretches with 128 bits of hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                words = words_of(x["text"])
-                at = [p for a in x["anchors"] if a["members"] > group for p in range(a["first"], a["first"] + a["windows"])]
-                if at:
-                    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words[p : p + window])) for p in at), "<i8").reshape(-1, 2)
-                    columns = [pa.array([x["id"]] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "a", "b"])
+                words, n = x["words"].split(b" "), x["windows"]
+                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words[p : p + window])) for p in range(n)), "<i8").reshape(-1, 2)
+                columns = [pa.array([x[c]] * n, pa.int64()) for c in ("s", "t", "times")]
+                columns += [pa.array(range(n), pa.int32()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, names=["s", "t", "times", "at", "a", "b"])
+
+    return different.select("s", "t", "times", "windows", "words").mapInArrow(run, "s bigint, t bigint, times bigint, at int, a bigint, b bigint")
 
-    return work.select("id", "text", "anchors").mapInArrow(run, "id bigint, at int, a bigint, b bigint")
+
+def counted(different: DataFrame, window: int) -> DataFrame:
+    """The same as `subtrees` for groups too large for a tree: windows as whole prefixes, counted."""
+    windows = stored(hot_windows(different, window), "hot-windows")
+    often = windows.groupBy("a", "b").agg(F.sum("times").alias("n")).filter("n > 1").select("a", "b")
+    found = windows.join(stored(often, "often"), ["a", "b"])
+    return found.select("s", "t", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
 
 
 def repeats(scanned: DataFrame, docs: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
@@ -217,11 +225,18 @@ def repeats(scanned: DataFrame, docs: DataFrame, window: int, prefix: int, group
     # Copies lose everything whatever the trees say, but their windows count as occurrences for others.
     wanted = by_class.join(classes.select("id", "class"), "id")
     work = stored(class_texts(docs, wanted), "texts")
-    from_trees = subtrees(stretches(work, window, group), window)
-    hot = stored(hot_windows(work, window, group), "hot-windows")
-    often = hot.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
-    from_counts = hot.join(often, ["a", "b"]).select("id", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    spans = from_trees.unionByName(from_counts).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    occurring = stored(stretches(work, window), "stretches")
+    pick = ["key", "members", "windows", "words"]
+    different = occurring.groupBy("s", "t").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in pick])
+    if occurring.filter(F.col("members") > group).limit(1).count():
+        different = stored(different, "different")
+        found = subtrees(different.filter(F.col("members") <= group), window).unionByName(counted(different.filter(F.col("members") > group), window))
+    else:
+        found = subtrees(different, window)
+    here = occurring.select("s", "t", "id", "first").join(stored(found, "found"), ["s", "t"])
+    spans = here.groupBy("id").agg(
+        F.sort_array(F.collect_set(F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end")))).alias("spans")
+    )
     cut = cut_texts(work.select("id", "class", "text").join(spans.join(alone, "id", "left_semi"), "id"))
     copied = classes.filter(f"copies > 1 AND n_words >= {window}")
     return cut.unionByName(copied.select("class", F.lit("").alias("kept"), F.col("n_words").alias("n_removed")))

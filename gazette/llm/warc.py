@@ -49,10 +49,14 @@ RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest stri
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample; of too small a sample its own bytes; of nothing, nothing."""
-    sample = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id").alias("at"))
-    rows = sample.filter(F.length("html") > 0).orderBy("at", "html").limit(SAMPLE_PAGES).collect()
-    parts = [r["html"].encode() for r in rows]
+    """A dictionary from a bounded sample; of too small a sample its own bytes; of nothing, nothing.
+
+    The sample is chosen on ids alone, the smallest by hash, so that only chosen pages are moved.
+    """
+    known = pages.filter(F.length("html") > 0).select(F.xxhash64("page_id").alias("at"), "html")
+    chosen = known.select("at").distinct().orderBy("at").limit(SAMPLE_PAGES)
+    rows = known.join(F.broadcast(chosen), "at").select("at", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    parts = [r["html"].encode() for r in sorted(rows.groupBy("at").agg(F.min("html").alias("html")).collect())]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except zstandard.ZstdError:
@@ -106,7 +110,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
             for x in batch.to_pylist():
                 if out is None:
                     path = f"{at}/{uuid.uuid4().hex}.warc.zst"
-                    out = files.open_output_stream(path)
+                    out = files.open_output_stream(path, compression=None)
                     out.write(struct.pack("<II", SKIPPABLE, len(shared)) + shared)
                     records = size = 0
                 data = record(x["page_id"], x["url"], x["body"], x["digest"], x["n_bytes"], x["refers_to"])
@@ -200,7 +204,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for archive in batch.to_pylist():
                 files, at = pyarrow.fs.FileSystem.from_uri(archive["path"])
                 rows, size, records = [], 0, 0
-                with files.open_input_stream(at) as stream:
+                with files.open_input_stream(at, compression=None) as stream:
                     for data in frames(stream):
                         row = parsed(data)
                         records += 1
