@@ -1,50 +1,37 @@
 """Subscription histories folded into the current subscriber state.
 
-One action changes one state, so a run of actions is a function from the state before it to the
-state after it, and such functions can be chained. Histories of ordinary length are gathered per
-address and folded at once. A history beyond the limit is never gathered: it is sorted over the
-cluster, cut into short runs, each run folded for every state it might start from, and the small
-results chained, first within a partition, then per address.
+Histories of ordinary length are gathered per address and folded at once. A longer one is never
+gathered: it is sorted over the cluster and cut into runs of bounded size, which are folded one after
+the other, each from the stored state before it. Work and time are linear in the length of a history,
+whatever tokens it shows, and a row never holds more than one run.
+
+A fold may start from the states an earlier fold has left (`start`), so old actions need not be kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.operators.common import salted_join
+from gazette.operators.common import numbered
 from gazette.schemas import ACTIVE, MODES, PENDING, UNSUBSCRIBED
 
-GATHER_LIMIT = 50_000  # actions of one address that may be gathered into one row
-LONG_HISTORIES = 2_000_000  # most addresses that can be beyond the limit, about 100 MB of them
-RUN = 1024  # actions per run of a long history, a power of two
+GATHER_LIMIT = 16_384  # actions of one address that may be gathered into one row
+RUN = 16_384  # actions per run of a longer history
+BLOCK = 1024  # refused actions are listed in blocks of so many actions
 
 STATE = (
     "struct<status: string, mode: string, keywords: array<string>, confirmed_at: timestamp, "
-    "token: string, rejects: bigint, own_mode: boolean, own_confirmed: boolean, own_token: boolean>"
+    "token: string, created_at: timestamp, rejects: bigint>"
 )
 STATE_FIELDS = [f.split(":")[0].strip() for f in STATE[7:-1].split(", ")]
 REJECTS = "array<struct<event_id: bigint, action: string, reason: string>>"
 
 
-def _state(status: Column, token: Column, own: bool) -> Column:
-    """A start state. `own` is false where earlier values are not known yet."""
-    return F.struct(
-        status.alias("status"),
-        F.lit(None).cast("string").alias("mode"),
-        F.lit(None).cast("array<string>").alias("keywords"),
-        F.lit(None).cast("timestamp").alias("confirmed_at"),
-        token.alias("token"),
-        F.lit(0).cast("bigint").alias("rejects"),
-        F.lit(own).alias("own_mode"),
-        F.lit(own).alias("own_confirmed"),
-        F.lit(own).alias("own_token"),
-    ).cast(STATE)
-
-
 def _no_one() -> Column:
-    nothing = F.lit(None).cast("string")
-    return _state(nothing, nothing, True)
+    return F.struct(*[F.lit(0 if c == "rejects" else None).alias(c) for c in STATE_FIELDS]).cast(STATE)
 
 
 def _bind(value: Column, body) -> Column:
@@ -88,10 +75,8 @@ def _after(s: Column, x: Column, did: Column) -> Column:
         .otherwise(s["confirmed_at"])
         .alias("confirmed_at"),
         F.when(opened, x["token"]).otherwise(s["token"]).alias("token"),
+        F.when(s["status"].isNull(), x["ts"]).otherwise(s["created_at"]).alias("created_at"),
         s["rejects"].alias("rejects"),
-        (s["own_mode"] | prefers).alias("own_mode"),
-        (s["own_confirmed"] | opened | (did == CONFIRMED)).alias("own_confirmed"),
-        (s["own_token"] | opened).alias("own_token"),
     )
 
 
@@ -128,174 +113,104 @@ def _fold(events: Column, start: Column, check_tokens: bool) -> Column:
     return F.aggregate(events, start, lambda s, x: _step(s, x, check_tokens))
 
 
-def _chain(before: Column, branches: Column) -> Column:
-    """The state after a run, given the state before it and the run's result per start state."""
-    fitting = F.filter(branches, lambda b: b["status"].eqNullSafe(before["status"]))
-    same = F.filter(fitting, lambda b: b["token"] == before["token"])
-    other = F.filter(fitting, lambda b: b["token"].isNull())
-    after = F.coalesce(F.get(same, F.lit(0)), F.get(other, F.lit(0)))["after"]
-    return _bind(
-        after,
-        lambda r: F.struct(
-            r["status"].alias("status"),
-            F.when(r["own_mode"], r["mode"]).otherwise(before["mode"]).alias("mode"),
-            F.when(r["own_mode"], r["keywords"]).otherwise(before["keywords"]).alias("keywords"),
-            F.when(r["own_confirmed"], r["confirmed_at"])
-            .otherwise(before["confirmed_at"])
-            .alias("confirmed_at"),
-            F.when(r["own_token"], r["token"]).otherwise(before["token"]).alias("token"),
-            (before["rejects"] + r["rejects"]).alias("rejects"),
-            (before["own_mode"] | r["own_mode"]).alias("own_mode"),
-            (before["own_confirmed"] | r["own_confirmed"]).alias("own_confirmed"),
-            (before["own_token"] | r["own_token"]).alias("own_token"),
-        ),
-    )
+def _event() -> Column:
+    return F.struct("ts", "event_id", "action", "mode", "keywords", "token", "mail_ok")
 
 
-def _starts(tokens: Column) -> Column:
-    """Every state a run may start from: not known yet, or known with each token the run mentions
-    or another one."""
-    nothing = F.lit(None).cast("string")
-    statuses = F.array(F.lit(PENDING), F.lit(ACTIVE), F.lit(UNSUBSCRIBED))
-    held = F.concat(tokens, F.array(nothing))
-    known = F.flatten(
-        F.transform(
-            statuses,
-            lambda s: F.transform(held, lambda t: F.struct(s.alias("status"), t.alias("token"))),
-        )
-    )
-    return F.concat(F.array(F.struct(nothing.alias("status"), nothing.alias("token"))), known)
+Fold = Callable[[Column, Column], Column]
 
 
-def _branches(starts: Column, fold) -> Column:
-    return F.transform(
-        starts,
-        lambda b: F.struct(
-            b["status"].alias("status"),
-            b["token"].alias("token"),
-            fold(_state(b["status"], b["token"], False)).alias("after"),
-        ),
-    )
+def _histories(actions: DataFrame, start: DataFrame | None) -> DataFrame:
+    """email, events, before: whole histories with the state they start from."""
+    events = actions.groupBy("email").agg(F.array_sort(F.collect_list(_event())).alias("events"))
+    return _from(events, start)
 
 
-def _event() -> Column:
-    return F.struct("ts", "event_id", "action", "mode", "keywords", "token", "mail_ok")
+def _from(events: DataFrame, start: DataFrame | None) -> DataFrame:
+    if start is None:
+        return events.withColumn("before", _no_one())
+    held = start.select("email", F.struct(*STATE_FIELDS).cast(STATE).alias("_held"))
+    return events.join(held, "email", "left").withColumn("before", F.coalesce("_held", _no_one())).drop("_held")
 
 
-def _split(actions: DataFrame, gather_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Ordinary and long histories.
+def _runs(long: DataFrame, run: int) -> DataFrame:
+    """email, nth, events: histories cut into runs of at most `run` actions, numbered from 1.
 
-    An address counts as long above the limit, or above 1/`LONG_HISTORIES` of all actions if that
-    is more, so there are at most `LONG_HISTORIES` long ones to broadcast.
+    The sort spreads one address over many tasks; only the runs' numbers meet per address.
     """
-    counts = actions.groupBy("email").agg(F.count("*").alias("n"))
-    share = F.ceil(actions.agg(F.count("*")).scalar() / LONG_HISTORIES)
-    long = F.broadcast(
-        counts.filter(F.col("n") > F.greatest(F.lit(gather_limit).cast("long"), share)).select("email")
-    )
-    return (
-        actions.join(long, "email", "left_anti"),
-        actions.join(long, "email", "left_semi"),
-    )
-
-
-def _runs(long: DataFrame, run: int) -> DataFrame:
-    """Long histories cut into runs of at most `run` actions, in order of `part, run`."""
     ordered = (
-        _known_tokens(long).repartitionByRange("email", "ts", "event_id")
+        long.repartitionByRange("email", "ts", "event_id")
         .sortWithinPartitions("email", "ts", "event_id")
         .withColumn("_at", F.monotonically_increasing_id())
     )
     place = F.col("_at").bitwiseAND((1 << 33) - 1)
-    return (
+    cut = (
         ordered.withColumn("part", F.shiftright("_at", 33))
         .withColumn("run", F.floor(place / run))
         .groupBy("email", "part", "run")
         .agg(F.array_sort(F.collect_list(_event())).alias("events"))
+        .checkpoint()
     )
+    numbers = cut.select("email", "part", "run").withColumn("nth", F.row_number().over(Window.partitionBy("email").orderBy("part", "run")))
+    return cut.join(numbers, ["email", "part", "run"]).select("email", "nth", "events").checkpoint()
 
 
-def _known_tokens(long: DataFrame) -> DataFrame:
-    """Tokens never handed out to the address become null: they fit no state, so no run need try them."""
-    handed = F.col("action").isin("subscribe", "resend_confirmation")
-    issued = long.filter(handed).select("email", "token", F.lit(True).alias("_issued")).distinct()
-    marked = salted_join(long, issued, ["email", "token"], "left", ["event_id"])
-    return marked.withColumn("token", F.when(F.col("_issued"), F.col("token"))).drop("_issued")
-
-
-def _run_results(runs: DataFrame, check_tokens: bool) -> DataFrame:
-    tokens = F.array().cast("array<string>")
-    if check_tokens:
-        shown = F.filter(
-            F.col("events"),
-            lambda x: x["action"].isin("confirm", "unsubscribe", "manage") & x["token"].isNotNull(),
-        )
-        tokens = F.array_distinct(F.transform(shown, lambda x: x["token"]))
-    return runs.withColumn("_starts", _starts(tokens)).select(
-        "email",
-        "part",
-        "run",
-        _branches(F.col("_starts"), lambda s: _fold(F.col("events"), s, check_tokens)).alias("branches"),
-    )
-
+def _fold_runs(long: DataFrame, start: DataFrame | None, fold: Fold, run: int) -> Iterator[DataFrame]:
+    """After each round the rows email, s and what else `fold` gives for the runs of that round.
 
-def _part_results(results: DataFrame) -> DataFrame:
-    gathered = results.groupBy("email", "part").agg(
-        F.array_sort(F.collect_list(F.struct("run", "branches"))).alias("runs")
-    )
-    mentioned = F.flatten(
-        F.transform("runs", lambda r: F.transform(r["branches"], lambda b: b["token"]))
-    )
-    tokens = F.array_distinct(F.filter(mentioned, lambda t: t.isNotNull()))
-    chained = lambda s: F.aggregate("runs", s, lambda before, r: _chain(before, r["branches"]))
-    return gathered.withColumn("_starts", _starts(tokens)).withColumn(
-        "branches", _branches(F.col("_starts"), chained)
-    ).drop("_starts")
+    Rounds are stored, so a lost executor costs one of them.
+    """
+    runs = _runs(long, run)
+    rounds = runs.agg(F.max("nth")).first()[0] or 0
+    before = start
+    for nth in range(1, rounds + 1):
+        here = _from(runs.filter(F.col("nth") == nth).select("email", "events"), before)
+        done = here.select("email", fold(F.col("events"), F.col("before")).alias("r")).checkpoint()
+        yield done
+        before = done.select("email", "r.s.*")  # whoever has a next run has had this one
 
 
-def _parts_in_order(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("email").agg(
-        F.array_sort(F.collect_list(F.struct("part", "branches"))).alias("parts")
-    )
+def _split(actions: DataFrame, gather_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Ordinary histories and those with more than `gather_limit` actions, if there are any."""
+    long = actions.groupBy("email").agg(F.count("*").alias("n")).filter(F.col("n") > gather_limit).select("email")
+    if long.limit(1).count() == 0:
+        return actions, None
+    return actions.join(long, "email", "left_anti"), actions.join(long, "email", "left_semi")
 
 
 def _columns(state: Column) -> list[Column]:
-    return [state[c].alias(c) for c in ("status", "mode", "keywords", "confirmed_at", "token", "rejects")]
+    return [state[c].alias(c) for c in ("status", "mode", "keywords", "confirmed_at", "token", "rejects", "created_at")]
 
 
 def lifecycle_fold(
-    actions: DataFrame, check_tokens: bool = True, gather_limit: int = GATHER_LIMIT, run: int = RUN
+    actions: DataFrame,
+    check_tokens: bool = True,
+    gather_limit: int = GATHER_LIMIT,
+    run: int = RUN,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """The state of each address after all its actions, by time, then event id.
 
     `actions`: `event_id, email, ts, action, token, mode, keywords, mail_ok`. On subscribe and
     resend_confirmation `token` is the one handed out, on confirm, unsubscribe and manage the one
     shown. `status` is null for an address that never got in; `rejects` counts refused actions.
+    `start` is a result of this function over all earlier actions; its addresses come back as well.
     """
     ordinary, long = _split(actions, gather_limit)
-    short = ordinary.groupBy("email").agg(F.array_sort(F.collect_list(_event())).alias("events"))
-    short = short.select("email", _fold(F.col("events"), _no_one(), check_tokens).alias("s"))
-    parts = _part_results(_run_results(_runs(long, run), check_tokens))
-    chained = _parts_in_order(parts).select(
-        "email",
-        F.aggregate("parts", _no_one(), lambda before, p: _chain(before, p["branches"])).alias("s"),
-    )
-    return short.unionByName(chained).select("email", *_columns(F.col("s")))
-
-
-def _prefixes(items: Column, start: Column, place: str) -> Column:
-    """`place` and start state of each item, in order."""
-    kind = f"array<struct<{place}: bigint, before: {STATE}>>"
-    zero = F.struct(start.alias("s"), F.array().cast(kind).alias("seen"))
-    seen = F.aggregate(
-        items,
-        zero,
-        lambda a, r: F.struct(
-            _chain(a["s"], r["branches"]).alias("s"),
-            F.concat(a["seen"], F.array(F.struct(r[place].alias(place), a["s"].alias("before")))).cast(kind).alias("seen"),
-        ),
-    )
-    return seen["seen"]
+    fold = lambda events, s: F.struct(_fold(events, s, check_tokens).alias("s"))
+    folded = _histories(ordinary, start).select("email", fold(F.col("events"), F.col("before")).alias("r"))
+    states = folded.select("email", "r.s")
+    if long is not None:
+        last: DataFrame | None = None
+        for done in _fold_runs(long, start, fold, run):
+            now = done.select("email", "r.s")
+            last = now if last is None else now.unionByName(last.join(now, "email", "left_anti")).checkpoint()
+        states = states.unionByName(last)
+    states = states.select("email", *_columns(F.col("s")))
+    if start is None:
+        return states
+    quiet = start.select(*states.columns).join(actions.select("email").distinct(), "email", "left_anti")
+    return states.unionByName(quiet)
 
 
 def _refused(events: Column, start: Column, check_tokens: bool) -> Column:
@@ -324,48 +239,66 @@ def _refused(events: Column, start: Column, check_tokens: bool) -> Column:
     return F.aggregate(events, zero, step)
 
 
-def lifecycle_rejects(
-    actions: DataFrame, check_tokens: bool = True, gather_limit: int = GATHER_LIMIT, run: int = RUN
-) -> DataFrame:
-    """Every refused action with the reason: `email, event_id, action, reason`."""
-    ordinary, long = _split(actions, gather_limit)
-    short = ordinary.groupBy("email").agg(F.array_sort(F.collect_list(_event())).alias("events"))
-    size = F.size("events")
+def _listed(events: Column, start: Column, check_tokens: bool) -> Column:
+    """State after `events` and the refused ones as lists, one per block: appending copies a block, not all."""
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / run).cast("int")),
-        lambda i: F.slice(F.col("events"), i * run + 1, F.lit(run)),
+        F.sequence(F.lit(0), F.floor((F.size(events) - 1) / BLOCK).cast("int")),
+        lambda i: F.slice(events, i * BLOCK + 1, F.lit(BLOCK)),
     )
-    zero = F.struct(_no_one().alias("s"), F.array().cast(f"array<{REJECTS}>").alias("lists"))
+    zero = F.struct(start.alias("s"), F.array().cast(f"array<{REJECTS}>").alias("lists"))
 
-    def block(a: Column, events: Column) -> Column:
+    def block(a: Column, part: Column) -> Column:
         return _bind(
-            _refused(events, a["s"], check_tokens),
+            _refused(part, a["s"], check_tokens),
             lambda r: F.struct(
                 r["s"].alias("s"),
                 F.concat(a["lists"], F.array(r["refused"])).cast(f"array<{REJECTS}>").alias("lists"),
             ),
         )
 
-    lists = short.withColumn("blocks", blocks).select("email", F.aggregate("blocks", zero, block)["lists"].alias("l"))
-    plain = lists.select("email", F.inline(F.flatten("l")))
+    return F.aggregate(blocks, zero, block)
 
-    # The cut into runs must be the same for both uses below, so it is kept.
-    runs = _runs(long, run).checkpoint()
-    parts = _part_results(_run_results(runs, check_tokens))
-    part_starts = _parts_in_order(parts).select(
-        "email", F.inline(_prefixes(F.col("parts"), _no_one(), "part"))
-    )
-    run_starts = (
-        parts.join(part_starts, ["email", "part"])
-        .select("email", "part", F.inline(_prefixes(F.col("runs"), F.col("before"), "run")))
-    )
-    rerun = runs.join(run_starts, ["email", "part", "run"]).select(
-        "email",
-        F.inline(_refused(F.col("events"), F.col("before"), check_tokens)["refused"]),
-    )
-    return plain.unionByName(rerun)
+
+def lifecycle_rejects(
+    actions: DataFrame,
+    check_tokens: bool = True,
+    gather_limit: int = GATHER_LIMIT,
+    run: int = RUN,
+    start: DataFrame | None = None,
+) -> DataFrame:
+    """Every refused action with the reason: `email, event_id, action, reason`."""
+    ordinary, long = _split(actions, gather_limit)
+    fold = lambda events, s: _listed(events, s, check_tokens)
+    lists = _histories(ordinary, start).select("email", fold(F.col("events"), F.col("before")).alias("r"))
+    for done in _fold_runs(long, start, fold, run) if long is not None else ():
+        lists = lists.unionByName(done)
+    return lists.select("email", F.inline(F.flatten("r.lists")))
 
 
-def subscriber_rows(folded: DataFrame) -> DataFrame:
-    """The folded states that are rows of the subscriber table."""
-    return folded.filter(F.col("status").isNotNull())
+def subscriber_rows(folded: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """The subscriber table after a fold.
+
+    Known addresses keep id and creation time; new ones get ids above the highest one, in order of
+    their first subscription, and that time. The token stands for all three, which change together.
+    Rows of addresses the fold does not know stay as they are.
+    """
+    names = subscribers.columns
+    key = F.lower(F.trim("email"))
+    states = folded.filter(F.col("status").isNotNull()).select(
+        key.alias("_key"), F.col("email").alias("_email"), *[F.col(c).alias(f"_{c}") for c in ("status", "mode", "keywords", "confirmed_at", "token", "created_at")]
+    )
+    both = subscribers.withColumn("_key", key).join(states, "_key", "full_outer")
+    known = F.col("_status").isNotNull()
+    new = states.join(subscribers.select(key.alias("_key")), "_key", "left_anti")
+    highest = subscribers.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    ids = numbered(new, "_nth", "_created_at", "_key").select("_key", (highest + 1 + F.col("_nth")).alias("_id"))
+    made = {
+        "id": F.coalesce("id", "_id"),
+        "email": F.coalesce("email", "_email"),
+        "mode": F.when(known, F.col("_mode")).otherwise(F.col("mode")),
+        "keywords_json": F.when(known, F.to_json("_keywords")).otherwise(F.col("keywords_json")),
+        "status": F.coalesce("_status", "status"),
+        "created_at": F.coalesce("created_at", "_created_at"),
+        "confirmed_at": F.when(known, F.col("_confirmed_at")).otherwise(F.col("confirmed_at")),
+    } | {t: F.when(known, F.coalesce("_token", t)).otherwise(F.col(t)) for t in ("confirm_token", "unsubscribe_token", "manage_token")}
+    return both.join(ids, "_key", "left").select(*[made[n].alias(n) for n in names])

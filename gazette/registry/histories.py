@@ -107,6 +107,32 @@ def lifecycle_fold_long(spark, sf):
     return _flat(L.lifecycle_fold(actions(spark, sf), gather_limit=0, run=64))
 
 
+# Half of the time first, then the rest on top of what it left.
+@query("lifecycle_resume", f"SELECT {_STATE} FROM v_replayed")
+def lifecycle_resume(spark, sf):
+    rows = actions(spark, sf)
+    middle = rows.select(F.percentile_approx(F.unix_micros("ts"), 0.5)).scalar()
+    first, rest = rows.filter(F.unix_micros("ts") < middle), rows.filter(F.unix_micros("ts") >= middle)
+    return _flat(L.lifecycle_fold(rest, start=L.lifecycle_fold(first).checkpoint()))
+
+
+# New addresses become rows of the table, in order of their first subscription.
+@query(
+    "lifecycle_rows",
+    f"""SELECT (SELECT max(id) FROM v_subscribers) + row_number() OVER (ORDER BY since, email) AS id, email, s.mode AS mode,
+    s.status AS status, {sql_time('since')} AS created_at, {sql_time('s.conf')} AS confirmed_at, s.token AS manage_token
+    FROM v_replayed JOIN (SELECT email, min(ts) AS since FROM v_actions WHERE action = 'subscribe' AND mail_ok GROUP BY email) f
+    USING (email) WHERE s.status IS NOT NULL
+    UNION ALL SELECT id, email, mode, status, {sql_time('created_at')}, {sql_time('confirmed_at')}, manage_token FROM v_subscribers""",
+)
+def lifecycle_rows(spark, sf):
+    rows = L.subscriber_rows(L.lifecycle_fold(actions(spark, sf)).checkpoint(), view(spark, sf, "subscribers"))
+    return rows.select(
+        "id", "email", "mode", "status", time_text("created_at").alias("created_at"),
+        time_text("confirmed_at").alias("confirmed_at"), "manage_token",
+    )
+
+
 @query(
     "lifecycle_rejects",
     """SELECT email, CAST(split_part(r, '|', 1) AS BIGINT) AS event_id, split_part(r, '|', 2) AS action, split_part(r, '|', 3) AS reason
@@ -116,15 +142,22 @@ def lifecycle_rejects(spark, sf):
     return L.lifecycle_rejects(actions(spark, sf)).select("email", "event_id", "action", "reason")
 
 
-def _arriving(spark, sf, source):
-    """A given table as a stream of its file."""
-    schema = spark.read.parquet(f"{sf}/{source}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf)
+PARTS = 3  # files, and so micro-batches, that a table arrives in
 
 
 def _arriving_view(spark, sf, name):
+    """A view over a given table that arrives as a stream, one file after the other in order of time."""
     source, columns = VIEWS[name]
-    return _arriving(spark, sf, source).selectExpr(*[dialect(c, "spark") for c in columns])
+    rows = spark.read.parquet(f"{sf}/{source}.parquet")
+    order = {"events": F.unix_micros(F.col("ts").cast("timestamp"))}.get(source, F.col(rows.columns[0])).cast("double")
+    cuts = rows.select(order.alias("at")).approxQuantile("at", [i / PARTS for i in range(1, PARTS)], 0.01)
+    path = shared_dir(spark, f"arriving-{source}")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.filter(order >= low)
+        part = part if high is None else part.filter(order < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.selectExpr(*[dialect(c, "spark") for c in columns])
 
 
 def _entries_stream(spark, sf):
@@ -151,16 +184,15 @@ def stream_weekly_feed_stats(spark, sf):
     return newest.withColumn("week_start", F.col("week_start").cast("string"))
 
 
-def _states(spark, sf, check_tokens):
+def _actions_stream(spark, sf):
     rows = _arriving_view(spark, sf, "actions")
-    arriving = rows.withColumn("keywords", keywords_from_text(F.col("keywords_text"))).drop("keywords_text")
-    states = SL.lifecycle_stream(arriving, check_tokens)
-    return runs.run_to_table(states, shared_dir(spark, "states"), shared_dir(spark, "states-state"), "update")
+    return rows.withColumn("keywords", keywords_from_text(F.col("keywords_text"))).drop("keywords_text")
 
 
 @query("stream_lifecycle", f"SELECT {_STATE} FROM v_replayed")
 def stream_lifecycle(spark, sf):
-    return _flat(SL.current_states(_states(spark, sf, True)))
+    versions = SL.lifecycle_stream(_actions_stream(spark, sf), shared_dir(spark, "states"), shared_dir(spark, "states-state"))
+    return _flat(SL.current_states(versions))
 
 
 @query(
@@ -169,10 +201,8 @@ def stream_lifecycle(spark, sf):
     count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'unsubscribed') AS unsubscribed FROM v_window_states""",
 )
 def stream_audience_metrics(spark, sf):
-    rows = _arriving_view(spark, sf, "actions")
-    arriving = rows.withColumn("keywords", keywords_from_text(F.col("keywords_text"))).drop("keywords_text")
     return SL.metrics_stream(
-        SL.lifecycle_stream(arriving, check_tokens=False), shared_dir(spark, "metrics"), shared_dir(spark, "metrics-state")
+        _actions_stream(spark, sf), shared_dir(spark, "metrics"), shared_dir(spark, "metrics-state"), check_tokens=False
     )
 
 

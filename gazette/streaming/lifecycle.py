@@ -2,112 +2,52 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gazette.schemas import ACTIVE, MODES, PENDING, UNSUBSCRIBED
+from gazette.operators.lifecycle import STATE_FIELDS, lifecycle_fold
+from gazette.schemas import ACTIVE, PENDING, UNSUBSCRIBED
 from gazette.streaming.runs import newest_version, read_batches, run_batches, start_table, write_batch
 
-STATE = (
-    "status string, mode string, keywords string, confirmed_at long, token string, "
-    "rejects long, n_actions long"
-)
-OUTPUT = (
-    "email string, status string, mode string, keywords string, confirmed_at long, token string, "
-    "rejects long, n_actions long, status_before string, confirmed_before boolean"
+VERSION = (
+    "email string, status string, mode string, keywords array<string>, confirmed_at timestamp, token string, "
+    "created_at timestamp, rejects long, status_before string, confirmed_before boolean"
 )
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-# Workers need not have this package: the processor travels with the query.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-class SubscriberState(StatefulProcessor):
-    """Applies the actions of a batch to the address's state, in order of time and id."""
-
-    def __init__(self, check_tokens: bool):
-        self.check_tokens = check_tokens
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("subscriber", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (None,) * 5 + (0, 0)
-        status, mode, keywords, confirmed, token, rejects, n = held
-        before = (status, confirmed is not None)
-        batch = pd.concat(list(rows)).sort_values(["ts_micros", "event_id"])
-        for x in batch.itertuples(index=False):
-            n += 1
-            match = status is not None and (
-                not self.check_tokens or (token is not None and token == x.token)
-            )
-            if x.action == "subscribe" and (status in (PENDING, UNSUBSCRIBED) or (status is None and x.mail_ok)):
-                status, mode, keywords, confirmed, token = PENDING, x.mode, x.keywords, None, x.token
-            elif x.action == "resend_confirmation" and status in (PENDING, UNSUBSCRIBED):
-                status, confirmed, token = PENDING, None, x.token
-            elif x.action == "confirm" and match and status == PENDING:
-                status, confirmed = ACTIVE, int(x.ts_micros)
-            elif x.action == "manage" and match and status == ACTIVE and x.mode in MODES:
-                mode, keywords = x.mode, x.keywords
-            elif (x.action == "unsubscribe" and match) or (x.action == "admin_unsubscribe" and status is not None):
-                status = UNSUBSCRIBED
-            else:
-                rejects += 1
-        now = (status, mode, keywords, confirmed, token, rejects, n)
-        self.state.update(now)
-        columns = [f.split()[0] for f in OUTPUT.split(", ")]
-        out = pd.DataFrame([(key[0], *now, *before)], columns=columns)
-        out["confirmed_at"] = out["confirmed_at"].astype("Int64")
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def lifecycle_stream(actions: DataFrame, check_tokens: bool = True) -> DataFrame:
-    """One row per address and micro-batch: the state after it, and the status before it.
-
-    Keywords travel as JSON text and times as microseconds. How many actions of one address meet
-    in a call is bounded by the size of a micro-batch (`maxFilesPerTrigger`, `maxBytesPerTrigger`).
+
+
+def _versions(arriving: DataFrame) -> DataFrame:
+    return arriving.sparkSession.createDataFrame([], VERSION)
+
+
+def _advance(rows: DataFrame, batch_id: int, path: str, check_tokens: bool) -> None:
+    """Folds one micro-batch from the states that earlier batches left and writes the new states.
+
+    Only addresses of the batch are read; a batch that runs again starts from the same states.
     """
-    spark = actions.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    slim = actions.select(
-        "email",
-        "event_id",
-        F.unix_micros("ts").alias("ts_micros"),
-        "action",
-        "token",
-        "mode",
-        F.to_json("keywords").alias("keywords"),
-        "mail_ok",
-    )
-    return slim.groupBy("email").transformWithStateInPandas(
-        statefulProcessor=SubscriberState(check_tokens),
-        outputStructType=OUTPUT,
-        outputMode="Update",
-        timeMode="None",
-    )
+    asked = rows.select("email").distinct()
+    earlier = read_batches(_versions(rows), path).filter(F.col("batch_id") < batch_id).join(asked, "email", "left_semi")
+    start = newest_version(earlier, ["email"]).select("email", *STATE_FIELDS)
+    before = start.select("email", F.col("status").alias("status_before"), F.col("confirmed_at").isNotNull().alias("confirmed_before"))
+    now = lifecycle_fold(rows, check_tokens, start=start).join(before, "email", "left")
+    now = now.withColumn("confirmed_before", F.coalesce("confirmed_before", F.lit(False)))
+    write_batch(now.select(*_versions(rows).columns), batch_id, path)
+
+
+def lifecycle_stream(actions: DataFrame, path: str, checkpoint: str, check_tokens: bool = True) -> DataFrame:
+    """Runs the stream of actions; returns the table under `path`: per batch and address of the batch the
+    state after it, and the status before it.
+
+    Actions of one batch are applied by time and id, batches in order of arrival: the states are those of
+    the batch fold if no action arrives in a later batch than a younger one of its address.
+    """
+    start_table(_versions(actions), path)
+    run_batches(actions, lambda rows, batch_id: _advance(rows, batch_id, path, check_tokens), checkpoint)
+    return read_batches(_versions(actions), path)
 
 
 def current_states(versions: DataFrame) -> DataFrame:
     """The newest state of each address from the rows of all batches."""
-    return newest_version(versions, ["email"]).select(
-        "email",
-        "status",
-        "mode",
-        F.from_json("keywords", "array<string>").alias("keywords"),
-        F.timestamp_micros("confirmed_at").alias("confirmed_at"),
-        "token",
-        "rejects",
-    )
+    return newest_version(versions, ["email"]).select("email", *STATE_FIELDS)
 
 
 def metric_changes(states: DataFrame) -> DataFrame:
@@ -130,16 +70,23 @@ def metric_changes(states: DataFrame) -> DataFrame:
     )
 
 
-def metrics_stream(states: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Audience metrics kept up while states arrive; returns them after the last batch.
+def metrics_stream(actions: DataFrame, path: str, checkpoint: str, check_tokens: bool = True) -> DataFrame:
+    """Audience metrics kept up while actions arrive; returns them after the last batch.
 
-    Each batch adds one row of changes under `path`, so a batch costs what it brings, not what the
-    audience holds. The metrics after any batch are the sum of the rows up to it.
+    Each batch writes its states under `path/states` and one row of changes under `path/metrics`, so a
+    batch costs what it brings, not what the audience holds. The metrics after any batch are the sum of
+    the rows up to it.
     """
-    shape = metric_changes(states.sparkSession.createDataFrame([], states.schema))
-    start_table(shape, path)
-    run_batches(
-        states, lambda rows, batch_id: write_batch(metric_changes(rows), batch_id, path), checkpoint, "update"
-    )
+    states, metrics = f"{path}/states", f"{path}/metrics"
+    shape = metric_changes(_versions(actions))
+    start_table(_versions(actions), states)
+    start_table(shape, metrics)
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        _advance(rows, batch_id, states, check_tokens)
+        written = read_batches(_versions(actions), states).filter(F.col("batch_id") == batch_id)
+        write_batch(metric_changes(written), batch_id, metrics)
+
+    run_batches(actions, each, checkpoint)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in shape.columns]
-    return read_batches(shape, path).agg(*sums)
+    return read_batches(shape, metrics).agg(*sums)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from gazette.operators.lifecycle import lifecycle_fold, lifecycle_rejects
-from gazette.schemas import ACTIONS
+from gazette.operators.lifecycle import lifecycle_fold, lifecycle_rejects, subscriber_rows
+from gazette.schemas import ACTIONS, SUBSCRIBERS
 
 KINDS = ["subscribe", "confirm", "unsubscribe", "manage", "resend_confirmation", "admin_unsubscribe"]
 T0 = datetime(2024, 1, 1)
@@ -116,3 +118,47 @@ def test_one_hot_address(spark):
         for r in lifecycle_fold(df, True, gather_limit=100, run=64).collect()
     }
     assert got == want
+
+
+def test_many_tokens_cost_no_more(spark):
+    """A long history that shows a new token with every action: time is linear in its length."""
+    rows = []
+    for i in range(32_768):
+        action = ["subscribe", "confirm", "manage", "unsubscribe", "manage", "resend_confirmation"][i % 6]
+        rows.append((i, "u", T0 + timedelta(seconds=i), action, f"t{i - i % 6}" if i % 5 else f"x{i}", "simple", [f"k{i}"], True))
+    df = spark.createDataFrame(rows, ACTIONS).repartition(4)
+    want, refused = replay(rows, True)
+    started = time.perf_counter()
+    got = {
+        (r.email, r.status, r.mode, tuple(r.keywords or ()), r.confirmed_at, r.token, r.rejects)
+        for r in lifecycle_fold(df, gather_limit=0, run=8192).collect()
+    }
+    assert got == want and time.perf_counter() - started < 60
+    assert lifecycle_rejects(df, gather_limit=0, run=8192).count() == len(refused)
+
+
+@pytest.mark.parametrize("limit,run", [(50_000, 4096), (3, 4)])
+def test_half_and_then_the_rest(spark, limit, run):
+    rows = histories(seed=21, users=30, most=40)
+    df = spark.createDataFrame(rows, ACTIONS)
+    middle = F.lit(T0 + timedelta(seconds=9))
+    first = lifecycle_fold(df.filter(F.col("ts") < middle), True, limit, run).checkpoint()
+    whole = lifecycle_fold(df.filter(F.col("ts") >= middle), True, limit, run, start=first)
+    columns = ["email", "status", "mode", "keywords", "confirmed_at", "token", "rejects", "created_at"]
+    want = {str(tuple(r)) for r in lifecycle_fold(df).select(columns).collect()}
+    assert {str(tuple(r)) for r in whole.select(columns).collect()} == want
+    rest = lifecycle_rejects(df.filter(F.col("ts") >= middle), True, limit, run, start=first).count()
+    assert rest + lifecycle_rejects(df.filter(F.col("ts") < middle), True, limit, run).count() == len(replay(rows, True)[1])
+
+
+def test_folded_states_become_rows(spark):
+    rows = [
+        (1, "A@x", T0, "subscribe", "t1", "simple", ["k"], True), (2, "b@x", T0, "subscribe", "t2", "normal", [], True),
+        (3, "b@x", T0 + timedelta(1), "confirm", "t2", None, None, True), (4, "c@x", T0, "subscribe", "t3", "simple", [], False),
+    ]
+    people = [(7, "a@X", "normal", "[]", "unsubscribed", "c", "u", "m", T0 - timedelta(9), None), (9, "z@x", "normal", "[]", "active", "c", "u", "m", T0, T0)]
+    got = {r.id: r for r in subscriber_rows(lifecycle_fold(spark.createDataFrame(rows, ACTIONS)), spark.createDataFrame(people, SUBSCRIBERS)).collect()}
+    assert sorted(got) == [7, 9, 10]
+    assert (got[7].status, got[7].created_at, got[7].manage_token, got[7].email) == ("pending", T0 - timedelta(9), "t1", "a@X")
+    assert (got[10].email, got[10].status, got[10].created_at, got[10].keywords_json) == ("b@x", "active", T0, "[]")
+    assert got[9].confirm_token == "c"

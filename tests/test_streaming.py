@@ -33,9 +33,7 @@ def test_lifecycle_stream_equals_fold(spark, tmp_path, check):
     rows = histories(seed=11, users=25, most=40)
     df = spark.createDataFrame(rows, ACTIONS)
     stream = arriving(spark, df, tmp_path / "in", "ts,event_id")
-    versions = runs.run_to_table(
-        lifecycle.lifecycle_stream(stream, check), str(tmp_path / "out"), str(tmp_path / "state"), "update"
-    )
+    versions = lifecycle.lifecycle_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), check)
     got = lifecycle.current_states(versions)
     assert versions.select("batch_id").distinct().count() == 3
     columns = ["email", "status", "mode", "keywords", "confirmed_at", "token", "rejects"]
@@ -47,9 +45,7 @@ def test_lifecycle_stream_equals_fold(spark, tmp_path, check):
 def test_running_metrics(spark, tmp_path):
     df = spark.createDataFrame(histories(seed=5, users=30, most=30), ACTIONS)
     stream = arriving(spark, df, tmp_path / "in", "ts,event_id")
-    got = lifecycle.metrics_stream(
-        lifecycle.lifecycle_stream(stream), str(tmp_path / "out"), str(tmp_path / "state")
-    ).first()
+    got = lifecycle.metrics_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).first()
     people = lifecycle_fold(df).filter("status is not null").withColumn("id", F.lit(1))
     assert got.asDict() == audience_metrics(people).first().asDict()
 
