@@ -166,45 +166,38 @@ def normalize_payload(doc: Column, passes: int = 2) -> Column:
     )
 
 
-def parse_payload(payload_json: Column) -> Column:
-    """A stored payload; blank or broken text, or a missing part, reads as empty.
+def stored_payload(doc: Column) -> Column:
+    """The payload struct of a stored payload, read as it stands: nothing is cut or cleaned again.
 
-    Stored payloads were cleaned before they were written, so one typed read is enough.
+    Elements that are no objects are kept as bare labels in lines and top list and dropped from sections
+    and glossary; what a payload lacks is empty.
     """
-    good = F.when(F.try_parse_json(payload_json).isNotNull(), payload_json).otherwise(F.lit("{}"))
-    return F.from_json(good, PAYLOAD)
 
-
-def complete_payload(read: Column) -> Column:
-    """Empty lists and texts in place of the parts a stored payload lacks."""
-
-    def items(value: Column, first: str, second: str) -> Column:
-        whole = F.transform(
-            value,
-            lambda x: F.struct(
-                F.coalesce(x[first], F.lit("")).alias(first),
-                F.coalesce(x[second], F.lit("")).alias(second),
+    def items(path: str, first: str, second: str, bare: bool) -> Column:
+        every = _get(doc, path, "array<variant>")
+        found = F.transform(
+            _fields(every if bare else F.filter(every, is_object), first, second),
+            lambda p: F.struct(
+                F.when(is_object(p["whole"]), printed(p[first])).otherwise(printed(_plain(p["whole"]))).alias(first),
+                printed(p[second]).alias(second),
             ),
         )
-        return F.coalesce(whole, F.array().cast(f"array<struct<{first}: string, {second}: string>>"))
+        return F.coalesce(found, F.array().cast(f"array<struct<{first}: string, {second}: string>>"))
 
-    simple, normal = read["simple"], read["normal"]
     return F.struct(
+        F.struct(items("$.simple.lines", "text", "url", True).alias("lines"), payload_footer(doc).alias("footer")).alias("simple"),
         F.struct(
-            items(simple["lines"], "text", "url").alias("lines"),
-            F.coalesce(simple["footer"], F.lit("")).alias("footer"),
-        ).alias("simple"),
-        F.struct(
-            items(normal["top3"], "title", "url").alias("top3"),
-            items(normal["sections"], "title", "paragraph").alias("sections"),
+            items("$.normal.top3", "title", "url", True).alias("top3"),
+            items("$.normal.sections", "title", "paragraph", False).alias("sections"),
         ).alias("normal"),
-        items(read["glossary"], "term", "explain").alias("glossary"),
+        items("$.glossary", "term", "explain", False).alias("glossary"),
     )
 
 
 def with_payload(issues: DataFrame, source: str = "payload_json", out: str = "payload") -> DataFrame:
-    read = issues.withColumn("_read", parse_payload(F.col(source)))
-    return read.withColumn(out, complete_payload(F.col("_read"))).drop("_read")
+    """Stored payloads as structs; blank or broken text reads as empty."""
+    read = once(issues, _doc=F.coalesce(F.try_parse_json(source), F.parse_json(F.lit("{}"))))
+    return once(read, **{out: stored_payload(F.col("_doc"))}).drop("_doc")
 
 
 def _object(*fields: tuple[str, Column]) -> Column:

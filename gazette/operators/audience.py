@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gazette.functions.keys import address
 from gazette.functions.keywords import has_keyword, keywords_parse
 from gazette.functions.text import strip
+from gazette.operators.histories import GATHER_LIMIT, RUN, fold_rounds, last_states
 from gazette.operators.common import first_per, salted_join
 from gazette.schemas import ACTIVE, STATUSES
 
@@ -97,44 +98,57 @@ def _token_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(rows))
 
 
-def apply_changes(subscribers: DataFrame, changes: DataFrame) -> DataFrame:
-    """The subscriber table after guarded updates.
+STATE_COLUMNS = ["mode", "keywords_json", "status", *TOKENS, "confirmed_at"]
+ROW_STATE = "struct<id: bigint, " + ", ".join(f"{c}: {'timestamp' if c == 'confirmed_at' else 'string'}" for c in STATE_COLUMNS) + ">"
+
+
+def apply_changes(subscribers: DataFrame, changes: DataFrame, gather_limit: int = GATHER_LIMIT, run: int = RUN) -> DataFrame:
+    """The subscriber table after guarded updates, applied one after the other by `change_id`.
 
     `changes`: `email, change_id`, the guards `if_status` and `if_token` (null = no guard; the token
     is compared with the column named by `token_kind`), `new_*` values (null = keep) and
-    `clear_confirmed`. The last change of an address wins. Addresses not in the table are ignored.
+    `clear_confirmed`. Guards look at the row as the changes before have left it; a change that does
+    not fit is left out (`refused_changes`). Addresses not in the table are ignored, rows that share an
+    address change each for itself.
     """
-    last = first_per(changes, [address(F.col("email"))], [F.desc("change_id")])
-    last = last.withColumn("_address", address(F.col("email"))).drop("email")
-    held = F.coalesce(
-        *[F.when(F.col("token_kind") == t, F.col(t)) for t in TOKENS]
-    )
-    fits = (
-        F.col("change_id").isNotNull()
-        & (F.col("if_status").isNull() | (F.col("status") == F.col("if_status")))
-        & (F.col("if_token").isNull() | F.coalesce(held == F.col("if_token"), F.lit(False)))
-    )
-    both = subscribers.withColumn("_address", address(F.col("email"))).join(last, "_address", "left")
-    both = both.withColumn("_fits", fits)
-
-    def changed(name: str) -> Column:
-        return (
-            F.when(F.col("_fits") & F.col(f"new_{name}").isNotNull(), F.col(f"new_{name}"))
-            .otherwise(F.col(name))
-            .alias(name)
+    rounds = _change_rounds(subscribers, changes, False, gather_limit, run)
+    after = last_states(rounds, "_address").select(F.col("s.id").alias("id"), F.col("s").alias("_s"))
+    both = subscribers.join(after, "id", "left")
+    now = {c: F.when(F.col("_s").isNotNull(), F.col("_s")[c]).otherwise(F.col(c)).alias(c) for c in STATE_COLUMNS}
+    return both.select(*[now.get(c, F.col(c)) for c in subscribers.columns])
+
+
+def refused_changes(subscribers: DataFrame, changes: DataFrame, gather_limit: int = GATHER_LIMIT, run: int = RUN) -> DataFrame:
+    """`id, change_id` of every change that did not fit its row when its turn came."""
+    first, *more = _change_rounds(subscribers, changes, True, gather_limit, run)
+    for done in more:
+        first = first.unionByName(done)
+    return first.select(F.col("r.s.id").alias("id"), F.explode("r.refused").alias("change_id"))
+
+
+def _change_rounds(subscribers: DataFrame, changes: DataFrame, listed: bool, gather_limit: int, run: int) -> list[DataFrame]:
+    fields = ["change_id", *[c for c in changes.columns if c not in ("change_id", "email")]]
+    events = changes.select(address(F.col("email")).alias("_address"), "change_id", F.struct(*fields).alias("x"))
+    held = subscribers.select(address(F.col("email")).alias("_address"), F.struct("id", *STATE_COLUMNS).cast(ROW_STATE).alias("s"))
+
+    def fits(s: Column, x: Column) -> Column:
+        token = F.coalesce(*[F.when(x["token_kind"] == t, s[t]) for t in TOKENS])
+        status_ok = x["if_status"].isNull() | F.coalesce(s["status"] == x["if_status"], F.lit(False))
+        return status_ok & (x["if_token"].isNull() | F.coalesce(token == x["if_token"], F.lit(False)))
+
+    def after(s: Column, x: Column) -> Column:
+        new = {c: F.coalesce(x[f"new_{c}"], s[c]) for c in STATE_COLUMNS}
+        new["confirmed_at"] = F.when(x["clear_confirmed"], F.lit(None)).otherwise(new["confirmed_at"])
+        return F.struct(s["id"].alias("id"), *[v.alias(c) for c, v in new.items()]).cast(ROW_STATE)
+
+    def plain(events: Column, state: Column) -> Column:
+        return F.struct(F.aggregate(events, state, lambda s, x: F.when(fits(s, x), after(s, x)).otherwise(s)).alias("s"))
+
+    def with_refused(events: Column, state: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        step = lambda a, x: F.when(fits(a["s"], x), F.struct(after(a["s"], x).alias("s"), a["refused"].alias("refused"))).otherwise(
+            F.struct(a["s"].alias("s"), F.concat(a["refused"], F.array(x["change_id"])).alias("refused"))
         )
+        return F.aggregate(events, F.struct(state.alias("s"), none.alias("refused")), step)
 
-    confirmed = (
-        F.when(F.col("_fits") & F.col("clear_confirmed"), F.lit(None).cast("timestamp"))
-        .when(F.col("_fits") & F.col("new_confirmed_at").isNotNull(), F.col("new_confirmed_at"))
-        .otherwise(F.col("confirmed_at"))
-        .alias("confirmed_at")
-    )
-    return both.select(
-        "id", "email", changed("mode"), changed("keywords_json"), changed("status"),
-        *[changed(t) for t in TOKENS], "created_at", confirmed,
-    )
-
-
-def display_email(c: Column) -> Column:
-    return strip(c)
+    return fold_rounds(events, "_address", ["change_id"], with_refused if listed else plain, held, None, gather_limit, run)

@@ -41,20 +41,24 @@ def fan_out(audience: DataFrame, issue: DataFrame, base: str) -> DataFrame:
     return rows.withColumn("kind", delivery_key(prefix, F.col("email")))
 
 
-def sent_keys(send_log: DataFrame, issue: DataFrame, base: str) -> DataFrame:
+def sent_keys(send_log: DataFrame, issue: DataFrame, base: str, issues: DataFrame) -> DataFrame:
     """The delivery keys the log holds for this mail and issue, each once.
 
-    The log is cut by the start of the key as it is read, so neither other issues nor a constant
-    kind with very many rows meet the join.
+    The log is stored by issue: only the parts of issues of this period are opened, and that of rows
+    whose issue was purged. It is cut by the start of the key as it is read, so neither other issues nor
+    a constant kind with very many rows meet the join.
     """
     prefix = issue_head(issue).select(F.concat(F.lit(base + ":"), F.col("key"), F.lit(":"))).scalar()
-    return send_log.filter(F.startswith("kind", prefix)).select("kind").distinct()
+    period = issue.select("period_start").scalar()
+    ids = issues.filter(F.col("period_start") == period).agg(F.collect_set("id")).scalar()  # a few rows per period
+    mine = F.col("issue_id").isNull() | F.array_contains(ids, F.col("issue_id").cast("long"))
+    return send_log.filter(mine & F.startswith("kind", prefix)).select("kind").distinct()
 
 
-def not_sent(fanned: DataFrame, send_log: DataFrame, issue: DataFrame, base: str) -> DataFrame:
+def not_sent(fanned: DataFrame, send_log: DataFrame, issue: DataFrame, base: str, issues: DataFrame) -> DataFrame:
     """Deliveries whose key the log does not hold. Each key once: of one address the lowest id."""
     first = first_per(fanned, ["kind"], [F.col("id")])
-    return first.join(sent_keys(send_log, issue, base), "kind", "left_anti")
+    return first.join(sent_keys(send_log, issue, base, issues), "kind", "left_anti")
 
 
 def with_mail(deliveries: DataFrame, issue: DataFrame, subject: Column, public_url: str, brand: str = R.BRAND) -> DataFrame:

@@ -29,16 +29,19 @@ def fk_orphans(raw_items: DataFrame, send_log: DataFrame, issues: DataFrame, sub
 
 
 def purge_children(child: DataFrame, key: str, gone: DataFrame, spread: list[str]) -> DataFrame:
-    """`child` without the rows of deleted parents (ids in `gone.id`)."""
+    """`child` without the rows of deleted parents (ids in `gone.id`). Rows without a parent stay and
+    go round the join."""
     ids = gone.select(F.col("id").alias(key)).distinct()
-    return salted_join(child, ids, [key], "left_anti", spread)
+    kept = salted_join(child.filter(F.col(key).isNotNull()), ids, [key], "left_anti", spread)
+    return kept.select(*child.columns).unionByName(child.filter(F.col(key).isNull()))
 
 
 def release_children(child: DataFrame, key: str, gone: DataFrame, spread: list[str]) -> DataFrame:
-    """`child` with the reference to deleted parents set to null."""
+    """`child` with the reference to deleted parents set to null; rows without one go round the join."""
     ids = gone.select(F.col("id").alias(key), F.lit(True).alias("_gone")).distinct()
-    marked = salted_join(child, ids, [key], "left", spread)
-    return marked.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).select(*child.columns)
+    marked = salted_join(child.filter(F.col(key).isNotNull()), ids, [key], "left", spread)
+    released = marked.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).select(*child.columns)
+    return released.unionByName(child.filter(F.col(key).isNull()))
 
 
 def purge_subscribers(subscribers: DataFrame, send_log: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

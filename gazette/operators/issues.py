@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import payload as P
 from gazette.functions.text import clip
-from gazette.operators.common import first_per
+from gazette.operators.common import first_per, once
 from gazette.schemas import DRAFT, READY
 
 # Size and wording of the list a prompt carries.
@@ -35,9 +35,9 @@ def prompt_corpus(items: DataFrame, keys: list[str], order: list[Column], most:
 
 
 def with_answer_payload(answers: DataFrame, passes: int = 2) -> DataFrame:
-    """Answers that hold a JSON object, with the clean `payload`."""
+    """Answers that hold a JSON object, with the clean `payload`, worked out once."""
     docs = P.extract_answer(answers).filter(F.col("doc").isNotNull())
-    return docs.withColumn("payload", P.normalize_payload(F.col("doc"), passes)).drop("doc")
+    return once(docs, payload=P.normalize_payload(F.col("doc"), passes)).drop("doc")
 
 
 def rejected_answers(answers: DataFrame) -> DataFrame:
@@ -78,16 +78,21 @@ def duplicate_deliveries(send_log: DataFrame) -> DataFrame:
 def upsert_issues(issues: DataFrame, built: DataFrame, ready_at: Column) -> DataFrame:
     """The issue table after a build.
 
-    `built` holds `period_start, has_items` and, where an answer came, its four texts. A period
-    already ready stays untouched; a new or draft one becomes ready with the texts, or draft when
-    nothing was collected or no answer came. New rows get ids above the highest one, by week.
+    `built` holds `period_start, has_items` and, where an answer came, its four texts. Of the rows of a
+    period the newest is the one that is built; the others stay as they are. A period already ready
+    stays untouched; a new or draft one becomes ready with the texts, or draft when nothing was
+    collected or no answer came. New rows get the ids above the highest one, in order of their period.
     """
     texts = ["simple_text", "normal_text", "glossary_json", "payload_json"]
     blanks = ["", "", "[]", "{}"]
     new = built.select(
         "period_start", "has_items", *[F.col(t).alias(f"new_{t}") for t in texts], F.lit(True).alias("_built")
     )
-    both = one_per_period(issues).join(new, "period_start", "full_outer")
+    newest = one_per_period(issues)
+    fresh = new.select("period_start").join(newest, "period_start", "left_anti")
+    # A build brings few new periods, weeks of one run: they are numbered in one task.
+    numbers = fresh.select("period_start", F.row_number().over(Window.orderBy("period_start")).alias("_nth"))
+    both = newest.join(new, "period_start", "full_outer").join(numbers, "period_start", "left")
     done = F.coalesce(F.col("status") == READY, F.lit(False))
     touched = F.coalesce(F.col("_built"), F.lit(False)) & ~done
     finished = touched & F.col("has_items") & F.col("new_payload_json").isNotNull()
@@ -97,9 +102,8 @@ def upsert_issues(issues: DataFrame, built: DataFrame, ready_at: Column) -> Data
         return F.when(finished, F.col(f"new_{name}")).otherwise(kept).alias(name)
 
     highest = issues.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    week = F.floor(F.unix_date("period_start") / 7)
-    return both.select(
-        F.coalesce(F.col("id"), highest + 1 + week).alias("id"),
+    after = both.select(
+        F.coalesce(F.col("id"), highest + F.col("_nth")).alias("id"),
         "period_start",
         *[text(t, b) for t, b in zip(texts, blanks)],
         F.when(done, F.lit(READY))
@@ -110,6 +114,8 @@ def upsert_issues(issues: DataFrame, built: DataFrame, ready_at: Column) -> Data
         F.when(finished, ready_at).otherwise(F.col("ready_at")).alias("ready_at"),
         F.coalesce(F.col("created_at"), ready_at).alias("created_at"),
     )
+    others = issues.join(newest.select("id"), "id", "left_anti")
+    return after.unionByName(others.select(*after.columns))
 
 
 def ready_issue_for(issues: DataFrame, period: Column) -> DataFrame:

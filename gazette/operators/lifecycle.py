@@ -1,25 +1,17 @@
 """Subscription histories folded into the current subscriber state.
 
-Histories of ordinary length are gathered per address and folded at once. A longer one is never
-gathered: it is sorted over the cluster and cut into runs of bounded size, which are folded one after
-the other, each from the stored state before it. Work and time are linear in the length of a history,
-whatever tokens it shows, and a row never holds more than one run.
-
 A fold may start from the states an earlier fold has left (`start`), so old actions need not be kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.operators.common import numbered
+from gazette.operators.histories import GATHER_LIMIT, RUN, Fold, fold_rounds, last_states
 from gazette.schemas import ACTIVE, MODES, PENDING, UNSUBSCRIBED
 
-GATHER_LIMIT = 16_384  # actions of one address that may be gathered into one row
-RUN = 16_384  # actions per run of a longer history
 BLOCK = 1024  # refused actions are listed in blocks of so many actions
 
 STATE = (
@@ -117,65 +109,10 @@ def _event() -> Column:
     return F.struct("ts", "event_id", "action", "mode", "keywords", "token", "mail_ok")
 
 
-Fold = Callable[[Column, Column], Column]
-
-
-def _histories(actions: DataFrame, start: DataFrame | None) -> DataFrame:
-    """email, events, before: whole histories with the state they start from."""
-    events = actions.groupBy("email").agg(F.array_sort(F.collect_list(_event())).alias("events"))
-    return _from(events, start)
-
-
-def _from(events: DataFrame, start: DataFrame | None) -> DataFrame:
-    if start is None:
-        return events.withColumn("before", _no_one())
-    held = start.select("email", F.struct(*STATE_FIELDS).cast(STATE).alias("_held"))
-    return events.join(held, "email", "left").withColumn("before", F.coalesce("_held", _no_one())).drop("_held")
-
-
-def _runs(long: DataFrame, run: int) -> DataFrame:
-    """email, nth, events: histories cut into runs of at most `run` actions, numbered from 1.
-
-    The sort spreads one address over many tasks; only the runs' numbers meet per address.
-    """
-    ordered = (
-        long.repartitionByRange("email", "ts", "event_id")
-        .sortWithinPartitions("email", "ts", "event_id")
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    place = F.col("_at").bitwiseAND((1 << 33) - 1)
-    cut = (
-        ordered.withColumn("part", F.shiftright("_at", 33))
-        .withColumn("run", F.floor(place / run))
-        .groupBy("email", "part", "run")
-        .agg(F.array_sort(F.collect_list(_event())).alias("events"))
-        .checkpoint()
-    )
-    numbers = cut.select("email", "part", "run").withColumn("nth", F.row_number().over(Window.partitionBy("email").orderBy("part", "run")))
-    return cut.join(numbers, ["email", "part", "run"]).select("email", "nth", "events").checkpoint()
-
-
-def _fold_runs(long: DataFrame, start: DataFrame | None, fold: Fold, run: int) -> Iterator[DataFrame]:
-    """After each round the rows email, s and what else `fold` gives for the runs of that round.
-
-    Rounds are stored, so a lost executor costs one of them.
-    """
-    runs = _runs(long, run)
-    rounds = runs.agg(F.max("nth")).first()[0] or 0
-    before = start
-    for nth in range(1, rounds + 1):
-        here = _from(runs.filter(F.col("nth") == nth).select("email", "events"), before)
-        done = here.select("email", fold(F.col("events"), F.col("before")).alias("r")).checkpoint()
-        yield done
-        before = done.select("email", "r.s.*")  # whoever has a next run has had this one
-
-
-def _split(actions: DataFrame, gather_limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Ordinary histories and those with more than `gather_limit` actions, if there are any."""
-    long = actions.groupBy("email").agg(F.count("*").alias("n")).filter(F.col("n") > gather_limit).select("email")
-    if long.limit(1).count() == 0:
-        return actions, None
-    return actions.join(long, "email", "left_anti"), actions.join(long, "email", "left_semi")
+def _rounds(actions: DataFrame, start: DataFrame | None, fold: Fold, gather_limit: int, run: int) -> list[DataFrame]:
+    events = actions.select("email", "ts", "event_id", _event().alias("x"))
+    held = None if start is None else start.select("email", F.struct(*STATE_FIELDS).cast(STATE).alias("s"))
+    return fold_rounds(events, "email", ["ts", "event_id"], fold, held, _no_one(), gather_limit, run)
 
 
 def _columns(state: Column) -> list[Column]:
@@ -196,16 +133,8 @@ def lifecycle_fold(
     shown. `status` is null for an address that never got in; `rejects` counts refused actions.
     `start` is a result of this function over all earlier actions; its addresses come back as well.
     """
-    ordinary, long = _split(actions, gather_limit)
     fold = lambda events, s: F.struct(_fold(events, s, check_tokens).alias("s"))
-    folded = _histories(ordinary, start).select("email", fold(F.col("events"), F.col("before")).alias("r"))
-    states = folded.select("email", "r.s")
-    if long is not None:
-        last: DataFrame | None = None
-        for done in _fold_runs(long, start, fold, run):
-            now = done.select("email", "r.s")
-            last = now if last is None else now.unionByName(last.join(now, "email", "left_anti")).checkpoint()
-        states = states.unionByName(last)
+    states = last_states(_rounds(actions, start, fold, gather_limit, run), "email")
     states = states.select("email", *_columns(F.col("s")))
     if start is None:
         return states
@@ -267,10 +196,10 @@ def lifecycle_rejects(
     start: DataFrame | None = None,
 ) -> DataFrame:
     """Every refused action with the reason: `email, event_id, action, reason`."""
-    ordinary, long = _split(actions, gather_limit)
     fold = lambda events, s: _listed(events, s, check_tokens)
-    lists = _histories(ordinary, start).select("email", fold(F.col("events"), F.col("before")).alias("r"))
-    for done in _fold_runs(long, start, fold, run) if long is not None else ():
+    first, *more = _rounds(actions, start, fold, gather_limit, run)
+    lists = first
+    for done in more:
         lists = lists.unionByName(done)
     return lists.select("email", F.inline(F.flatten("r.lists")))
 

@@ -115,7 +115,8 @@ def subscriber_detail(ids: DataFrame, subscribers: DataFrame, send_log: DataFram
     """Listing rows of the requested ids; unknown ids drop out."""
     wanted = ids.select("id").distinct()
     rows = subscribers.join(wanted, "id", "left_semi")
-    return admin_row(with_sends(rows, send_log))
+    log = send_log.join(wanted.withColumnRenamed("id", "subscriber_id"), "subscriber_id", "left_semi")
+    return admin_row(with_sends(rows, log))
 
 
 def export_lines(subscribers: DataFrame, status: str | None = None, keyword: str | None = None) -> DataFrame:

@@ -31,9 +31,9 @@ def weekly_delivery(
     audience = target_email(eligible(subscribers), only)
     fanned = D.fan_out(audience, issue, "weekly")
     if dry_run:
-        todo = fanned.join(D.sent_keys(send_log, issue, "weekly"), "kind", "left_anti")
+        todo = fanned.join(D.sent_keys(send_log, issue, "weekly", issues), "kind", "left_anti")
     else:
-        todo = D.not_sent(fanned, send_log, issue, "weekly")
+        todo = D.not_sent(fanned, send_log, issue, "weekly", issues)
     subject = F.concat(F.lit(brand + D.WEEKLY), F.col("head")["period"])
     return D.with_mail(todo, issue, subject, public_url, brand)
 
@@ -59,7 +59,7 @@ def resend_latest_plan(
     issue = latest_ready_issue(issues)
     holders = eligible(lookup(requests.select("manage_token").distinct(), subscribers, "manage_token"))
     rows = holders.withColumn("email", strip(F.col("email")))
-    todo = D.not_sent(D.fan_out(rows, issue, "resend_latest"), send_log, issue, "resend_latest")
+    todo = D.not_sent(D.fan_out(rows, issue, "resend_latest"), send_log, issue, "resend_latest", issues)
     return _latest(todo, issue, D.LATEST_AGAIN, public_url, brand)
 
 

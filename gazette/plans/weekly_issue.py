@@ -15,16 +15,13 @@ from gazette.operators.issues import (
 )
 
 
-def ranking() -> list[Column]:
-    return [F.desc("heat_score"), F.asc("feed_ord"), F.asc("entry_id")]
-
-
 def raw_items(entries: DataFrame, issue_id: Column, per_feed: int = PER_FEED, most: int = PER_ISSUE) -> DataFrame:
-    """The items of one issue: the hottest entries of all feeds."""
+    """The items of one issue: the hottest entries of all feeds, each once."""
     return leaderboard(entries, per_feed, most).select(
         F.col("entry_id").alias("id"),
         issue_id.alias("issue_id"),
         F.col("feed_url").alias("source"),
+        "feed_ord",
         "title",
         "summary",
         "link",
@@ -34,8 +31,24 @@ def raw_items(entries: DataFrame, issue_id: Column, per_feed: int = PER_FEED, mo
 
 
 def prompt(items: DataFrame) -> DataFrame:
-    """The prompt corpus of each issue, from its ranked items."""
-    return prompt_corpus(items, ["issue_id"], ranking())
+    """The prompt corpus of each issue, from its items in order of the board."""
+    order = [F.desc("heat_score"), F.asc("feed_ord"), F.asc("id")]
+    return prompt_corpus(items.withColumnRenamed("source", "feed_url"), ["issue_id"], order)
+
+
+def weekly_build(
+    entries: DataFrame, issues: DataFrame, answers: DataFrame, issue_id: int, period: Column, ready_at: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run for one issue: its items, the prompt made of them, and the issue table after the run.
+
+    Without items the issue stays a draft whatever the answers say. Store the items with
+    `replace_issue_items(items, path, [issue_id])`, so that a run that finds nothing clears them.
+    """
+    items = raw_items(entries, F.lit(issue_id))
+    found = items.agg((F.count("*") > 0).alias("has_items"))
+    periods = found.select(F.lit(issue_id).alias("issue_id"), period.alias("period_start"), "has_items")
+    mine = answers.filter(F.col("issue_id") == issue_id)
+    return items, prompt(items), build_issues(issues, periods, mine, ready_at)
 
 
 def finished_texts(answers: DataFrame) -> DataFrame:

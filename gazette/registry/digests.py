@@ -460,28 +460,70 @@ def rejected_answers(spark, sf):
     return I.rejected_answers(view(spark, sf, "answers")).select("response_id", "content")
 
 
-# The store lacks every third issue; one brand in eight has no items this time.
-STEPS["old_store"] = "SELECT * FROM v_issues WHERE id % 3 <> 0"
-_BUILT = """
-SELECT CASE WHEN o.id IS NULL THEN 25 + 1 + CAST(floor(datediff('day', DATE '1970-01-01', i.period_start) / 7) AS BIGINT) ELSE i.id END AS id,
+# The store lacks every third issue and holds an older draft of every fifth period; one brand in eight
+# has no items this time. The newest row of a period is built, older ones pass through.
+STEPS["old_store"] = """SELECT id, period_start, status, ready_at, created_at FROM v_issues WHERE id % 3 <> 0
+UNION ALL SELECT id + 100, period_start, 'draft', CAST(NULL AS TIMESTAMP), created_at - INTERVAL '1' DAY FROM v_issues WHERE id % 5 = 0"""
+STEPS["ranked_store"] = "SELECT *, row_number() OVER (PARTITION BY period_start ORDER BY created_at DESC, id DESC) AS age FROM v_old_store"
+
+
+def _built_sql(wanted: str) -> str:
+    """The store after a build of all periods; `wanted`: whether the build finds items for issue `i`."""
+    fresh = f"coalesce(o.status, '') <> 'ready' AND {wanted}"
+    return f"""
+SELECT coalesce(o.id, (SELECT max(id) FROM v_old_store) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY i.period_start)) AS id,
   CAST(i.period_start AS VARCHAR) AS period_start,
-  CASE WHEN o.status = 'ready' THEN 'ready' WHEN i.id % 8 <> 5 AND n.issue_id IS NOT NULL THEN 'ready' ELSE 'draft' END AS status,
-  CASE WHEN coalesce(o.status, '') <> 'ready' AND i.id % 8 <> 5 THEN coalesce(n.simple_text, '') ELSE '' END AS simple_text,
-  CASE WHEN coalesce(o.status, '') <> 'ready' AND i.id % 8 <> 5 THEN coalesce(n.normal_text, '') ELSE '' END AS normal_text,
-  CASE WHEN coalesce(o.status, '') <> 'ready' AND i.id % 8 <> 5 THEN coalesce(n.glossary_json, '[]') ELSE '[]' END AS glossary_json
-FROM v_issues i LEFT JOIN v_old_store o ON o.id = i.id LEFT JOIN v_newest n ON n.issue_id = i.id"""
+  CASE WHEN o.status = 'ready' THEN 'ready' WHEN {wanted} AND n.issue_id IS NOT NULL THEN 'ready' ELSE 'draft' END AS status,
+  CASE WHEN {fresh} THEN coalesce(n.simple_text, '') ELSE '' END AS simple_text,
+  CASE WHEN {fresh} THEN coalesce(n.normal_text, '') ELSE '' END AS normal_text,
+  CASE WHEN {fresh} THEN coalesce(n.glossary_json, '[]') ELSE '[]' END AS glossary_json
+FROM v_issues i LEFT JOIN v_ranked_store o ON o.period_start = i.period_start AND o.age = 1 LEFT JOIN v_newest n ON n.issue_id = i.id
+UNION ALL SELECT id, CAST(period_start AS VARCHAR), status, '', '', '[]' FROM v_ranked_store WHERE age > 1"""
+
+
+_BUILT = _built_sql("i.id % 8 <> 5")
+_COLUMNS = ["id", "period_start", "status", "simple_text", "normal_text", "glossary_json"]
+
+
+def _old_store(spark, sf):
+    store = issues(spark, sf)
+    older = store.filter("id % 5 = 0").select(
+        (F.col("id") + 100).alias("id"), "period_start", F.lit("draft").alias("status"),
+        F.lit(None).cast("timestamp").alias("ready_at"), (F.col("created_at") - F.expr("INTERVAL '1' DAY")).alias("created_at"),
+    )
+    return _with_texts(store.filter("id % 3 <> 0").unionByName(older))
 
 
 def _built(spark, sf):
-    old = _with_texts(issues(spark, sf).filter("id % 3 <> 0"))
     periods = issues(spark, sf).select(
         F.col("id").alias("issue_id"), "period_start", (F.col("id") % 8 != 5).alias("has_items")
     )
-    built = weekly_issue.build_issues(old, periods, view(spark, sf, "answers"), F.lit("1997-12-31").cast("timestamp"))
+    ready_at = F.lit("1997-12-31").cast("timestamp")
+    built = weekly_issue.build_issues(_old_store(spark, sf), periods, view(spark, sf, "answers"), ready_at)
     return built.withColumn("period_start", F.col("period_start").cast("string"))
 
 
-@query("issue_upsert", _BUILT.replace("SELECT CASE WHEN o.id IS NULL", "SELECT id, period_start, status FROM (SELECT CASE WHEN o.id IS NULL", 1) + ") t")
+# One run for one issue, from the feed entries to the stored issue.
+ISSUE = 12
+
+
+@query(
+    "weekly_build",
+    f"""SELECT id, CAST(period_start AS VARCHAR) AS period_start, CASE WHEN id = {ISSUE} AND EXISTS (SELECT 1 FROM v_leaders)
+      AND n.issue_id IS NOT NULL THEN 'ready' ELSE status END AS status, coalesce(n.simple_text, '') AS simple_text,
+    coalesce(n.normal_text, '') AS normal_text, coalesce(n.glossary_json, '[]') AS glossary_json
+    FROM v_issues i LEFT JOIN v_newest n ON n.issue_id = i.id AND i.id = {ISSUE} AND EXISTS (SELECT 1 FROM v_leaders)""",
+)
+def weekly_build(spark, sf):
+    store = _with_texts(issues(spark, sf))
+    period = F.lit("1997-01-06").cast("date") + 7 * ISSUE
+    _, _, built = weekly_issue.weekly_build(
+        view(spark, sf, "entries"), store, view(spark, sf, "answers"), ISSUE, period, F.lit("1997-12-31").cast("timestamp")
+    )
+    return built.withColumn("period_start", F.col("period_start").cast("string")).select(*_COLUMNS)
+
+
+@query("issue_upsert", f"SELECT id, period_start, status FROM ({_BUILT}) t")
 def issue_upsert(spark, sf):
     return _built(spark, sf).select("id", "period_start", "status")
 
@@ -500,9 +542,10 @@ def issue_fanout(spark, sf):
 
 @query("delivery_plan", "SELECT id, kind FROM v_weekly")
 def delivery_plan(spark, sf):
-    latest = I.latest_ready_issue(_store(spark, sf))
+    store = _store(spark, sf)
+    latest = I.latest_ready_issue(store)
     rows = D.fan_out(A.eligible(view(spark, sf, "subscribers")), latest, "weekly")
-    return D.not_sent(rows, view(spark, sf, "send_log"), latest, "weekly").select("id", "kind")
+    return D.not_sent(rows, view(spark, sf, "send_log"), latest, "weekly", store).select("id", "kind")
 
 
 def _mail_columns(df):

@@ -12,6 +12,7 @@ from gazette.registry.base import STEPS, query, sql_time, time_text
 from gazette.registry.digests import PERIOD, URL, _store
 from gazette.registry.fixtures import VIEWS, dialect, view
 from gazette.session import shared_dir
+from gazette.sources.tables import write_log
 from gazette.streaming import delivery as SD
 from gazette.streaming import entries as SE
 from gazette.streaming import lifecycle as SL
@@ -208,7 +209,9 @@ def stream_audience_metrics(spark, sf):
 
 @query("stream_delivery", "SELECT id AS subscriber_id, CAST(issue_id AS BIGINT) AS issue_id, kind FROM v_weekly")
 def stream_delivery(spark, sf):
+    log = shared_dir(spark, "log")
+    write_log(view(spark, sf, "send_log").drop("id"), log)
     return SD.deliver_stream(
-        _arriving_view(spark, sf, "subscribers"), _store(spark, sf), view(spark, sf, "send_log"),
+        _arriving_view(spark, sf, "subscribers"), _store(spark, sf), log,
         F.lit(PERIOD).cast("date"), URL, shared_dir(spark, "mails"), shared_dir(spark, "mails-state"),
     )

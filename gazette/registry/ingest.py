@@ -42,6 +42,9 @@ def page_entries_scan(spark, sf):
     return page_entries(table(spark, sf, "pages"))
 
 
+PER_FILE = 1000  # entries by id that one fetch brings at most
+
+
 # The feeds are written from the entries as XML, then read: one file holds a feed as fetched, at most
 # 1000 entries by id.
 @query(
@@ -51,7 +54,7 @@ def page_entries_scan(spark, sf):
     {sql_strip("title")} AS title, {sql_strip("link")} AS link,
     md5(regexp_replace({sql_strip("summary")}, '[\\x00-\\x20]+', ' ', 'g')) AS summary_md5,
     {sql_time("published_at")} AS published_at
-    FROM (SELECT * FROM v_clean) t QUALIFY place < 15""",
+    FROM v_clean""",
 )
 def feed_xml_scan(spark, sf):
     rows = E.clean_entries(view(spark, sf, "entries")).withColumn("fetch", F.floor(F.col("entry_id") / 1000))
@@ -74,7 +77,7 @@ def feed_xml_scan(spark, sf):
         "feed_url",
         F.concat_ws("/", F.regexp_extract("feed_url", place, 1), F.regexp_extract("feed_url", place, 2)),
     ).write.parquet(landed)
-    found = E.clean_entries(E.cap_feeds(spark.read.parquet(landed)))
+    found = E.clean_entries(E.cap_feeds(spark.read.parquet(landed), PER_FILE))
     return found.select(
         "feed_url",
         F.col("idx").cast("long").alias("place"),
@@ -161,12 +164,13 @@ def entries_union(spark, sf):
     return both.select("list_ord", "feed_url", "entry_id", "title", "link")
 
 
-# Every entry is stored under its week; then the even weeks are replaced by their leaderboards' shape.
+# Every entry is stored under its week; then the even weeks are rebuilt, and
+# every other one of them finds nothing.
 @query(
     "raw_items_replace",
     """SELECT entry_id AS id, CAST(entry_id // 168 AS BIGINT) AS issue_id, 0 AS heat_score FROM v_clean
     WHERE (entry_id // 168) % 2 = 1
-    UNION ALL SELECT entry_id, CAST(entry_id // 168 AS BIGINT), 1 FROM v_nonblank WHERE (entry_id // 168) % 2 = 0""",
+    UNION ALL SELECT entry_id, CAST(entry_id // 168 AS BIGINT), 1 FROM v_nonblank WHERE (entry_id // 168) % 4 = 0""",
 )
 def raw_items_replace(spark, sf):
     path = shared_dir(spark, "raw_items")
@@ -175,25 +179,17 @@ def raw_items_replace(spark, sf):
     shape = [F.col("entry_id").alias("id"), issue]
     replace_issue_items(rows.select(*shape, F.lit(0).alias("heat_score")), path)
     again = E.drop_blank(rows).select(*shape, F.lit(1).alias("heat_score")).filter("issue_id % 2 = 0")
-    replace_issue_items(again, path)
+    rebuilt = [r[0] for r in rows.select(issue).distinct().filter("issue_id % 2 = 0").collect()]  # a few weeks
+    replace_issue_items(again.filter("issue_id % 4 = 0"), path, rebuilt)
     return read_table(spark, path, "id long, heat_score int, issue_id long").select("id", "issue_id", "heat_score")
 
 
-STEPS["week_items"] = """
-SELECT CAST(datediff('day', DATE '1970-01-01', CAST(date_trunc('week', k.published_at + INTERVAL '8' HOUR) AS DATE)) AS INT) AS issue_id,
-  k.*, CAST(greatest(1000 - 10 * p.idx, 0) AS INT) AS heat_score
-FROM v_nonblank k JOIN v_positions p USING (entry_id)"""
-
-
 @query(
     "prompt_corpus",
-    """SELECT issue_id, count(*) AS n_items, string_agg(concat(CAST(rn AS VARCHAR), '. [', feed_url, '] ', title, chr(10),
+    """SELECT 12 AS issue_id, count(*) AS n_items, string_agg(concat(CAST(rn AS VARCHAR), '. [', feed_url, '] ', title, chr(10),
     '   摘要: ', substr(summary, 1, 500), chr(10), '   链接: ', link, chr(10), '   热度分: ', CAST(heat_score AS VARCHAR)),
     chr(10) ORDER BY rn) AS corpus
-    FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY heat_score DESC, feed_ord, entry_id) AS rn FROM v_week_items)
-    WHERE rn <= 60 GROUP BY issue_id""",
+    FROM (SELECT *, row_number() OVER (ORDER BY heat_score DESC, feed_ord, entry_id) AS rn FROM v_leaders) t WHERE rn <= 60""",
 )
 def prompt_corpus(spark, sf):
-    rows = E.drop_blank(E.clean_entries(E.with_heat(view(spark, sf, "entries"))))
-    items = rows.withColumn("issue_id", F.unix_date(period_monday(F.col("published_at"))))
-    return weekly_issue.prompt(items)
+    return weekly_issue.prompt(weekly_issue.raw_items(view(spark, sf, "entries"), F.lit(12)))

@@ -203,22 +203,49 @@ def token_clashes(spark, sf):
     return A.token_clashes(table(spark, sf, "supplier").selectExpr(*_CANDIDATES), _subscribers(spark, sf))
 
 
+_ROW = ["id", "mode", "keywords_json", "status", "confirm_token", "unsubscribe_token", "manage_token", "confirmed_at"]
+_CHANGE = ["change_id", "if_status", "token_kind", "if_token", "new_mode", "new_keywords_json", "new_status", "new_confirm_token",
+           "new_unsubscribe_token", "new_manage_token", "new_confirmed_at", "clear_confirmed"]
+_FITS = """((x.if_status IS NULL OR coalesce(x.if_status = a.status, false)) AND (x.if_token IS NULL OR coalesce(x.if_token = CASE x.token_kind
+  WHEN 'confirm_token' THEN a.confirm_token WHEN 'manage_token' THEN a.manage_token WHEN 'unsubscribe_token' THEN a.unsubscribe_token END, false)))"""
+
+
+def _after(name):
+    if name == "id":
+        return "a.id"
+    new = f"coalesce(x.new_{name}, a.{name})"
+    new = f"CASE WHEN x.clear_confirmed THEN NULL ELSE {new} END" if name == "confirmed_at" else new
+    return f"CASE WHEN {_FITS} THEN {new} ELSE a.{name} END"
+
+
+# One pass over the changes of each row; every list element carries the row beside the change.
+_BARE = ", ".join(f"'{c}': CAST(NULL AS {'TIMESTAMP' if c == 'confirmed_at' else 'BIGINT' if c == 'id' else 'VARCHAR'})" for c in _ROW)
+_HELD = ", ".join(f"'{c}': s.{c}" for c in _ROW)
+STEPS["changed"] = f"""
+SELECT s.id, s.email, list_reduce(list_prepend({{{_HELD}, 'refused': CAST([] AS BIGINT[]), {', '.join(f"'{c}': l[1].{c}" for c in _CHANGE)}}}, l), lambda a, x:
+  {{{', '.join(f"'{c}': {_after(c)}" for c in _ROW)}, 'refused': CASE WHEN {_FITS} THEN a.refused ELSE list_append(a.refused, x.change_id) END,
+  {', '.join(f"'{c}': x.{c}" for c in _CHANGE)}}}) AS r
+FROM v_subscribers s JOIN (SELECT email AS address, list({{{_BARE}, 'refused': CAST([] AS BIGINT[]), {', '.join(f"'{c}': {c}" for c in _CHANGE)}}} ORDER BY change_id) AS l
+  FROM v_changes GROUP BY email) c ON c.address = lower(s.email)"""
+
+
 @query(
     "subscriber_apply_changes",
-    f"""SELECT s.id, s.email, coalesce(c.new_mode, s.mode) AS mode, coalesce(c.new_keywords_json, s.keywords_json) AS keywords_json,
-    coalesce(c.new_status, s.status) AS status, coalesce(c.new_confirm_token, s.confirm_token) AS confirm_token,
-    s.unsubscribe_token, coalesce(c.new_manage_token, s.manage_token) AS manage_token,
-    {sql_time("CASE WHEN c.clear_confirmed THEN NULL ELSE coalesce(c.new_confirmed_at, s.confirmed_at) END")} AS confirmed_at
-    FROM v_subscribers s LEFT JOIN (SELECT * FROM v_changes
-      QUALIFY row_number() OVER (PARTITION BY email ORDER BY change_id DESC) = 1) c
-    ON c.email = lower(s.email) AND (c.if_status IS NULL OR c.if_status = s.status)
-    AND (c.if_token IS NULL OR c.if_token = CASE c.token_kind WHEN 'manage_token' THEN s.manage_token ELSE s.unsubscribe_token END)""",
+    f"""SELECT id, email, r.mode AS mode, r.keywords_json AS keywords_json, r.status AS status, r.confirm_token AS confirm_token,
+    r.unsubscribe_token AS unsubscribe_token, r.manage_token AS manage_token, {sql_time('r.confirmed_at')} AS confirmed_at FROM v_changed
+    UNION ALL SELECT id, email, mode, keywords_json, status, confirm_token, unsubscribe_token, manage_token, {sql_time('confirmed_at')}
+    FROM v_subscribers WHERE id NOT IN (SELECT id FROM v_changed)""",
 )
 def subscriber_apply_changes(spark, sf):
     rows = A.apply_changes(_subscribers(spark, sf), view(spark, sf, "changes"))
     return rows.drop("created_at").withColumn("confirmed_at", time_text("confirmed_at"))
 
 
+@query("subscriber_refused_changes", "SELECT id, unnest(r.refused) AS change_id FROM v_changed")
+def subscriber_refused_changes(spark, sf):
+    return A.refused_changes(_subscribers(spark, sf), view(spark, sf, "changes"))
+
+
 @query(
     "audience_metrics",
     """SELECT count(id) AS total, count(*) FILTER (status = 'active' AND confirmed_at IS NOT NULL) AS active_confirmed,

@@ -22,10 +22,11 @@ def read_jdbc(
     )
 
 
-def replace_issue_items(items: DataFrame, path: str) -> None:
+def replace_issue_items(items: DataFrame, path: str, issue_ids: list[int] | None = None) -> None:
     """Replaces the rows of every issue in `items` and leaves the other issues alone.
 
-    Items are rebalanced by issue, so small issues make one file and a large one is split.
+    Issues of `issue_ids`, those that were rebuilt, without items end empty. Items are rebalanced by
+    issue, so small issues make one file and a large one is split.
     """
     (
         items.hint("rebalance", "issue_id")
@@ -34,16 +35,26 @@ def replace_issue_items(items: DataFrame, path: str) -> None:
         .partitionBy("issue_id")
         .parquet(path)
     )
+    if issue_ids:
+        filled = {r[0] for r in items.filter(F.col("issue_id").isin(issue_ids)).select("issue_id").distinct().collect()}
+        empty = items.drop("issue_id").limit(0)
+        for issue_id in sorted(set(issue_ids) - filled):  # rebuilt issues of one run
+            empty.write.mode("overwrite").parquet(f"{path}/issue_id={issue_id}")
 
 
-def write_log(rows: DataFrame, path: str) -> None:
-    """Adds log rows, stored by issue; small issues make one file and a large one is split."""
-    rows.hint("rebalance", "issue_id").write.mode("append").partitionBy("issue_id").parquet(path)
+def write_log(rows: DataFrame, path: str, source: str | None = None) -> None:
+    """Adds log rows, stored by issue; small issues make one file and a large one is split.
+
+    Rows of a named `source` are a part of their own in each issue, which a second write replaces.
+    """
+    named = rows.withColumn("source", F.lit(source or "run")).hint("rebalance", "issue_id")
+    out = named.write.mode("overwrite" if source else "append").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("issue_id", "source").parquet(path)
 
 
-def append_log(plan: DataFrame, path: str, sent_at: str | None = None) -> None:
+def append_log(plan: DataFrame, path: str, sent_at: str | None = None, source: str | None = None) -> None:
     """Adds one log row per planned delivery."""
-    write_log(log_rows(plan, sent_at), path)
+    write_log(log_rows(plan, sent_at), path, source)
 
 
 def log_rows(plan: DataFrame, sent_at: str | None = None) -> DataFrame:

@@ -101,3 +101,20 @@ def test_stored_payload_defaults(spark, stored):
     assert row.payload.asDict(recursive=True) == {
         "simple": {"lines": [], "footer": ""}, "normal": {"top3": [], "sections": []}, "glossary": [],
     }
+
+
+def test_stored_lists_keep_bare_elements(spark):
+    doc = {
+        "simple": {"lines": ["bare", {"text": "t", "url": "u"}, 5, {"text": None}], "footer": "f"},
+        "normal": {"top3": [{"title": "a"}, "b"], "sections": ["no", {"title": "s", "paragraph": 1}]},
+        "glossary": [{"term": "t", "explain": "e"}, "no"],
+    }
+    rows = spark.createDataFrame([(1, json.dumps(doc)), (2, " "), (3, "{broken"), (4, None)], "id long, payload_json string")
+    got = {r.id: r.payload.asDict(recursive=True) for r in P.with_payload(rows).collect()}
+    assert got[1] == {
+        "simple": {"lines": [{"text": "bare", "url": ""}, {"text": "t", "url": "u"}, {"text": "5", "url": ""}, {"text": "None", "url": ""}], "footer": "f"},
+        "normal": {"top3": [{"title": "a", "url": ""}, {"title": "b", "url": ""}], "sections": [{"title": "s", "paragraph": "1"}]},
+        "glossary": [{"term": "t", "explain": "e"}],
+    }
+    empty = {"simple": {"lines": [], "footer": ""}, "normal": {"top3": [], "sections": []}, "glossary": []}
+    assert got[2] == got[3] == got[4] == empty

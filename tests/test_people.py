@@ -11,8 +11,9 @@ from gazette.functions import keywords as K
 from gazette.operators import audience as A
 from gazette.operators import integrity as I
 from gazette.operators import reporting as R
-from gazette.schemas import SEND_LOG, SUBSCRIBERS
-from gazette.sources.tables import write_lines
+from gazette.operators.issues import upsert_issues
+from gazette.schemas import SEND_LOG, SUBSCRIBERS, WEEKLY_ISSUES
+from gazette.sources.tables import read_table, replace_issue_items, write_lines
 
 
 def ts(text):
@@ -135,3 +136,51 @@ def test_changes_respect_their_guards(spark, people):
     assert len(got) == 6 and got[1].mode == "simple" and got[2].mode == "normal"
     assert (got[4].status, got[4].confirmed_at, got[4].manage_token) == ("pending", None, "m")
     assert (got[3].status, got[3].confirmed_at) == ("active", ts("2026-05-01"))
+
+
+CHANGE = (
+    "change_id long, email string, if_status string, token_kind string, if_token string, new_mode string, "
+    "new_keywords_json string, new_status string, new_confirm_token string, new_unsubscribe_token string, "
+    "new_manage_token string, new_confirmed_at timestamp, clear_confirmed boolean"
+)
+
+
+@pytest.mark.parametrize("limit,run", [(16_384, 16_384), (2, 3)])
+def test_changes_apply_one_after_the_other(spark, people, limit, run):
+    none = (None,) * 4
+    rows = [
+        (1, "a@example.com", "active", None, None, None, None, "unsubscribed", *none, False),
+        (2, "a@example.com", "active", None, None, "simple", None, None, *none, False),  # no longer active: refused
+        (3, "a@example.com", "unsubscribed", None, None, "simple", None, "pending", "c9", "u9", "m9", None, True),
+        (4, "A@example.com ", None, "confirm_token", "c1", None, None, "active", *none, False),  # an old token: refused
+        (5, "a@example.com", "pending", "confirm_token", "c9", None, None, "active", None, None, None, ts("2026-05-01"), False),
+        (6, "a@example.com", "active", "manage_token", "m9", None, '["x"]', None, *none, False),
+        (7, "a@example.com", None, "manage_token", "wrong", "normal", None, None, *none, False),  # the last one: refused
+        (8, "b@example.com", None, None, None, "simple", None, None, *none, False),
+    ]
+    changes = spark.createDataFrame(rows, CHANGE)
+    got = {r.id: r for r in A.apply_changes(people, changes, limit, run).collect()}
+    assert len(got) == 6 and got[2].mode == "simple" and got[3].mode == "normal"
+    assert (got[1].status, got[1].mode, got[1].keywords_json, got[1].manage_token) == ("active", "simple", '["x"]', "m9")
+    assert got[1].confirmed_at == ts("2026-05-01")
+    refused = {tuple(r) for r in A.refused_changes(people, changes, limit, run).collect()}
+    assert refused == {(1, 2), (1, 4), (1, 7)}
+
+
+def test_a_build_touches_only_the_newest_row_of_a_period(spark):
+    day, texts = datetime(2026, 4, 6).date(), ("s", "n", "[]", "{}")
+    store = spark.createDataFrame(
+        [(1, day, *texts, "draft", None, ts("2026-04-06")), (2, day, *texts, "draft", None, ts("2026-04-07"))], WEEKLY_ISSUES
+    )
+    later = [datetime(2026, 4, d).date() for d in (13, 14)]
+    built = spark.createDataFrame([(d, True, "S", "N", "[]", "{}") for d in (day, *later)], "period_start date, has_items boolean, simple_text string, normal_text string, glossary_json string, payload_json string")
+    got = {r.id: r for r in upsert_issues(store, built, F.lit("2026-04-08").cast("timestamp")).collect()}
+    assert {i: (r.status, r.simple_text) for i, r in got.items()} == {1: ("draft", "s"), 2: ("ready", "S"), 3: ("ready", "S"), 4: ("ready", "S")}
+    assert [got[3].period_start, got[4].period_start] == later
+
+
+def test_a_rebuilt_issue_without_items_ends_empty(spark, tmp_path):
+    path, schema = str(tmp_path / "items"), "id long, issue_id long"
+    replace_issue_items(spark.createDataFrame([(1, 1), (2, 2), (3, 3)], schema), path)
+    replace_issue_items(spark.createDataFrame([(4, 1)], schema), path, [1, 2])
+    assert sorted(map(tuple, read_table(spark, path, schema).select("id", "issue_id").collect())) == [(3, 3), (4, 1)]

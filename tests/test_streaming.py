@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from gazette.operators.audience import eligible
+from gazette.operators.delivery import sent_keys
+from gazette.operators.issues import ready_issue_for
 from gazette.operators.lifecycle import lifecycle_fold
 from gazette.operators.reporting import audience_metrics
 from gazette.plans.mailings import weekly_delivery
 from gazette.schemas import ACTIONS
+from gazette.sources.tables import read_table, write_log
 from gazette.streaming import delivery, entries, lifecycle, runs
 from test_lifecycle import histories, replay
 from test_mailing import PERIOD, URL, issues, log, people  # noqa: F401
@@ -73,12 +77,25 @@ def test_weekly_stats_drop_late_rows(spark, tmp_path):
 
 def test_delivery_stream_is_replay_safe(spark, tmp_path, people, issues, log):  # noqa: F811
     stream = arriving(spark, people, tmp_path / "in", "id")
-    path = str(tmp_path / "mails")
-    ask = (issues, log, F.lit(PERIOD), URL, path)
-    first = delivery.deliver_stream(stream, *ask, str(tmp_path / "s1"))
+    path, log_path = str(tmp_path / "mails"), str(tmp_path / "log")
     want = {r.kind for r in weekly_delivery(people, issues, log, F.lit(PERIOD), URL).collect()}
+    write_log(log.select("subscriber_id", "issue_id", "kind", "sent_at"), log_path)
+    ask = (issues, log_path, F.lit(PERIOD), URL, path)
+    first = delivery.deliver_stream(stream, *ask, str(tmp_path / "s1"))
     kinds = sorted(r.kind for r in first.collect())
     assert kinds == sorted(want) and eligible(people).count() == 5  # one address twice, mailed once
+    logged = read_table(spark, log_path, delivery.LOG)
+    assert logged.count() == log.count() + len(want)
+    assert weekly_delivery(people, issues, logged, F.lit(PERIOD), URL).count() == 0  # a run after the stream plans nothing
     # All batches again, their progress lost: every batch replaces its own rows, nothing is added.
     again = delivery.deliver_stream(stream, *ask, str(tmp_path / "s2"))
     assert sorted(r.kind for r in again.collect()) == kinds
+    assert read_table(spark, log_path, delivery.LOG).count() == log.count() + len(want)
+
+
+def test_delivery_opens_only_the_period_of_the_log(spark, tmp_path, issues):  # noqa: F811
+    path = str(tmp_path / "log")
+    write_log(spark.createDataFrame([(1, 1, "a", T0), (1, None, "b", T0)], "subscriber_id long, issue_id long, kind string, sent_at timestamp"), path)
+    keys = sent_keys(read_table(spark, path, delivery.LOG), ready_issue_for(issues, F.lit(PERIOD)), "weekly", issues)
+    text = keys._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[\(isnull\(issue_id#\d+L?\) OR array_contains", text)
