@@ -47,17 +47,13 @@ def keyword_matches(keywords: DataFrame, items: DataFrame, item_id: str, content
 
     # Texts give up pairs and single characters only if some keyword is that short.
     none = F.array().cast("array<string>")
-    lengths = [
-        F.when(words.agg(F.max(size == n)).scalar(), _grams(F.col("chars"), n)).otherwise(none)
-        for n in range(1, GRAM + 1)
-    ]
+    asked = words.agg(F.struct(*[F.max(size == n).alias(f"n{n}") for n in range(1, GRAM + 1)])).scalar()
+    lengths = [F.when(asked[f"n{n}"], _grams(F.col("chars"), n)).otherwise(none) for n in range(1, GRAM + 1)]
     cut = items.select(F.col(item_id).alias("item_id"), _letters(F.lower(F.col(content))).alias("chars"))
-    held = cut.select("item_id", F.explode(F.concat(*lengths)).alias("gram"))
-    frequency = (
-        held.join(wanted.select("gram").distinct(), "gram", "left_semi")
-        .groupBy("gram")
-        .agg(F.count("*").alias("n"))
-    )
+    every = cut.select("item_id", F.explode(F.concat(*lengths)).alias("gram"))
+    # One pass over the texts: what no keyword holds goes at once, the rest is stored for both uses.
+    held = every.join(wanted.select("gram").distinct(), "gram", "left_semi").checkpoint()
+    frequency = held.groupBy("gram").agg(F.count("*").alias("n"))
     # A keyword with a triple no text holds cannot match: its count is null and sorts first.
     rarest = (
         wanted.join(frequency, "gram", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +93,14 @@ def subscribers_page(
     limit: int = 50,
     offset: int = 0,
     keyword_after_page: bool = True,
+    after: tuple[datetime, int] | None = None,
 ) -> DataFrame:
     """One page, newest first. The keyword drops rows of the page, so pages may be short;
     with `keyword_after_page=False` it filters first.
 
+    `after`, the creation time and id of the last row seen, takes the place of the offset: a page far
+    down the list then costs no more than the first one.
+
     The page, at most `PAGE_MOST` rows, is cut before the log is read for its subscribers only.
     """
     most, skip = max(1, min(int(limit), PAGE_MOST)), max(0, int(offset))
@@ -103,6 +109,10 @@ def subscribers_page(
     rows = by_status(by_email_text(subscribers, q), status)
     if not keyword_after_page:
         rows = rows.filter(fits)
+    if after is not None:
+        time, last = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        rows = rows.filter((F.col("created_at") < time) | ((F.col("created_at") == time) & (F.col("id") > last)))
+        skip = 0
     page = rows.orderBy(F.desc("created_at"), "id").offset(skip).limit(most)
     if keyword_after_page:
         page = page.filter(fits)

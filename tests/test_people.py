@@ -84,6 +84,8 @@ def test_page_filters_keyword_after_the_cut(people, log):
     assert ids(R.subscribers_page(people, log, keyword="agent", limit=1, keyword_after_page=False)) == [1]
     rows = R.subscribers_page(people, log, limit=500, offset=-3).collect()
     assert [r.id for r in rows][:3] == [3, 1, 2] and len(rows) == 6
+    second = R.subscribers_page(people, log, limit=2, after=(ts("2026-04-08 20:00:48"), 1)).collect()
+    assert [r.id for r in second] == [r.id for r in rows][2:4]
     one = {r.id: r for r in rows}
     assert (one[1].send_count, one[1].last_sent_at) == (2, "2026-04-10 01:00:00.250000")
     assert (one[2].send_count, one[2].last_sent_at) == (0, None)
