@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gazette.session import shared_dir
 
 #: Rows and bytes that meet in one Python batch.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # Joins with a filtered table keep rows without a partner out of the shuffle, whatever the sizes:
+    # Spark's Bloom filter has a fixed number of bits at most, beyond that it only lets more through.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
     return spark
 
 

@@ -79,12 +79,26 @@ def scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, class binary, n_words bigint, keys array<bigint>, first array<int>")
 
 
-def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text of each wanted class, with the columns of `wanted`."""
-    by_class = with_class(texts(docs))
-    joined = by_class.join(wanted, "class")
-    rest = [c for c in wanted.columns if c != "class"]
-    return joined.groupBy("class").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in rest])
+def class_texts(docs: DataFrame, wanted: DataFrame, lower: bool = False) -> DataFrame:
+    """One text for each row of `wanted` (id, class, doc and others): that of document `doc`.
+
+    A doc_id may stand for several texts, so the class is compared; documents without doc_id are found
+    by their class. The filter on `id` lets Spark keep other documents out of the shuffle.
+    """
+    names, slim = wanted.columns, texts(docs, "doc_id")
+    found = slim.join(wanted.filter("id >= 0"), F.col("doc_id") == F.col("doc")).select(*names, "text")
+    nameless = wanted.filter("doc IS NULL")
+    if nameless.limit(1).count():
+        classed = with_class(slim.filter("doc_id IS NULL").select("text"), lower, "class_")
+        found = found.unionByName(classed.join(nameless, F.col("class_") == F.col("class")).select(*names, "text"))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("class").to_pylist(), strict=True)
+            yield batch.filter(pa.array([class_of(words_of(t, lower)) == c for t, c in pairs], pa.bool_()))
+
+    kept = found.mapInArrow(same, found.schema)
+    return kept.groupBy("id").agg(*[F.first(c).alias(c) for c in [*names, "text"] if c != "id"])
 
 
 def with_class(docs: DataFrame, lower: bool = False, name: str = "class") -> DataFrame:
@@ -207,10 +221,11 @@ def repeats(scanned: DataFrame, docs: DataFrame, window: int, prefix: int, group
 
     `scanned` is the stored result of `scan`.
     """
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("one")
     classes = stored(
         scanned.groupBy("class")
-        .agg(F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first(F.struct("keys", "first")).alias("x"))
-        .select(F.monotonically_increasing_id().alias("id"), "class", "copies", "n_words", "x.keys", "x.first"),
+        .agg(F.count(F.lit(1)).alias("copies"), one, F.first("n_words").alias("n_words"), F.first(F.struct("keys", "first")).alias("x"))
+        .select(F.monotonically_increasing_id().alias("id"), "class", "one.doc_id", "copies", "n_words", "x.keys", "x.first"),
         "classes",
     )
     each = classes.select("id", "n_words", "keys", "first", F.posexplode("keys").alias("place", "key"))
@@ -219,12 +234,12 @@ def repeats(scanned: DataFrame, docs: DataFrame, window: int, prefix: int, group
     windows = (F.coalesce(after, F.col("n_words") - window + 1) - here).cast("int")
     anchors = each.select("id", "key", here.alias("first"), windows.alias("windows"))
     shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    found = anchors.join(shared, "key")
+    found = anchors.join(stored(shared, "shared"), "key")  # stored first: a hot key's rows can then be split
     by_class = found.groupBy("id").agg(F.collect_list(F.struct("key", "first", "windows", "members")).alias("anchors"))
     alone = classes.filter(f"copies = 1 OR n_words < {window}").select("id")
     # Copies lose everything whatever the trees say, but their windows count as occurrences for others.
-    wanted = by_class.join(classes.select("id", "class"), "id")
-    work = stored(class_texts(docs, wanted), "texts")
+    wanted = by_class.join(classes.select("id", "class", F.col("doc_id").alias("doc")), "id")
+    work = stored(class_texts(docs, stored(wanted, "wanted")).drop("doc"), "texts")
     occurring = stored(stretches(work, window), "stretches")
     pick = ["key", "members", "windows", "words"]
     different = occurring.groupBy("s", "t").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in pick])

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words a worker remembers the hash of.
-MEMORY = 300_000
+#: Words a worker remembers the hash of; working one out again is cheap.
+MEMORY = 100_000
 #: An odd multiplier for polynomial hashes, and two for mixing.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
