@@ -153,7 +153,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH RECURSIVE w AS (
         SELECT row_number() OVER () AS r, doc_id,
                list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                              '[ 	-]+'), lambda x: x <> '') AS words
+                                              '[ 	-
+]+'), lambda x: x <> '') AS words
         FROM documents
     ), s AS (
         SELECT DISTINCT r, array_to_string(words[i:i + 3], ' ') AS s
@@ -195,7 +196,47 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 HARD_ID, HARD_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
-@query("op9_chat")
+def sql_escaped(column: str, level: int, role: bool = False) -> str:
+    """`chat.escape` in SQL."""
+    pairs = chat.CODES + (chat.ROLE_CODES if role else [])
+    for old, new in ([chat.BACKSLASH] if level > 1 else []) + (pairs if level else []):
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+def sql_has(column: str, *parts: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")"
+
+
+def sql_size(level: int) -> str:
+    fixed = len(chat.OPEN) + len(chat.COLON) + len(chat.CLOSE)
+    return f"sum(length({sql_escaped('role', level, True)}) + length({sql_escaped('text', level)}) + {fixed})"
+
+
+SQL_CODES = [new for _, new in [*chat.CODES, *chat.ROLE_CODES, chat.BACKSLASH]]
+SQL_CONTROLS = [old for old, _ in chat.CODES]
+
+
+@query(
+    "op9_chat",
+    rf"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT {HARD_ID}, 0, 'user', '{HARD_TEXT}' UNION ALL SELECT {HARD_ID}, 1, 'assistant', '{HARD_TEXT}'
+    ), g AS (
+        SELECT conv_id, count(*) AS n_turns,
+               string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+               coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+               bool_or({sql_has('text', *SQL_CODES)} OR {sql_has('role', *SQL_CODES)}) AS codes,
+               bool_or({sql_has('text', *SQL_CONTROLS)} OR {sql_has('role', *SQL_CONTROLS, chat.COLON)}) AS controls,
+               {sql_size(0)} AS size0, {sql_size(1)} AS size1, {sql_size(2)} AS size2
+        FROM c GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+           (CASE WHEN codes THEN size2 WHEN controls THEN size1 ELSE size0 END)::BIGINT AS formatted_chars
+    FROM g
+    """,
+)
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
     hard = spark.range(2).select(
