@@ -89,7 +89,8 @@ def identities(docs: DataFrame, size: int = BLOCK_BYTES, key=F.xxhash64) -> Data
     content = blocks.select(F.explode("blocks").alias("content"))
     named_blocks = named(content, [key("content")], F.col("content"), bucket_count(distinct))
     names = stored(named_blocks.select(key("x").alias("key"), F.col("x").alias("content"), "name"), "block-names")
-    per_key = names.groupBy("key").agg(F.count(F.lit(1)).alias("alike"), F.min("name").alias("name"))
+    # Stored before the join, so that the rows of a hot key can be split.
+    per_key = stored(names.groupBy("key").agg(F.count(F.lit(1)).alias("alike"), F.min("name").alias("name")), "per-key")
     if per_key.filter("alike > 1").limit(1).count() == 0:
         placed = rows.select("row", F.posexplode("keys").alias("place", "key"))
         now = placed.join(per_key, "key").select("row", "place", "name")
