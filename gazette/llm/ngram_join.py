@@ -4,12 +4,13 @@ A document is the set of its `WORDS`-word shingles. Two sets with a Jaccard simi
 a token among the first n - ceil(t n) + 1 of each, under any order of all tokens. Candidates must do so
 under three orders at once; only then are they verified on the whole sets.
 
-Orders. Each is (frequent or not, a hash of its own), frequent tokens last. A token counts as frequent if
-more than `FREQUENT` documents have it in their first prefix; all documents are counted. The frequent ones
-travel as a bitmap of fixed size (`BITMAP_BITS`), filled with the `MOST_FREQUENT` most frequent at most:
-any function of the token gives a valid order, so the bound and chance hits in the bitmap cost time only.
-Common passages leave the prefixes that way, and of a large group of near copies only those documents
-meet whose private part is small.
+Orders. Each is (frequent or not, a hash of its own), frequent tokens last. How many documents hold a
+token is counted over all shingles of all documents, in a table of fixed size (`BITMAP_BITS` cells); a
+token is frequent if its cell has over `FREQUENT` hits more than the mean and `SIGMAS` times its spread. One bit
+per cell is broadcast. Any function of the token gives a valid order, so chance hits of a cell, more of
+them the larger the corpus, cost time only. Common passages leave the prefixes that way, and in a large
+group of near copies what is private to a document stands first: documents whose private part is too
+large to be similar to any other meet none.
 
 Steps, none of which puts out all pairs of a group:
 
@@ -35,16 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.common import stored, texts
 from gazette.llm.components import components
-from gazette.llm.substring_dedup import class_of, with_class
+from gazette.llm.substring_dedup import class_of, class_texts, with_class
 from gazette.llm.words import MIX_A, WordHashes, mixed, run_hashes, words_of
 
 WORDS, PERCENT = 4, 85
-FREQUENT, MOST_FREQUENT, BITMAP_BITS = 32, 1 << 17, 1 << 24
+FREQUENT, SIGMAS, BITMAP_BITS = 8, 6, 1 << 24
+#: Cells of a block, shingles that a task counts at once, tables of counts that are added at once.
+BLOCK, FLUSH, FAN_IN = 1 << 16, 1 << 22, 32
 ORDERS = 3
 
 
@@ -77,31 +82,85 @@ def prefix(keys: np.ndarray, size: int) -> np.ndarray:
     return np.partition(keys, size - 1)[:size] if size < len(keys) else keys
 
 
-def frequent_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
-    """The bitmap of tokens that many documents have in their prefix."""
+def block_rows(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Counts of sorted cells, block by block."""
+    cut = np.searchsorted(cells, np.arange(0, BITMAP_BITS + 1, BLOCK, dtype=np.uint64))
+    for block, (start, stop) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        if stop > start:
+            counts = np.bincount((cells[start:stop] - np.uint32(block * BLOCK)).astype(np.int64), minlength=BLOCK)
+            yield block, zstandard.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def read_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
+
+
+def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of cells that far more documents hit than the mean, over all shingles of all documents.
+
+    Tasks count hits of cells (tokens cut to `BITMAP_BITS` values) in blocks; blocks are added up in a
+    tree, `FAN_IN` or so at a time; what comes to the driver is one bit per cell.
+    """
+    schema = "block int, part bigint, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n, made = WordHashes(), [], 0, 0
+        place = TaskContext.get().partitionId() if TaskContext.get() else 0
+
+        def flush() -> pa.RecordBatch:
+            rows = list(block_rows(np.sort(np.concatenate(held))))
+            part = [(place << 20) + made] * len(rows)
+            columns = [pa.array([b for b, _ in rows], pa.int32()), pa.array(part, pa.int64()), pa.array([c for _, c in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "part", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [np.empty(0, np.uint64)]
             for text in batch.column("text").to_pylist():
                 tokens = shingles(words_of(text, lower=True), hashes, size)
-                short = prefix_size(len(tokens), percent)
-                found.append(tokens[np.argpartition(order_keys(tokens, 0), short - 1)[:short]] if short < len(tokens) else tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
+                held.append((tokens & np.uint64(BITMAP_BITS - 1)).astype(np.uint32))
+                n += len(tokens)
+                if n >= FLUSH:
+                    yield flush()
+                    held, n, made = [], 0, made + 1
+        if n:
+            yield flush()
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, dtype=np.uint64)
+        for data in group.column("counts").to_pylist():
+            total += read_counts(data)
+        data = zstandard.compress(np.minimum(total, np.iinfo(np.uint32).max).astype("<u4").tobytes(), 1)
+        return pa.table({"block": group.column("block")[:1].cast(pa.int32()), "part": pa.array([group.column("part")[0].as_py()], pa.int64()), "counts": pa.array([data], pa.binary())})
+
+    counts = stored(texts(docs).mapInArrow(count, schema), "counts")
+    parts = counts.select("part").distinct().count()
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        group = F.pmod(F.xxhash64("part"), F.lit(parts)).alias("group")
+        counts = stored(counts.groupBy("block", group).applyInArrow(add, schema), "counts")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"hits": [int(read_counts(x).sum(dtype=np.uint64)) for x in batch.column("counts").to_pylist()]})
+
+    hits = counts.mapInArrow(sums, "hits bigint").agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+    mean = hits / BITMAP_BITS
+    limit = FREQUENT + mean + SIGMAS * mean**0.5
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.packbits(read_counts(x) > limit, bitorder="little").tobytes() for x in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(found, pa.binary())], names=["block", "bits"])
 
-    counts = texts(docs).mapInArrow(run, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
-    bits = np.array([r["token"] for r in most.collect()], dtype=np.int64).view(np.uint64) & np.uint64(BITMAP_BITS - 1)
     bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    np.bitwise_or.at(bitmap, (bits >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bits & np.uint64(7)).astype(np.uint8))
+    for block, found in counts.mapInArrow(bits, "block int, bits binary").collect():  # one bit per cell
+        bitmap[block * BLOCK // 8 : (block + 1) * BLOCK // 8] |= np.frombuffer(found, np.uint8)
     return bitmap
 
 
 def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """row, doc_id, class, n (shingles), cold (infrequent ones) and the prefix keys of each order, as bytes:
-    of the first order whole and in no order, of the others the upper half of each key, sorted."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size, percent))
+    of the first order whole, of the others the upper half of each key, both sorted."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size))
     slim = texts(docs, "doc_id")
     kind = slim.schema["doc_id"].dataType.simpleString()
     names = ["class", "n", "cold", *[f"o{i}" for i in range(ORDERS)]]
@@ -117,7 +176,7 @@ def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 last = hot.astype(np.uint64) << np.uint64(63)
                 keys = [prefix(order_keys(tokens, i) | last, short) for i in range(ORDERS)]
                 halves = [np.sort((k >> np.uint64(32)).astype("<u4")) for k in keys[1:]]
-                rows.append((class_of(words), len(tokens), len(tokens) - int(hot.sum()), *[k.tobytes() for k in (keys[0], *halves)]))
+                rows.append((class_of(words), len(tokens), len(tokens) - int(hot.sum()), *[k.tobytes() for k in (np.sort(keys[0]), *halves)]))
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             kinds = [pa.binary(), pa.int64(), pa.int64()] + [pa.binary()] * ORDERS
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
@@ -129,27 +188,34 @@ def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def exploded(classes: DataFrame) -> DataFrame:
-    """token, id: the first order's prefix, one row per token."""
+    """token, id, at: the first order's prefix, one row per token with its place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.frombuffer(x, "<i8") for x in batch.column("o0").to_pylist()]
             if keys:
                 ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["token", "id"])
+                at = np.concatenate([np.arange(len(k), dtype=np.int32) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids), pa.array(at)], names=["token", "id", "at"])
+
+    return classes.select("id", "o0").mapInArrow(run, "token bigint, id bigint, at int")
 
-    return classes.select("id", "o0").mapInArrow(run, "token bigint, id bigint")
 
+def can_reach(n: Column, at: Column, m: Column, there: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens that first share the tokens at these places can be similar enough.
 
-def sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    What stands before is not shared, so at most the rest of either set is. At any later shared token the
+    bound is lower still: a pair that can be similar passes at its first one. (With `at` 0 this bounds the
+    sizes.) Documents with a large private part, which stands first in the order, pass nowhere.
+    """
+    return F.least(n - at, m - there) * (100 + percent) >= (n + m) * percent
 
 
 def passing(pairs: DataFrame, scanned: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose prefixes allow the needed overlap under each of the other orders."""
     orders = [f"o{i}" for i in range(1, ORDERS)]
     side = lambda x: scanned.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(o).alias(f"{o}_{x}") for o in orders])
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    wide = pairs.filter("a >= 0").join(side("a"), "a").join(side("b"), "b")  # the filter: see class_texts
 
     def allowed(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
         """Both prefixes are whole below the smaller of their last keys; keys are cut, so equal ones may differ."""
@@ -183,26 +249,24 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def token_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """id and the whole sorted set, as bytes, of the wanted classes (id, class, doc)."""
-    found = texts(docs, "doc_id").join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("id", "class", "text")
+def token_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id and the whole sorted set, as bytes, of every class that stands in a pair."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = classes.select("id", "class", F.col("rep.doc_id").alias("doc")).join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, tokens = [], []
-            for i, name, text in zip(*[batch.column(c).to_pylist() for c in ("id", "class", "text")], strict=True):
-                words = words_of(text, lower=True)
-                if class_of(words) == name:  # a doc_id may stand for several texts
-                    ids.append(i)
-                    tokens.append(shingles(words, hashes, size).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+            tokens = [shingles(words_of(t, lower=True), hashes, size).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
-    return found.mapInArrow(run, "id bigint, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens"))
+    found = class_texts(docs, stored(wanted, "wanted"), lower=True)
+    return found.select("id", "text").mapInArrow(run, "id bigint, tokens binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
+    sets = stored(token_sets(pairs, classes, docs, size), "sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,38 +292,45 @@ def similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame
         ),
         "classes",
     )
-    taking_part = scanned.select(F.col("row").alias("id"), "o0").join(classes.select("id"), "id", "left_semi")
-    rows = exploded(taking_part)
+    # Copies are few against all rows: taking them out moves less than picking the others.
+    sound = scanned.filter("n > 0").select(F.col("row").alias("id"), "o0")
+    copies = stored(sound.select("id").join(classes.select("id"), "id", "left_anti"), "copies")
+    rows = exploded(sound.join(copies, "id", "left_anti"))
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
-    met = rows.join(often, "token", "left_semi").join(classes.select("id", "n", "cold"), "id")
+    # What rows are joined with is stored first: a hot token's rows can then be split.
+    met = rows.join(stored(often, "often"), "token", "left_semi").join(classes.select("id", "n", "cold"), "id")
     met = stored(met, "met")
-    leaders = met.groupBy("token").agg(F.min(F.struct("cold", "id", "n")).alias("leader"))
+    leaders = met.groupBy("token").agg(F.min(F.struct("cold", "id", "n", "at")).alias("leader"))
     shared = stored(
-        met.join(leaders, "token").select("token", "id", "n", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "shared"
+        met.join(stored(leaders, "leaders"), "token").select(
+            "token", "id", "n", "at", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.at").alias("leader_at")
+        ),
+        "shared",
     )
     a, b = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
-    stars = shared.filter((F.col("id") != F.col("leader")) & sizes_fit(F.col("n"), F.col("leader_n"), percent)).select(a, b).distinct()
+    reach = can_reach(F.col("n"), F.col("at"), F.col("leader_n"), F.col("leader_at"), percent)
+    stars = shared.filter((F.col("id") != F.col("leader")) & reach).select(a, b).distinct()
     stars = stored(stars, "stars")
-    wanted = classes.select("id", "class", F.col("rep.doc_id").alias("doc")).join(shared.select("id").distinct(), "id", "left_semi")
-    sets = stored(token_sets(wanted, docs, size), "sets")
-    near = stored(verified(passing(stars, scanned, percent), sets, percent), "links")
+    near = stored(verified(stored(passing(stars, scanned, percent), "candidates"), classes, docs, size, percent), "links")
     labels = components(near)
     of = lambda x, label: labels.select(F.col("node").alias(x), F.col("label").alias(label))
     labelled = shared.join(of("id", "label"), "id", "left").join(of("leader", "leader_label"), "leader", "left")
     labelled = stored(
-        labelled.select("token", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")),
+        labelled.select("token", "id", "n", "at", F.coalesce("label", "id").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")),
         "labelled",
     )
     outside = labelled.filter("label <> leader_label")
-    left = outside.select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    right = labelled.join(outside.select("token").distinct(), "token", "left_semi").select(
-        F.col("token").alias("token_y"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"), (F.col("label") != F.col("leader_label")).alias("too")
+    left = outside.select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("label").alias("label_x"))
+    right = labelled.join(stored(outside.select("token").distinct(), "open"), "token", "left_semi").select(
+        F.col("token").alias("token_y"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("label").alias("label_y"), (F.col("label") != F.col("leader_label")).alias("too")
     )
     # Both outside the leader's component: taken once, from the smaller id.
     apart = (F.col("label_x") != F.col("label_y")) & (~F.col("too") | (F.col("x") < F.col("y")))
-    pairs = left.join(stored(right, "right"), (F.col("token") == F.col("token_y")) & apart & sizes_fit(F.col("n_x"), F.col("n_y"), percent))
+    reach = can_reach(F.col("n_x"), F.col("at_x"), F.col("n_y"), F.col("at_y"), percent)
+    pairs = left.join(stored(right, "right"), (F.col("token") == F.col("token_y")) & apart & reach)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(verified(passing(pairs, scanned, percent), sets, percent), "links")
+    pairs = stored(passing(stored(pairs, "pairs"), scanned, percent), "candidates")
+    more = stored(verified(pairs, classes, docs, size, percent), "links")
     return scanned, classes, near.unionByName(more)
 
 
