@@ -32,7 +32,7 @@ from gazette.llm.common import texts
 
 MAX_FILE_BYTES = 64 << 20
 #: Words a worker remembers: two generations of so many; the older one goes when the newer is full.
-MEMORY = 250_000
+MEMORY = 150_000
 #: Symbols of a fragment up to which a plain scan for the lowest rank beats a heap.
 SHORT = 48
 
