@@ -22,6 +22,9 @@ from gazette.llm.common import prepare, release, table
 from gazette.llm.queries import BYTE_BPE, quality_model
 from gazette.session import shared_dir
 
+#: Near copies of the pipeline: shingles of five words, a similarity of 0.8 (`op7_ngram_join` keeps its own).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -51,7 +54,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @stage
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 @stage

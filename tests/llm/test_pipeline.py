@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -58,6 +59,19 @@ def test_stages_keep_the_columns_and_odd_rows(spark, tmp_path):
         assert (docs.count() == 0) == empty
 
 
+def test_near_stage_takes_five_words_and_four_fifths(docs):
+    """Copies with a fifth appended (0.83 at any shingle size), and pairs around the bound, by brute force."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 40, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        more = [f"w{rng.randrange(10**6)}" for _ in range([20, 24, 25, 26, 30][i // 2 % 5])]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base + more))]
+    stay = {r["doc_id"] for r in corpus_pipeline.unlike_documents(docs(rows).sparkSession, docs(rows), SF_DIR).collect()}
+    assert stay == {i for i, _, c in brute_components(rows, 5, 80) if i == c}
+    assert 1 not in stay and stay != {i for i, _, c in brute_components(rows) if i == c}
+
+
 def test_five_stages_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "substring_dedup", "packing"]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
