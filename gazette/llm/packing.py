@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,23 @@ def tokenizer(shared: Broadcast) -> tiktoken.Encoding:
     return held["encoding"]
 
 
+def token_ids(encoding: tiktoken.Encoding, pattern: str, text: str) -> np.ndarray:
+    """Ids of a whole text. Where tiktoken's splitter gives up (long runs of white space), the text is
+    split here and tiktoken merges word by word."""
+    try:
+        return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+    except ValueError:
+        special = "|".join(map(regex.escape, sorted(encoding.special_tokens_set, key=len, reverse=True)))
+        ids: list[int] = []
+        for i, part in enumerate(regex.split(f"({special})", text) if special else [text]):
+            if i % 2:
+                ids.append(encoding.encode_single_token(part))
+            else:
+                for word in regex.findall(pattern, part):
+                    ids += encoding._encode_single_piece(word)
+        return np.array(ids, dtype="<u4")
+
+
 def pieces(docs: DataFrame, path: str, closing: int, capacity: int) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids of every piece, its task and its number among the pieces
     of its length in that task."""
@@ -108,13 +126,13 @@ def pieces(docs: DataFrame, path: str, closing: int, capacity: int) -> DataFrame
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary, part int, nth bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, context = tokenizer(shared), TaskContext.get()
+        encoding, pattern, context = tokenizer(shared), shared.value["pattern"], TaskContext.get()
         part = context.partitionId() if context else 0
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             rows, starts, lengths, totals, ids, nth = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                tokens = encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+                tokens = token_ids(encoding, pattern, text)
                 tokens = np.append(tokens, np.array([closing], dtype="<u4"))
                 for start in range(0, len(tokens), capacity):
                     piece = tokens[start : start + capacity]

@@ -6,10 +6,12 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 from gazette.llm import bpe, packing
@@ -143,3 +145,26 @@ def test_packing_of_nulls_long_texts_and_nothing(docs):
     assert packing.pack(docs([]), path, carry=carry).count() == 0
     twice = packing.pack(docs([(1, "same"), (1, "same")]), path).collect()
     assert len(twice) == 2 and len({(r["sequence_id"], r["offset"]) for r in twice}) == 2
+
+
+def test_packing_of_white_space_without_end(docs):
+    from pyspark.sql import functions as F
+
+    path, carry = public_tokenizers.path(BYTE_BPE), F.crc32("ids").alias("ids_crc32")
+    given = [(1, " " * 2_000_000), (2, "a<|endoftext|>é " + "\n" * 1_500_000 + "b<|startoftext|>"), (3, " \t" * 600_000 + " the"), (4, "c")]
+    check_packed(packing.pack(docs(given), path, carry=carry).collect(), given)
+
+
+def test_words_of_the_splitter_as_the_library():
+    """The way for texts that tiktoken refuses, on all odd texts."""
+
+    class Refusing(tiktoken.Encoding):
+        def encode_to_numpy(self, *args, **kwargs):
+            raise ValueError("refused")
+
+    path = public_tokenizers.path(BYTE_BPE)
+    shared = SimpleNamespace(value={"file": bpe.tokenizer_file(path), "pattern": bpe.pattern_of(None).pattern})
+    encoding, theirs = packing.tokenizer(shared), library(BYTE_BPE)
+    encoding.__class__ = Refusing
+    for text in odd_texts():
+        assert packing.token_ids(encoding, shared.value["pattern"], text).tolist() == theirs.encode(text, add_special_tokens=False).ids
