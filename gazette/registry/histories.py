@@ -155,7 +155,8 @@ def _arriving_view(spark, sf, name):
     path = shared_dir(spark, f"arriving-{source}")
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(order >= low)
-        part = part if high is None else part.filter(order < high)
+        keep = order < high if high is not None else F.lit(True)
+        part = part.filter(keep | order.isNull()) if low is None else part.filter(keep)  # null keys come first
         part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return stream.selectExpr(*[dialect(c, "spark") for c in columns])

@@ -99,3 +99,15 @@ def test_delivery_opens_only_the_period_of_the_log(spark, tmp_path, issues):  #
     keys = sent_keys(read_table(spark, path, delivery.LOG), ready_issue_for(issues, F.lit(PERIOD)), "weekly", issues)
     text = keys._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[\(isnull\(issue_id#\d+L?\) OR array_contains", text)
+
+
+def test_arriving_tables_keep_rows_without_a_key(spark, tmp_path):
+    from gazette.registry import histories as registered
+
+    ts = "IF(id % 5 = 0, NULL, timestamp_seconds(1704067200 + id * 60))"
+    given = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("id", F.monotonically_increasing_id())
+    given.withColumn("ts", F.expr(ts).cast(given.schema["ts"].dataType)).drop("id").write.parquet(f"{tmp_path}/events.parquet")
+    stream = registered._arriving_view(spark, str(tmp_path), "actions")
+    rows = runs.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert rows.count() == given.count()
+    assert {r[0] for r in rows.filter("ts is null").select("batch_id").distinct().collect()} == {0}
