@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, chat, exact_dedup, ngram_join, packing, quality, substring_dedup, topk, url_filter, warc
+from gazette.llm import (
+    bpe, chat, collocations, exact_dedup, ngram_join, packing, quality, substring_dedup, token_counts, topk, url_filter, warc, whitening,
+)
 from gazette.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +30,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 @query("op1_bpe")
@@ -275,3 +277,54 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
+#: Tokens beyond which a document counts as too long.
+TOKEN_LIMIT = 4096
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH d AS (
+        SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+        FROM documents
+    ), p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+    s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+    k AS (SELECT lang, words, i, unnest([1, 2, 3]) AS k FROM s),
+    f AS (
+        SELECT lang, k, words[i:i + k - 1] AS ws, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS a
+        FROM k WHERE i + k - 1 <= len(words) GROUP BY ALL
+    ), n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+    x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+    y AS (
+        SELECT x.lang, x.phrase, x.ws, x.k, x.a, cut, l.a AS l, r.a AS r, (1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a) AS score
+        FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[:cut], ' ')
+        JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[cut + 1:], ' ')
+    ), z AS (
+        SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+    ), o AS (
+        SELECT z.lang, z.phrase FROM z JOIN c t ON t.lang = z.lang AND t.k = z.k + 1 AND 100 * t.a >= 50 * z.a
+        AND (t.ws[:2] = z.ws OR t.ws[2:] = z.ws) GROUP BY ALL
+    ), q AS (
+        SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z ANTI JOIN o USING (lang, phrase)
+    )
+    SELECT q.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM q JOIN n USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
