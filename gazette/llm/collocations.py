@@ -37,16 +37,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.common import stored
+from gazette.llm.words import BASE, mixed
 
 LIMIT, LEAST, PERCENT = 2000, 10, 50
 MILLION = 1_000_000
-#: Phrases a task holds at most before it sends them on; words and pairs whose bits it remembers.
-HELD, MEMORY = 300_000, 200_000
+#: Phrases a task holds at most before it sends them on; words a language remembers the hash of.
+HELD, MEMORY = 200_000, 100_000
 SLICE_BYTES = 1 << 20
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 SEGMENT = 1 << 15  # bits that Spark puts into one bitmap
-#: The seed of Spark's xxhash64.
-SEED = 42
 
 #: A separator becomes a full stop, a tab a blank, A-Z a-z. A full stop as a word of its own ends a piece.
 STOP = b"."
@@ -64,36 +63,55 @@ def word_lists(text: bytes, carry: int) -> Iterator[list[bytes]]:
         last, start = words[max(0, len(words) - carry) :] if carry else [], end
 
 
-class Marked(dict):
-    """What bits say about the phrases of one language, remembered."""
+class Hashes(dict):
+    """64-bit hashes of the words of one language, remembered; that of a stop is zero."""
 
-    def __init__(self, lang: str, look: Callable[[int, bytes], object]):
-        self.seed, self.look = xxhash.xxh64_intdigest(lang.encode(), seed=SEED), look
+    def __init__(self, lang: str):
+        self.seed = xxhash.xxh64_intdigest(lang.encode())
 
-    def __missing__(self, phrase: bytes) -> object:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        self[phrase] = found = self.look(xxhash.xxh64_intdigest(phrase, seed=self.seed), phrase)
+        self[word] = found = xxhash.xxh64_intdigest(word, seed=self.seed) | 1 if word != STOP else 0
         return found
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
-def bit(bits: bytes, key: int) -> int:
-    at = key & (len(bits) * 8 - 1)
-    return bits[at >> 3] >> (at & 7) & 1
 
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every two neighbours."""
+    with np.errstate(over="ignore"):
+        return mixed(hashes[:-1] * BASE + hashes[1:])
 
-def bits_of(phrases: DataFrame) -> bytes:
-    """A bit for the hash of each (lang, phrase); the number of bits follows that of the phrases, up to `MOST_BITS`."""
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    at = keys & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bits_of(phrases: DataFrame, length: int) -> np.ndarray:
+    """A bit for the hash of each (lang, phrase) of one or two words; their number follows that of the phrases, up to `MOST_BITS`."""
     size = LEAST_BITS
     n = phrases.count()
     while size < min(16 * n, MOST_BITS):
         size *= 2
-    cell = F.pmod(F.xxhash64("lang", "phrase"), F.lit(size))
-    segments = phrases.groupBy(F.floor(cell / SEGMENT).alias("segment")).agg(F.bitmap_construct_agg(cell % SEGMENT).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Hashes] = {}
+        for batch in batches:
+            langs, texts = batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()
+            words = [known.setdefault(lang, Hashes(lang)).of(text.encode().split(b" ")) for lang, text in zip(langs, texts, strict=True)]
+            keys = np.concatenate([w if length == 1 else pair_keys(w) for w in words]) if words else np.empty(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((keys & np.uint64(size - 1)).astype(np.int64))], names=["cell"])
+
+    cells = phrases.select("lang", "phrase").mapInArrow(run, "cell bigint")
+    segments = cells.groupBy(F.floor(F.col("cell") / SEGMENT).alias("segment")).agg(F.bitmap_construct_agg(F.col("cell") % SEGMENT).alias("bits"))
     out = np.zeros((size // SEGMENT, SEGMENT // 8), dtype=np.uint8)
     for row in segments.toLocalIterator():  # at most MOST_BITS / SEGMENT of them
         out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.tobytes()
+    return out.reshape(-1)
 
 
 def counted(docs: DataFrame, length: int, grams: Callable[[str], Callable[[list[bytes]], Iterable[bytes]]]) -> DataFrame:
@@ -130,39 +148,37 @@ def all_words(lang: str) -> Callable:
     return lambda words: filter(STOP.__ne__, words)
 
 
-def pairs_of(frequent: bytes) -> Callable:
-    """Pairs of words whose bits are set; other words act as stops."""
+def pairs_of(frequent: np.ndarray) -> Callable:
+    """Pairs of words whose bits are set."""
 
     def by_lang(lang: str) -> Callable:
-        known = Marked(lang, lambda key, word: word if word != STOP and bit(frequent, key) else STOP)
+        known = Hashes(lang)
 
         def found(words: list[bytes]) -> Iterable[bytes]:
-            kept = list(map(known.__getitem__, words))
-            both = [a is not STOP and b is not STOP for a, b in zip(kept, kept[1:], strict=False)]
-            return map(b" ".join, compress(zip(kept, kept[1:], strict=False), both))
+            hashes = known.of(words)
+            sound = (hashes > 0) & marked(frequent, hashes)
+            return map(b" ".join, compress(zip(words, words[1:], strict=False), (sound[:-1] & sound[1:]).tobytes()))
 
         return found
 
     return by_lang
 
 
-def triples_of(frequent: bytes, prefixes: bytes, pairs: bytes) -> Callable:
+def triples_of(frequent: np.ndarray, prefixes: np.ndarray, pairs: np.ndarray) -> Callable:
     """Triples of frequent words whose first two are to be expanded and whose last two are a frequent pair."""
 
     def by_lang(lang: str) -> Callable:
-        known = Marked(lang, lambda key, word: word if word != STOP and bit(frequent, key) else STOP)
-        marks = Marked(lang, lambda key, pair: bit(prefixes, key) | 2 * bit(pairs, key))
+        known = Hashes(lang)
 
         def found(words: list[bytes]) -> Iterable[bytes]:
-            kept = list(map(known.__getitem__, words))
-            n = len(kept) - 1
-            codes = np.zeros(max(n, 0), dtype=np.uint8)
-            stop = np.fromiter((w is STOP for w in kept), dtype=bool, count=len(kept))
-            whole = ~(stop[:-1] | stop[1:]) if n > 0 else codes.astype(bool)
-            both = list(map(b" ".join, compress(zip(kept, kept[1:], strict=False), whole)))
-            codes[whole] = np.fromiter(map(marks.__getitem__, both), dtype=np.uint8, count=len(both))
-            grown = (codes[:-1] & 1) & (codes[1:] >> 1)
-            return map(b" ".join, compress(zip(kept, kept[1:], kept[2:], strict=False), grown))
+            if len(words) < 3:
+                return ()
+            hashes = known.of(words)
+            sound = (hashes > 0) & marked(frequent, hashes)
+            keys = pair_keys(hashes)
+            both = sound[:-1] & sound[1:]
+            grown = both[:-1] & both[1:] & marked(prefixes, keys[:-1]) & marked(pairs, keys[1:])
+            return map(b" ".join, compress(zip(words, words[1:], words[2:], strict=False), grown.tobytes()))
 
         return found
 
@@ -240,10 +256,10 @@ def collocations(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, percen
     words = stored(counted(slim, 1, all_words), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = words.filter(F.col("a") >= least)
-    word_bits = bits_of(frequent)
+    word_bits = bits_of(frequent, 1)
     counts = counted(slim, 2, pairs_of(word_bits)).filter(F.col("a") >= least)
     pairs = stored(frequent_pairs(counts, frequent), "pairs")
-    pair_bits = bits_of(pairs)
+    pair_bits = bits_of(pairs, 2)
     langs = stored(pairs.select("lang").distinct(), "langs")
     expanded: DataFrame | None = None
     triples: DataFrame | None = None
@@ -255,7 +271,7 @@ def collocations(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, percen
         if expanded is not None:
             prefixes = prefixes.join(expanded, ["lang", "phrase"], "left_anti")
         prefixes = stored(prefixes, "prefixes")
-        counts = counted(slim, 3, triples_of(word_bits, bits_of(prefixes), pair_bits)).filter(F.col("a") >= least)
+        counts = counted(slim, 3, triples_of(word_bits, bits_of(prefixes, 2), pair_bits)).filter(F.col("a") >= least)
         grown = stored(scored_triples(counts, prefixes, pairs), "triples")
         triples = grown if triples is None else triples.unionByName(grown)
         reached = prefixes.select("lang", "phrase")

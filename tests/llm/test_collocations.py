@@ -66,7 +66,7 @@ def test_against_all_phrases(spark, limit, reach):
 def test_only_reached_prefixes_are_expanded(spark, monkeypatch):
     seen = []
     bits_of = collocations.bits_of
-    monkeypatch.setattr(collocations, "bits_of", lambda phrases: seen.append(phrases.count()) or bits_of(phrases))
+    monkeypatch.setattr(collocations, "bits_of", lambda phrases, length: seen.append(phrases.count()) or bits_of(phrases, length))
     rows = corpus(3, 600)
     assert found(spark, rows, limit=3, reach=4) == brute(rows, 3)
     words, pairs, *frontier = seen
