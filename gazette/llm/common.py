@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.session import shared_dir
@@ -29,24 +31,54 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Folders that `stored` has written and `release` has not yet removed.
-MADE: list[str] = []
+class Tables:
+    """The folders that one run has made for itself, to be removed once its result is written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def remove(self, spark: SparkSession) -> None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+#: Who owns what `stored` writes; nobody outside `owned`, so nothing is removed under a reader.
+OWNER: ContextVar[Tables | None] = ContextVar("OWNER", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[Tables]:
+    """Within, `stored` notes its folders in the tables given; other runs' folders are never touched."""
+    tables = Tables()
+    token = OWNER.set(tables)
+    try:
+        yield tables
+    finally:
+        OWNER.reset(token)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: later steps start from the files."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    MADE.append(path)
+    if (tables := OWNER.get()) is not None:
+        tables.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the folders `stored` has written so far; results that read them must be written by now."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while MADE:
-        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
-        path.getFileSystem(conf).delete(path, True)
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """The whole rows of `docs` as one column `given`, beside the named ones: no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), *[v.alias(n) for n, v in named.items()])
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column bears it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import stored, texts
+from gazette.llm.common import packed, stored, texts
 from gazette.operators.common import once
 
 #: Bytes of a block, and distinct contents per naming bucket.
@@ -155,14 +155,15 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, key=F.xxhash64) -> Dat
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, whole. Rows that agree in doc_id, points and normalised text with
-    the one that stays cannot be told apart by these; of them any one stays."""
+    the one that stays cannot be told apart by these; of them one with the smallest text stays."""
+    names = ["doc", "key", "length"]
     kept = exact_dedup(docs).filter("kept").select(
-        F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), F.col("points").alias("_points"), F.col("ties").alias("_ties")
+        F.col("doc_id").alias("doc_k"), F.col("text_sha256").alias("key_k"), F.col("points").alias("length_k"), "ties"
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = once(docs, _key=F.sha2(normalised(text), 256), _length=F.char_length(text))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_sha")) & (F.col("_length") == F.col("_points"))
+    marked = packed(docs, doc=F.col("doc_id"), text=text)
+    marked = once(marked, key=F.sha2(normalised(F.col("text")), 256), length=F.char_length("text"))
+    same = F.col("doc").eqNullSafe(F.col("doc_k")) & (F.col("key") == F.col("key_k")) & (F.col("length") == F.col("length_k"))
     found = marked.join(stored(kept, "kept"), same)
-    one = found.filter("_ties = 1").select(*docs.columns)
-    tied = found.filter("_ties > 1").dropDuplicates(["doc_id", "_key", "_length"]).select(*docs.columns)
-    return one.unionByName(tied)
+    tied = found.filter("ties > 1").groupBy(*names).agg(F.min_by("given", "text").alias("given"))
+    return found.filter("ties = 1").select("given").unionByName(tied.select("given")).select("given.*")

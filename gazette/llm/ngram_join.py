@@ -41,10 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import stored, texts
+from gazette.llm.common import packed, stored, texts
 from gazette.llm.components import components
-from gazette.llm.substring_dedup import class_of, class_texts, with_class
+from gazette.llm.substring_dedup import class_column, class_of, class_texts
 from gazette.llm.words import MIX_A, WordHashes, mixed, run_hashes, words_of
+from gazette.operators.common import once
 
 WORDS, PERCENT = 4, 85
 FREQUENT, SIGMAS, BITMAP_BITS = 8, 6, 1 << 24
@@ -352,13 +353,19 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that stay: of each component the smallest doc_id (a null one last; of several
-    texts with that doc_id the first by class), and every document without shingles."""
+    """The rows of `docs` that stay: of each component one row, that of the smallest doc_id (a null one last; of
+    several texts with that doc_id the first by class, of rows with the same words that with the smallest
+    text), and every document without shingles."""
     scanned, classes, links = similar_classes(docs, size, percent)
     first = labelled_classes(classes, links).select("smallest").distinct()
-    kept = first.select(F.col("smallest.doc_id").alias("_doc"), F.col("smallest.class").alias("_class"))
-    empty = scanned.filter("n = 0").select(F.col("doc_id").alias("_doc"), F.col("class").alias("_class")).distinct()
-    stay = stored(kept.unionByName(empty), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("class_") == F.col("_class"))
-    marked = with_class(docs, lower=True, name="class_")
-    return marked.join(stay, same, "left_semi").select(*docs.columns)
+    ties = scanned.filter("n > 0").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("ties"))
+    kept = first.select(F.col("smallest.doc_id").alias("doc_k"), F.col("smallest.class").alias("class_k"))
+    alike = F.col("doc_k").eqNullSafe(F.col("doc_id")) & (F.col("class_k") == F.col("class"))
+    kept = kept.join(ties, alike).select("doc_k", "class_k", "ties")
+    empty = scanned.filter("n = 0").select(F.col("doc_id").alias("doc_k"), F.col("class").alias("class_k"), F.lit(1).cast("bigint").alias("ties"))
+    stay = stored(kept.unionByName(empty.distinct()), "kept")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = once(packed(docs, doc=F.col("doc_id"), text=text), **{"class": class_column(F.col("text"), lower=True)})
+    found = marked.join(stay, F.col("doc").eqNullSafe(F.col("doc_k")) & (F.col("class") == F.col("class_k")))
+    tied = found.filter("ties > 1").groupBy("doc", "class").agg(F.min_by("given", "text").alias("given"))
+    return found.filter("ties = 1").select("given").unionByName(tied.select("given")).select("given.*")

@@ -11,7 +11,8 @@ from test_copies import brute_components, words
 from test_tokens import check_packed
 
 import corpus_pipeline
-from gazette.llm import quality
+from pyspark.sql import functions as F
+from gazette.llm import exact_dedup, quality
 from gazette.llm.common import prepare
 from gazette.llm.queries import quality_model
 
@@ -30,7 +31,7 @@ def test_pipeline(spark):
         best[norm] = min(best.get(norm, (1, 0)), (-len(t or ""), i))
     kept = {i for _, i in best.values()}
     docs = [(i, t) for i, t in docs if i in kept]
-    stay = {i for i, _, c in brute_components(docs) if i == c}
+    stay = {i for i, _, c in brute_components(docs, 5, 80) if i == c}
     docs = [(i, t) for i, t in docs if i in stay]
     starts = Counter(tuple(w[p : p + 35]) for _, t in docs for w in [words(t)] for p in range(len(w) - 34))
     cut = []
@@ -59,6 +60,18 @@ def test_stages_keep_the_columns_and_odd_rows(spark, tmp_path):
         assert (docs.count() == 0) == empty
 
 
+def test_stages_leave_other_results_alone_and_take_any_names(spark):
+    """A result of another operator is read after the stages have cleared up; a given column bears the score's name."""
+    prepare(spark)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40).withColumn("score", F.lit("x")).withColumn("_score", F.lit("y"))
+    other = exact_dedup.exact_dedup(docs)
+    good = corpus_pipeline.good_documents(spark, docs, SF_DIR)
+    assert good.columns == docs.columns and {(r["score"], r["_score"]) for r in good.collect()} == {("x", "y")}
+    corpus_pipeline.distinct_documents(spark, docs, SF_DIR).count()
+    corpus_pipeline.distinct_documents(spark, docs, SF_DIR).count()
+    assert other.count() == 40
+
+
 def test_near_stage_takes_five_words_and_four_fifths(docs):
     """Copies with a fifth appended (0.83 at any shingle size), and pairs around the bound, by brute force."""
     rng = random.Random(4)
