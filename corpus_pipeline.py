@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import exact_dedup, ngram_join, packing, quality, substring_dedup
-from gazette.llm.common import prepare, release, table
+from gazette.llm.common import Tables, free_name, owned, prepare, table
 from gazette.llm.queries import BYTE_BPE, quality_model
 from gazette.session import shared_dir
 
@@ -27,13 +27,20 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: What the last stage made for itself. Its result has been written before the next stage starts.
+LEFT: list[Tables] = []
+
 
 def stage(work: Stage) -> Stage:
-    """Clears what the stage before made for itself: its result has been written by now."""
+    """Removes what the stage before made for itself, and nothing of anybody else."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(prepare(spark))
-        return work(spark, docs, sf_dir)
+        prepare(spark)
+        while LEFT:
+            LEFT.pop().remove(spark)
+        with owned() as tables:
+            LEFT.append(tables)
+            return work(spark, docs, sf_dir)
 
     return run
 
@@ -41,8 +48,9 @@ def stage(work: Stage) -> Stage:
 @stage
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.score(docs, quality_model(spark, sf_dir), keep=docs.columns, name="_score")
-    return scored.filter(F.col("_score") >= 0.5).drop("_score")
+    score = free_name(docs, "score")
+    scored = quality.score(docs, quality_model(spark, sf_dir), keep=docs.columns, name=score)
+    return scored.filter(F.col(score) >= 0.5).drop(score)
 
 
 @stage
