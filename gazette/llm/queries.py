@@ -92,16 +92,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op5_topk",
     """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS e
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS e
         FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), s AS (
-        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
                list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS score
-        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.r <> q.r AND len(q.e) = len(c.e)
     ), r AS (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s
     )
     SELECT query_id, rank::INT AS rank, vec_id, score::BIGINT AS score FROM r WHERE rank <= 10
     """,

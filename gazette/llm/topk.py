@@ -1,22 +1,23 @@
 """Exact top-k search: tiles of queries against shards, a partial selection per tile, a tree of merges.
 
 Components become integers, floor(scale * x); the score is the integer inner product. Vectors are packed,
-task by task, into shards of at most `shard_rows` rows (one row per shard, a matrix as bytes) and queries
-into blocks of at most `block_rows`. A tile joins one block with one shard: one matrix product, and the
-`k` best per query stay. Lists of one block are then merged, `FAN_IN` or so at a time, until one is left.
+task by task, into shards of at most `shard_rows` rows (one row per shard, a matrix as bytes); every vector
+gets a number of its own there. The queries among them are packed into blocks of at most `block_rows`. A tile
+joins one block with one shard: one matrix product, and the `k` best per query stay. Lists of one block
+are then merged, `FAN_IN` or so at a time, until one is left.
 
-Products are taken in double precision as long as every partial sum stays below 2^53, so that they are
-whole numbers and exact; beyond that in 64-bit integers, and beyond 2^63 in Python integers. A score
-outside the range of a long is held at its end.
+Products are taken in double precision where every partial sum stays below 2^53, so that they are
+whole numbers and exact; beyond that in 64-bit integers, and beyond 2^63 in Python integers, each only for the
+pairs concerned. A score outside the range of a long is held at its end, and so is scale * x at the largest double.
 
 Every shard meets every block of queries, by nature of an exact search; the work grows with queries
 times vectors and is spread over tiles. Nothing is broadcast: a tile holds one block and one shard.
 
 Defined cases: vectors that are null or hold null or non-finite components, or whose vec_id is null, take
 no part; neither side compares vectors of different lengths; an empty vector has score 0 with others.
-A query never meets rows of its own vec_id. Repeated rows of a query are one query if their vectors are
-equal, else the first by value is asked; repeated candidates are candidates of their own. Ties go to the smaller vec_id. Fewer than
-k candidates: all of them. No rows, no result.
+A query never meets its own row, but other rows of its vec_id as well as any; every row that is a query is
+asked, also where rows repeat. Ties go to the smaller vec_id. Fewer than k candidates: all of them. No rows,
+no result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,31 +35,57 @@ from gazette.llm.common import slices, stored
 SHARD_ROWS, BLOCK_ROWS, FAN_IN = 8192, 1024, 8
 EXACT_DOUBLE, EXACT_LONG = 2.0**53, 2.0**63
 
-PACKED = "dim int, part string, n int, ids binary, cells binary, top double"
 LISTS = "dim int, block string, shard string, ids binary, found binary"
+PACKED_SCHEMA = pa.schema(
+    [("dim", pa.int32()), ("part", pa.string()), ("n", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("asked", pa.binary()), ("cells", pa.binary())]
+)
+PACKED = "dim int, part string, n int, ids binary, rows binary, asked binary, cells binary"
+#: What a task packs: ids, own numbers, whether a query, integer components.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def integers(matrix: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(matrix.astype(np.float64) * scale)
+    most = np.finfo(np.float64).max
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(matrix.astype(np.float64) * scale), -most, most)
 
 
-def pack(rows: int, scale: int):
-    """Vectors of a task in matrices of at most `rows` rows, by dimension."""
+def place_of_task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        place, held, made = context.partitionId() if context else 0, {}, 0
 
-        def flush(dim: int) -> pa.RecordBatch:
-            nonlocal made
-            ids, cells = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            made += 1
-            top = float(np.abs(cells).max()) if cells.size else 0.0
-            values = [[dim], [f"{place}-{made}"], [len(ids)], [ids.tobytes()], [cells.astype("<f8").tobytes()], [top]]
-            return pa.RecordBatch.from_pydict(dict(zip(["dim", "part", "n", "ids", "cells", "top"], values, strict=True)), schema=schema)
+def packer(size: int, given: Iterator[tuple[int, Rows]]) -> Iterator[pa.RecordBatch]:
+    """(dimension, rows) put together to matrices of at most `size` rows, by dimension."""
+    held: dict[int, list[Rows]] = {}
+    made = 0
+
+    def flush(dim: int) -> pa.RecordBatch:
+        nonlocal made
+        ids, rows, asked, cells = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+        made += 1
+        values = [dim, f"{place_of_task()}-{made}", len(ids), *[x.tobytes() for x in (ids, rows, asked, cells.astype("<f8"))]]
+        return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(PACKED_SCHEMA, values, strict=True)}, schema=PACKED_SCHEMA)
+
+    for dim, rows in given:
+        for part in slices(len(rows[0]), size):
+            if dim in held and sum(len(x[0]) for x in held[dim]) + part.stop - part.start > size:
+                yield flush(dim)
+            held.setdefault(dim, []).append(tuple(x[part] for x in rows))
+    for dim in list(held):
+        yield flush(dim)
 
+
+def pack(size: int, scale: int):
+    """Vectors of a task in shards; each vector gets a number of its own."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Rows]]:
+        number = place_of_task() << 40
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype("<i8")
+            asked = batch.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+            rows = np.arange(number, number + len(ids), dtype="<i8")
+            number += len(ids)
             vectors = batch.column("embedding")
             ends = vectors.value_lengths().to_numpy(zero_copy_only=False)
             flat = vectors.flatten().to_numpy(zero_copy_only=False)
@@ -66,28 +93,48 @@ def pack(rows: int, scale: int):
             for dim in np.unique(ends).tolist():
                 mine = np.flatnonzero(ends == dim)
                 cells = integers(flat[starts[mine][:, None] + np.arange(dim)], scale).reshape(len(mine), dim)
-                for part in slices(len(mine), rows):
-                    if dim in held and sum(len(x) for x, _ in held[dim]) + part.stop - part.start > rows:
-                        yield flush(dim)
-                    held.setdefault(dim, []).append((ids[mine[part]], cells[part]))
-        for dim in list(held):
-            yield flush(dim)
-
-    schema = pa.schema(
-        [("dim", pa.int32()), ("part", pa.string()), ("n", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary()), ("top", pa.float64())]
-    )
-    return run
+                yield dim, (ids[mine], rows[mine], asked[mine], cells)
 
+    return lambda batches: packer(size, read(batches))
 
-def products(queries: np.ndarray, shard: np.ndarray, bound: float) -> np.ndarray:
-    """Exact integer inner products; `bound` is an upper bound of any partial sum."""
-    if bound < EXACT_DOUBLE:
-        return (queries @ shard.T).astype(np.int64)
-    if bound < EXACT_LONG:
-        return queries.astype(np.int64) @ shard.astype(np.int64).T
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
+
+def unpacked(x: dict, prefix: str = "") -> Rows:
+    ids, rows = (np.frombuffer(x[prefix + c], "<i8") for c in ("ids", "rows"))
+    cells = np.frombuffer(x[prefix + "cells"], "<f8").reshape(len(ids), x["dim"])
+    return ids, rows, np.frombuffer(x[prefix + "asked"], bool), cells
+
+
+def pack_queries(size: int):
+    """The queries of shards in blocks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Rows]]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                rows = unpacked(x)
+                if rows[2].any():
+                    yield x["dim"], tuple(c[rows[2]] for c in rows)
+
+    return lambda batches: packer(size, read(batches))
+
+
+def products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """Exact integer inner products, held at the ends of a long."""
+    top = lambda m: np.abs(m).max(axis=1, initial=0.0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.multiply.outer(top(queries), top(shard)) * max(1, shard.shape[1])  # of any partial sum
+        plain = queries @ shard.T
+    out = np.where(bound < EXACT_DOUBLE, plain, 0.0).astype(np.int64)
+    middle = (bound >= EXACT_DOUBLE) & (bound < EXACT_LONG)
+    if middle.any():
+        q, s = np.flatnonzero(middle.any(axis=1)), np.flatnonzero(middle.any(axis=0))
+        whole = lambda m: np.clip(m, -EXACT_LONG / 2, EXACT_LONG / 2).astype(np.int64)
+        found = whole(queries[q]) @ whole(shard[s]).T
+        out[np.ix_(q, s)] = np.where(middle[np.ix_(q, s)], found, out[np.ix_(q, s)])
     ends = np.iinfo(np.int64)
-    return np.clip(whole(queries) @ whole(shard).T, ends.min, ends.max).astype(np.int64)
+    for i, j in zip(*np.nonzero(bound >= EXACT_LONG), strict=True):
+        exact = sum(int(a) * int(b) for a, b in zip(queries[i], shard[j], strict=True))
+        out[i, j] = min(max(exact, ends.min), ends.max)
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +151,11 @@ def search_tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                q_ids, s_ids = np.frombuffer(x["q_ids"], "<i8"), np.frombuffer(x["ids"], "<i8")
-                queries = np.frombuffer(x["q_cells"], "<f8").reshape(len(q_ids), x["dim"])
-                shard = np.frombuffer(x["cells"], "<f8").reshape(len(s_ids), x["dim"])
-                scores = products(queries, shard, x["q_top"] * x["top"] * max(1, x["dim"]))
+                (_, q_rows, _, queries), (s_ids, s_rows, _, shard) = unpacked(x, "q_"), unpacked(x)
+                scores = products(queries, shard)
                 found = []
-                for i, query in enumerate(q_ids):
-                    others = s_ids != query
+                for i, row in enumerate(q_rows):
+                    others = s_rows != row
                     found.append(best(scores[i][others], s_ids[others], k))
                 yield list_row(x["dim"], x["block"], x["part"], x["q_ids"], found)
 
@@ -156,19 +201,17 @@ def sound(vector: Column) -> Column:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` best of each query."""
-    slim = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = F.coalesce(is_query, F.lit(False)).alias("asked")
+    slim = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), asked)
     slim = slim.filter(F.col("vec_id").isNotNull()).filter(sound(F.col("embedding")))
+    # Stored once: the numbers of the rows hold for queries and candidates alike.
     shards = stored(slim.mapInArrow(pack(shard_rows, scale), PACKED), "shards")
-    asked = slim.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = stored(asked.mapInArrow(pack(block_rows, scale), PACKED), "blocks")
+    blocks = stored(shards.mapInArrow(pack_queries(block_rows), PACKED), "blocks")
     n_shards = shards.count()
     # Tiles: a shard goes to every block of its dimension, under the key of the pair.
-    shard_keys, block_keys = shards.select("dim", "part"), blocks.select("dim", F.col("part").alias("block"))
-    pairs = shard_keys.join(block_keys, "dim")
-    tiles = pairs.join(shards, ["dim", "part"]).join(
-        blocks.select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("top").alias("q_top")),
-        ["dim", "block"],
-    )
+    pairs = shards.select("dim", "part").join(blocks.select("dim", F.col("part").alias("block")), "dim")
+    sides = [F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "asked", "cells")]
+    tiles = pairs.join(shards, ["dim", "part"]).join(blocks.select("dim", F.col("part").alias("block"), *sides), ["dim", "block"])
     lists = stored(tiles.mapInArrow(search_tiles(k), LISTS), "lists")
     while n_shards > 1:
         n_shards = -(-n_shards // FAN_IN)

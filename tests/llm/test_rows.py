@@ -65,17 +65,14 @@ def test_passes_agree_with_all_labellings():
 
 
 def brute_topk(rows, every, k):
-    whole = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole.setdefault(i, []).append([math.floor(1024 * x) for x in v])
-    out = set()
-    for q in whole:
+    sound = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in sound]
+    out = []
+    for at, (q, query) in enumerate(whole):
         if q % every == 0:
-            query = min(whole[q])
-            scored = [(-sum(a * b for a, b in zip(query, v, strict=True)), i) for i, vs in whole.items() for v in vs if i != q and len(v) == len(query)]
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)}
-    return out
+            scored = [(-sum(a * b for a, b in zip(query, v, strict=True)), i) for n, (i, v) in enumerate(whole) if n != at and len(v) == len(query)]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("size", [1.0, 1e5, 1e13])
@@ -85,20 +82,37 @@ def test_topk(spark, size):
     rows += [(301, None), (302, [1.0, None, 1.0, 1.0]), (303, [float("nan")] * 4), (304, [float("inf")] * 4), (None, [9.0] * 4)]
     rows += [(310, [1.0, 2.0]), (320, [2.0, 2.0]), (330, []), (340, [])]
     if size < 1e10:
-        rows.append((7, rows[7][1]))
+        rows += [(7, rows[7][1]), (10, rows[10][1]), (20, [0.5, 0.25, -1.0, 3.0])]  # repeated, also with another vector
     prepare(spark)
     vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, score string").repartition(3)
     found = topk.top_k(vectors, F.col("vec_id") % 10 == 0, k=5, shard_rows=16, block_rows=7)
     expected = brute_topk(rows, 10, 5)
     limit = 2**63 - 1
-    expected = {(q, r, i, max(-limit - 1, min(limit, s))) for q, r, i, s in expected} if size > 1e10 else expected
-    got = {tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()}
+    expected = [(q, r, i, max(-limit - 1, min(limit, s))) for q, r, i, s in expected] if size > 1e10 else expected
+    got = sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect())
     if size > 1e10:  # scores at the end of the range tie, so only they are compared
         assert sorted((q, r, s) for q, r, _, s in got) == sorted((q, r, s) for q, r, _, s in expected)
     else:
         assert got == expected
 
 
+def test_topk_asks_every_row_and_leaves_out_only_its_own(spark):
+    prepare(spark)
+    vectors = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    found = topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1)
+    assert sorted(tuple(r) for r in found.collect()) == [(100, 1, 1, 1), (100, 1, 1, 1), (100, 2, 100, 0), (100, 2, 100, 0)]
+
+
+def test_topk_of_the_largest_doubles(spark):
+    """Finite values whose multiple is not; only the pairs concerned leave double precision."""
+    prepare(spark)
+    rows = [(0, [1.7e308, 0.0]), (10, [2.0, 1.0]), (11, [-1.7e308, 1.0]), (12, [0.5, 0.5]), (13, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 10 == 0, k=4).collect())
+    top = 2**63 - 1
+    assert got == [(0, 1, 10, top), (0, 2, 12, top), (0, 3, 13, 0), (0, 4, 11, -top - 1), (10, 1, 0, top), (10, 2, 12, 3 * 1024 * 512), (10, 3, 13, 1024 * 1024), (10, 4, 11, -top - 1)]
+
+
 def test_topk_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.top_k(empty, F.col("vec_id") % 10 == 0).count() == 0
