@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazette.session import shared_dir
+
 GATHER_LIMIT = 16_384  # events of one key that may be gathered into one row
 RUN = 16_384  # events per run of a longer history
 
@@ -34,7 +36,11 @@ def _runs(long: DataFrame, key: str, order: list[str], run: int) -> DataFrame:
     )
     nth = F.row_number().over(Window.partitionBy(key).orderBy("_part", "_run"))
     numbers = cut.select(key, "_part", "_run").withColumn("nth", nth)
-    return cut.join(numbers, [key, "_part", "_run"]).select(key, "nth", "events").checkpoint()
+    # Stored by number: a round opens its own runs and no others.
+    runs = cut.join(numbers, [key, "_part", "_run"]).select(key, "events", "nth")
+    path = shared_dir(long.sparkSession, "runs")
+    runs.write.partitionBy("nth").parquet(path)
+    return long.sparkSession.read.schema(runs.schema).parquet(path)
 
 
 def fold_rounds(
@@ -80,10 +86,12 @@ def fold_rounds(
 
 
 def last_states(rounds: list[DataFrame], key: str) -> DataFrame:
-    """`key` and the state after the last event, `s`."""
-    last: DataFrame | None = None
-    for done in rounds[1:]:
-        now = done.select(key, "r.s")
-        last = now if last is None else now.unionByName(last.join(now.select(key).distinct(), key, "left_anti")).checkpoint()
+    """`key` and the state after the last event, `s`: of a long history that of its last round."""
     first = rounds[0].select(key, "r.s")
-    return first if last is None else first.unionByName(last)
+    if not rounds[1:]:
+        return first
+    each = [done.select(key, "r.s", F.lit(n).alias("n")) for n, done in enumerate(rounds[1:])]
+    later = each[0]
+    for more in each[1:]:
+        later = later.unionByName(more)
+    return first.unionByName(later.groupBy(key).agg(F.max_by("s", "n").alias("s")))

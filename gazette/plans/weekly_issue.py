@@ -42,7 +42,7 @@ def weekly_build(
     """One run for one issue: its items, the prompt made of them, and the issue table after the run.
 
     Without items the issue stays a draft whatever the answers say. Store the items with
-    `replace_issue_items(items, path, [issue_id])`, so that a run that finds nothing clears them.
+    `IssueItems.replace(items, rebuilt)`, so that a run that finds nothing clears them.
     """
     items = raw_items(entries, F.lit(issue_id))
     found = items.agg((F.count("*") > 0).alias("has_items"))

@@ -17,6 +17,7 @@ from gazette.streaming import delivery as SD
 from gazette.streaming import entries as SE
 from gazette.streaming import lifecycle as SL
 from gazette.streaming import runs
+from gazette.streaming.seen import first_entries
 
 # --- the SQL side -----------------------------------------------------------------------------
 
@@ -143,22 +144,28 @@ def lifecycle_rejects(spark, sf):
     return L.lifecycle_rejects(actions(spark, sf)).select("email", "event_id", "action", "reason")
 
 
-PARTS = 3  # files, and so micro-batches, that a table arrives in
+PARTS = 3  # that a table arrives in, one after the other
+BUCKETS = 4  # of the tables that streams keep; their number sets how they are stored, not what they hold
 
 
 def _arriving_view(spark, sf, name):
-    """A view over a given table that arrives as a stream, one file after the other in order of time."""
+    """A view over a given table that arrives as a stream, part after part in order of time.
+
+    A part is written by as many tasks as the table has; rows of one user come in one file of a part, so
+    that they arrive in order wherever a batch ends."""
     source, columns = VIEWS[name]
     rows = spark.read.parquet(f"{sf}/{source}.parquet")
     order = {"events": F.unix_micros(F.col("ts").cast("timestamp"))}.get(source, F.col(rows.columns[0])).cast("double")
     cuts = rows.select(order.alias("at")).approxQuantile("at", [i / PARTS for i in range(1, PARTS)], 0.01)
     path = shared_dir(spark, f"arriving-{source}")
+    files = max(1, rows.rdd.getNumPartitions())
+    user = "user_id" if "user_id" in rows.columns else rows.columns[0]
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(order >= low)
         keep = order < high if high is not None else F.lit(True)
         part = part.filter(keep | order.isNull()) if low is None else part.filter(keep)  # null keys come first
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(files, user).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream.selectExpr(*[dialect(c, "spark") for c in columns])
 
 
@@ -169,9 +176,8 @@ def _entries_stream(spark, sf):
 
 @query("stream_entry_dedup", "SELECT DISTINCT entry_key, link, title FROM v_keyed")
 def stream_entry_dedup(spark, sf):
-    kept = SE.dedup_stream(_entries_stream(spark, sf)).select("entry_key", "link", "title")
-    rows = runs.run_to_table(kept, shared_dir(spark, "kept"), shared_dir(spark, "kept-state"))
-    return rows.drop("batch_id")
+    kept = first_entries(_entries_stream(spark, sf), shared_dir(spark, "kept"), shared_dir(spark, "kept-state"), BUCKETS)
+    return kept.select("entry_key", "link", "title")
 
 
 @query(
@@ -193,7 +199,7 @@ def _actions_stream(spark, sf):
 
 @query("stream_lifecycle", f"SELECT {_STATE} FROM v_replayed")
 def stream_lifecycle(spark, sf):
-    versions = SL.lifecycle_stream(_actions_stream(spark, sf), shared_dir(spark, "states"), shared_dir(spark, "states-state"))
+    versions = SL.lifecycle_stream(_actions_stream(spark, sf), shared_dir(spark, "states"), shared_dir(spark, "states-state"), buckets=BUCKETS)
     return _flat(SL.current_states(versions))
 
 
@@ -204,7 +210,7 @@ def stream_lifecycle(spark, sf):
 )
 def stream_audience_metrics(spark, sf):
     return SL.metrics_stream(
-        _actions_stream(spark, sf), shared_dir(spark, "metrics"), shared_dir(spark, "metrics-state"), check_tokens=False
+        _actions_stream(spark, sf), shared_dir(spark, "metrics"), shared_dir(spark, "metrics-state"), check_tokens=False, buckets=BUCKETS
     )
 
 

@@ -12,7 +12,7 @@ from gazette.registry.base import STEPS, query, sql_strip, sql_time, time_text
 from gazette.registry.fixtures import table, view
 from gazette.session import shared_dir
 from gazette.sources.feeds import page_entries, read_feed_xml
-from gazette.sources.tables import read_table, replace_issue_items
+from gazette.sources.tables import IssueItems
 
 STEPS["clean"] = f"""
 SELECT entry_id, feed_url, feed_ord, published_at,
@@ -173,15 +173,14 @@ def entries_union(spark, sf):
     UNION ALL SELECT entry_id, CAST(entry_id // 168 AS BIGINT), 1 FROM v_nonblank WHERE (entry_id // 168) % 4 = 0""",
 )
 def raw_items_replace(spark, sf):
-    path = shared_dir(spark, "raw_items")
+    table = IssueItems(spark, shared_dir(spark, "raw_items"))
     issue = F.floor(F.col("entry_id") / 168).alias("issue_id")
     rows = E.clean_entries(view(spark, sf, "entries"))
     shape = [F.col("entry_id").alias("id"), issue]
-    replace_issue_items(rows.select(*shape, F.lit(0).alias("heat_score")), path)
-    again = E.drop_blank(rows).select(*shape, F.lit(1).alias("heat_score")).filter("issue_id % 2 = 0")
-    rebuilt = [r[0] for r in rows.select(issue).distinct().filter("issue_id % 2 = 0").collect()]  # a few weeks
-    replace_issue_items(again.filter("issue_id % 4 = 0"), path, rebuilt)
-    return read_table(spark, path, "id long, heat_score int, issue_id long").select("id", "issue_id", "heat_score")
+    table.replace(rows.select(*shape, F.lit(0).alias("heat_score")))
+    again = E.drop_blank(rows).select(*shape, F.lit(1).alias("heat_score")).filter("issue_id % 4 = 0")
+    table.replace(again, rows.select(issue).filter("issue_id % 2 = 0"))
+    return table.read().select("id", "issue_id", "heat_score")
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.sources.parts import MOST_PARTS, PartsTable
+
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
@@ -22,24 +24,41 @@ def read_jdbc(
     )
 
 
-def replace_issue_items(items: DataFrame, path: str, issue_ids: list[int] | None = None) -> None:
-    """Replaces the rows of every issue in `items` and leaves the other issues alone.
+class IssueItems:
+    """The items of issues, replaced issue by issue and read as of the last replacement.
 
-    Issues of `issue_ids`, those that were rebuilt, without items end empty. Items are rebalanced by
-    issue, so small issues make one file and a large one is split.
+    A replacement is one write and one manifest: the new items and, in the same part, the ids of the issues that they
+    replace. Whatever the number of issues, nothing is listed on the driver and no issue is rewritten that is not
+    replaced; readers see all of a replacement or nothing. Of an issue only rows count that are as new as
+    its last replacement. Rows without an issue belong to none, so they are only ever added.
     """
-    (
-        items.hint("rebalance", "issue_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("issue_id")
-        .parquet(path)
-    )
-    if issue_ids:
-        filled = {r[0] for r in items.filter(F.col("issue_id").isin(issue_ids)).select("issue_id").distinct().collect()}
-        empty = items.drop("issue_id").limit(0)
-        for issue_id in sorted(set(issue_ids) - filled):  # rebuilt issues of one run
-            empty.write.mode("overwrite").parquet(f"{path}/issue_id={issue_id}")
+
+    ITEMS = "id long, heat_score int, issue_id long"
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = ITEMS):
+        self.table = PartsTable(spark, path, f"{schema}, replaces boolean")
+
+    def replace(self, items: DataFrame, rebuilt: DataFrame | None = None) -> None:
+        """Replaces the rows of every issue in `items`, and empties those of `rebuilt` (`issue_id`) without items."""
+        ids = items.select("issue_id")
+        ids = ids if rebuilt is None else ids.unionByName(rebuilt.select("issue_id"))
+        marks = ids.filter("issue_id IS NOT NULL").distinct().withColumn("replaces", F.lit(True))
+        rows = items.withColumn("replaces", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+        self.table.add(rows.hint("rebalance", "issue_id"))
+
+    @staticmethod
+    def _live(rows: DataFrame) -> DataFrame:
+        last = rows.filter("replaces").groupBy("issue_id").agg(F.max("part").alias("last"))
+        counted = rows.join(last, "issue_id", "left").filter(F.col("issue_id").isNull() | (F.col("part") == F.col("last")))
+        return counted.select(*rows.columns)
+
+    def read(self) -> DataFrame:
+        rows = self._live(self.table.read())
+        return rows.filter(~F.col("replaces")).drop("part", "replaces")
+
+    def compact(self, most: int = MOST_PARTS) -> bool:
+        """Merges the parts into one without the rows that no longer count once there are more than `most`."""
+        return self.table.compact(self._live, most=most)
 
 
 def write_log(rows: DataFrame, path: str, source: str | None = None) -> None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.operators.common import first_per
 from gazette.operators.lifecycle import STATE_FIELDS, lifecycle_fold
 from gazette.schemas import ACTIVE, PENDING, UNSUBSCRIBED
-from gazette.streaming.runs import newest_version, read_batches, run_batches, start_table, write_batch
+from gazette.sources.parts import PartsTable
+from gazette.streaming.runs import newest_version, run_batches
 
 VERSION = (
     "email string, status string, mode string, keywords array<string>, confirmed_at timestamp, token string, "
@@ -15,34 +17,44 @@ VERSION = (
 )
 
 
-def _versions(arriving: DataFrame) -> DataFrame:
-    return arriving.sparkSession.createDataFrame([], VERSION)
+NAMES = [c.split()[0] for c in VERSION.split(", ")]
+BUCKETS = 32  # of the state table, by hash of the address
 
 
-def _advance(rows: DataFrame, batch_id: int, path: str, check_tokens: bool) -> None:
+def _state_table(spark: SparkSession, path: str, buckets: int) -> PartsTable:
+    return PartsTable(spark, path, VERSION, "email", buckets)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return first_per(rows, ["email"], [F.desc("part")])
+
+
+def _advance(rows: DataFrame, batch_id: int, states: PartsTable, check_tokens: bool) -> None:
     """Folds one micro-batch from the states that earlier batches left and writes the new states.
 
-    Only addresses of the batch are read; a batch that runs again starts from the same states.
+    Only the buckets that the batch's addresses fall in are read. States of finished batches are merged, the newest of each address
+    stays; a batch that runs again starts from the same states.
     """
+    states.compact(_newest, before=batch_id)
     asked = rows.select("email").distinct()
-    earlier = read_batches(_versions(rows), path).filter(F.col("batch_id") < batch_id).join(asked, "email", "left_semi")
-    start = newest_version(earlier, ["email"]).select("email", *STATE_FIELDS)
+    hit = sorted(r[0] for r in asked.select(states.bucket("email")).distinct().collect())  # at most all buckets
+    start = _newest(states.read(before=batch_id, buckets=hit).join(asked, "email", "left_semi")).select("email", *STATE_FIELDS)
     before = start.select("email", F.col("status").alias("status_before"), F.col("confirmed_at").isNotNull().alias("confirmed_before"))
     now = lifecycle_fold(rows, check_tokens, start=start).join(before, "email", "left")
     now = now.withColumn("confirmed_before", F.coalesce("confirmed_before", F.lit(False)))
-    write_batch(now.select(*_versions(rows).columns), batch_id, path)
+    states.add(now.select(*NAMES), batch_id)
 
 
-def lifecycle_stream(actions: DataFrame, path: str, checkpoint: str, check_tokens: bool = True) -> DataFrame:
-    """Runs the stream of actions; returns the table under `path`: per batch and address of the batch the
-    state after it, and the status before it.
+def lifecycle_stream(actions: DataFrame, path: str, checkpoint: str, check_tokens: bool = True, buckets: int = BUCKETS) -> DataFrame:
+    """Runs the stream of actions; returns the table under `path`: states of addresses with the batch that left
+    them, and the status before it. Of merged batches only the newest state of an address is there.
 
     Actions of one batch are applied by time and id, batches in order of arrival: the states are those of
     the batch fold if no action arrives in a later batch than a younger one of its address.
     """
-    start_table(_versions(actions), path)
-    run_batches(actions, lambda rows, batch_id: _advance(rows, batch_id, path, check_tokens), checkpoint)
-    return read_batches(_versions(actions), path)
+    states = _state_table(actions.sparkSession, path, buckets)
+    run_batches(actions, lambda rows, batch_id: _advance(rows, batch_id, states, check_tokens), checkpoint)
+    return states.read().withColumnRenamed("part", "batch_id")
 
 
 def current_states(versions: DataFrame) -> DataFrame:
@@ -70,23 +82,22 @@ def metric_changes(states: DataFrame) -> DataFrame:
     )
 
 
-def metrics_stream(actions: DataFrame, path: str, checkpoint: str, check_tokens: bool = True) -> DataFrame:
+def metrics_stream(actions: DataFrame, path: str, checkpoint: str, check_tokens: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """Audience metrics kept up while actions arrive; returns them after the last batch.
 
     Each batch writes its states under `path/states` and one row of changes under `path/metrics`, so a
-    batch costs what it brings, not what the audience holds. The metrics after any batch are the sum of
-    the rows up to it.
+    batch costs what it brings, not what the audience holds. Rows of finished batches are added up.
     """
-    states, metrics = f"{path}/states", f"{path}/metrics"
-    shape = metric_changes(_versions(actions))
-    start_table(_versions(actions), states)
-    start_table(shape, metrics)
+    spark = actions.sparkSession
+    states = _state_table(spark, f"{path}/states", buckets)
+    shape = metric_changes(spark.createDataFrame([], VERSION)).schema
+    metrics = PartsTable(spark, f"{path}/metrics", shape)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in shape.names]
 
     def each(rows: DataFrame, batch_id: int) -> None:
         _advance(rows, batch_id, states, check_tokens)
-        written = read_batches(_versions(actions), states).filter(F.col("batch_id") == batch_id)
-        write_batch(metric_changes(written), batch_id, metrics)
+        metrics.compact(lambda old: old.agg(*sums), before=batch_id)
+        metrics.add(metric_changes(states.read().filter(F.col("part") == batch_id)), batch_id)
 
     run_batches(actions, each, checkpoint)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in shape.columns]
-    return read_batches(shape, metrics).agg(*sums)
+    return metrics.read().agg(*sums)

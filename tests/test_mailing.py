@@ -12,7 +12,7 @@ from gazette.functions.payload import with_payload
 from gazette.operators import issues as I
 from gazette.plans import mailings
 from gazette.schemas import SEND_LOG, SUBSCRIBERS, WEEKLY_ISSUES
-from gazette.sources.tables import append_log, read_table, replace_issue_items, write_log
+from gazette.sources.tables import IssueItems, append_log, read_table, write_log
 
 URL = "https://d.example.org/"
 PERIOD = date(2026, 4, 6)
@@ -179,10 +179,10 @@ def test_upsert(spark, issues):
 
 
 def test_replacing_items_leaves_other_issues(spark, tmp_path):
-    path = str(tmp_path / "items")
-    replace_issue_items(spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, issue_id long"), path)
-    replace_issue_items(spark.createDataFrame([(9, 1)], "id long, issue_id long"), path)
-    rows = spark.read.schema("id long, issue_id long").parquet(path).collect()
+    table = IssueItems(spark, str(tmp_path / "items"), "id long, issue_id long")
+    table.replace(spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, issue_id long"))
+    table.replace(spark.createDataFrame([(9, 1)], "id long, issue_id long"))
+    rows = table.read().collect()
     assert sorted((r.id, r.issue_id) for r in rows) == [(3, 2), (9, 1)]
 
 

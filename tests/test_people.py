@@ -13,7 +13,7 @@ from gazette.operators import integrity as I
 from gazette.operators import reporting as R
 from gazette.operators.issues import upsert_issues
 from gazette.schemas import SEND_LOG, SUBSCRIBERS, WEEKLY_ISSUES
-from gazette.sources.tables import read_table, replace_issue_items, write_lines
+from gazette.sources.tables import IssueItems, write_lines
 
 
 def ts(text):
@@ -182,7 +182,8 @@ def test_a_build_touches_only_the_newest_row_of_a_period(spark):
 
 
 def test_a_rebuilt_issue_without_items_ends_empty(spark, tmp_path):
-    path, schema = str(tmp_path / "items"), "id long, issue_id long"
-    replace_issue_items(spark.createDataFrame([(1, 1), (2, 2), (3, 3)], schema), path)
-    replace_issue_items(spark.createDataFrame([(4, 1)], schema), path, [1, 2])
-    assert sorted(map(tuple, read_table(spark, path, schema).select("id", "issue_id").collect())) == [(3, 3), (4, 1)]
+    schema = "id long, issue_id long"
+    table = IssueItems(spark, str(tmp_path / "items"), schema)
+    table.replace(spark.createDataFrame([(1, 1), (2, 2), (3, 3)], schema))
+    table.replace(spark.createDataFrame([(4, 1)], schema), spark.createDataFrame([(1,), (2,)], "issue_id long"))
+    assert sorted(map(tuple, table.read().select("id", "issue_id").collect())) == [(3, 3), (4, 1)]
