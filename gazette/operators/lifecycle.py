@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.operators.common import numbered
-from gazette.operators.histories import GATHER_LIMIT, RUN, Fold, fold_rounds, last_states
+from gazette.operators.histories import GATHER_LIMIT, Fold, fold_rounds, last_states
+from gazette.operators.runs import states_before
 from gazette.schemas import ACTIVE, MODES, PENDING, UNSUBSCRIBED
 
+RUN = 4096  # actions per run of a longer history
 BLOCK = 1024  # refused actions are listed in blocks of so many actions
 
 STATE = (
@@ -109,10 +111,36 @@ def _event() -> Column:
     return F.struct("ts", "event_id", "action", "mode", "keywords", "token", "mail_ok")
 
 
-def _rounds(actions: DataFrame, start: DataFrame | None, fold: Fold, gather_limit: int, run: int) -> list[DataFrame]:
+def _effect(events: Column, status: Column, token: Column, check_tokens: bool) -> Column:
+    """State after `events` from a state of which status and token are known (a null token equals none), what
+    was never set being null, and which parts were set."""
+    known = {"status": status, "token": token, "rejects": F.lit(0)}
+    begin = F.struct(*[known.get(c, F.lit(None)).alias(c) for c in STATE_FIELDS]).cast(STATE)
+    sets = {"opened": (SUBSCRIBED, REOPENED), "preferred": (SUBSCRIBED, MANAGED), "dated": (SUBSCRIBED, REOPENED, CONFIRMED)}
+
+    def step(a: Column, x: Column) -> Column:
+        return _bind(
+            _outcome(a["s"], x, check_tokens),
+            lambda did: F.struct(
+                F.when(did.isNull(), _refuse(a["s"])).otherwise(_after(a["s"], x, did)).alias("s"),
+                *[(a[flag] | F.coalesce(did.isin(*codes), F.lit(False))).alias(flag) for flag, codes in sets.items()],
+            ),
+        )
+
+    return F.aggregate(events, F.struct(begin.alias("s"), *[F.lit(False).alias(flag) for flag in sets]), step)
+
+
+def _rounds(
+    actions: DataFrame, start: DataFrame | None, fold: Fold, check_tokens: bool, gather_limit: int, run: int
+) -> list[DataFrame]:
     events = actions.select("email", "ts", "event_id", _event().alias("x"))
     held = None if start is None else start.select("email", F.struct(*STATE_FIELDS).cast(STATE).alias("s"))
-    return fold_rounds(events, "email", ["ts", "event_id"], fold, held, _no_one(), gather_limit, run)
+
+    def before(runs: DataFrame, begun: DataFrame) -> DataFrame:
+        effect = lambda events, status, token: _effect(events, status, token, check_tokens)
+        return states_before(runs, "email", begun, effect, check_tokens)
+
+    return fold_rounds(events, "email", ["ts", "event_id"], fold, held, _no_one(), gather_limit, run, before)
 
 
 def _columns(state: Column) -> list[Column]:
@@ -134,7 +162,7 @@ def lifecycle_fold(
     `start` is a result of this function over all earlier actions; its addresses come back as well.
     """
     fold = lambda events, s: F.struct(_fold(events, s, check_tokens).alias("s"))
-    states = last_states(_rounds(actions, start, fold, gather_limit, run), "email")
+    states = last_states(_rounds(actions, start, fold, check_tokens, gather_limit, run), "email")
     states = states.select("email", *_columns(F.col("s")))
     if start is None:
         return states
@@ -197,7 +225,7 @@ def lifecycle_rejects(
 ) -> DataFrame:
     """Every refused action with the reason: `email, event_id, action, reason`."""
     fold = lambda events, s: _listed(events, s, check_tokens)
-    first, *more = _rounds(actions, start, fold, gather_limit, run)
+    first, *more = _rounds(actions, start, fold, check_tokens, gather_limit, run)
     lists = first
     for done in more:
         lists = lists.unionByName(done)

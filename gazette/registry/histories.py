@@ -98,6 +98,12 @@ def lifecycle_state(spark, sf):
     return _flat(L.lifecycle_fold(actions(spark, sf), check_tokens=False)).select("email", "status", "confirmed_at")
 
 
+# The same states from runs that are summed up in a tree.
+@query("lifecycle_state_runs", f"SELECT email, status, {sql_time('confirmed_at')} AS confirmed_at FROM v_window_states")
+def lifecycle_state_runs(spark, sf):
+    return _flat(L.lifecycle_fold(actions(spark, sf), check_tokens=False, gather_limit=0, run=64)).select("email", "status", "confirmed_at")
+
+
 @query("lifecycle_fold", f"SELECT {_STATE} FROM v_replayed")
 def lifecycle_fold(spark, sf):
     return _flat(L.lifecycle_fold(actions(spark, sf)))
