@@ -55,10 +55,11 @@ def with_texts(payloads: DataFrame) -> DataFrame:
     )
 
 
-def newest_answers(answers: DataFrame) -> DataFrame:
-    """The newest usable answer of each issue."""
-    usable = P.extract_answer(answers).filter(F.col("doc").isNotNull()).drop("doc")
-    return first_per(usable, ["issue_id"], [F.desc("response_id")])
+def newest_payloads(answers: DataFrame, passes: int = 2) -> DataFrame:
+    """The newest usable answer of each issue with its clean `payload`; every answer is parsed once."""
+    docs = P.extract_answer(answers).filter(F.col("doc").isNotNull()).drop("content")
+    newest = first_per(docs, ["issue_id"], [F.desc("response_id")])
+    return once(newest, payload=P.normalize_payload(F.col("doc"), passes)).drop("doc")
 
 
 def one_per_period(issues: DataFrame) -> DataFrame:

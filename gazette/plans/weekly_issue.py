@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from gazette.operators.entries import PER_FEED, PER_ISSUE, leaderboard
 from gazette.operators.issues import (
-    newest_answers,
+    newest_payloads,
     prompt_corpus,
     upsert_issues,
-    with_answer_payload,
     with_texts,
 )
 
@@ -53,7 +52,7 @@ def weekly_build(
 
 def finished_texts(answers: DataFrame) -> DataFrame:
     """Payload and texts of each issue from its newest usable answer."""
-    return with_texts(with_answer_payload(newest_answers(answers)))
+    return with_texts(newest_payloads(answers))
 
 
 def build_issues(issues: DataFrame, periods: DataFrame, answers: DataFrame, ready_at: Column) -> DataFrame:
