@@ -1,4 +1,5 @@
-"""Keywords against many texts: a substring join without comparing every pair."""
+"""Keywords against many texts: a substring join without comparing every pair, and digests worked out per
+keyword list instead of per subscriber."""
 
 from __future__ import annotations
 
@@ -97,3 +98,71 @@ def sections_per_set(sets: DataFrame, matches: DataFrame, items: DataFrame, item
         .select("set_key", "issue_id", "section")
         .distinct()
     )
+
+
+LISTS = ("lines", "top3", "sections", "glossary")  # of an issue; a footer is no list and is never cut
+ELEMENT = ["issue_id", "list", "pos"]
+
+
+def issue_elements(bodies: DataFrame) -> DataFrame:
+    """`issue_id, list, pos, needle, text` for every element of issues (`issue_id`, `body` as `searchable` makes it).
+
+    A footer that is not empty comes as the one element of the list `footer`.
+    """
+    body = F.col("body")
+
+    def listed(name: str) -> Column:
+        return F.transform(
+            body[name],
+            lambda x, i: F.struct(F.lit(name).alias("list"), i.alias("pos"), x["needle"].alias("needle"), x["text"].alias("text")),
+        )
+
+    footer = body["footer"]
+    last = F.struct(F.lit("footer").alias("list"), F.lit(0).alias("pos"), F.lower(footer).alias("needle"), footer.alias("text"))
+    none = F.filter(F.array(last), lambda x: x["text"] != "")
+    return bodies.select("issue_id", F.inline(F.concat(*[listed(n) for n in LISTS], none)))
+
+
+def digests_per_set(asked: DataFrame, elements: DataFrame) -> DataFrame:
+    """Each keyword list's cut of each issue it is asked for, in rows: `set_key, issue_id, matched, list, pos, text`.
+
+    `asked`: distinct `set_key, issue_id` with the normalized `keywords`. Every keyword is looked up once
+    over all elements, every pair of list and issue is worked out once, however many subscribers share it.
+    Rows are those of `filter_digest`: without keywords, or where neither lines, top list, sections nor
+    footer hold one, all elements stay; else each list is cut to its hits, and a list without a hit stays
+    whole. A list that is empty in the issue has no rows; a pair of which the issue has no element at all
+    comes as one row without list.
+    """
+    pair = ["set_key", "issue_id"]
+    words = asked.select(*pair, F.explode("keywords").alias("keyword"))
+    named = elements.withColumn("element", F.concat_ws("/", *ELEMENT))
+    found = keyword_matches(words.select("keyword").distinct(), named, "element", "needle").withColumnRenamed("item_id", "element")
+    placed = found.join(named.select("element", *ELEMENT), "element").drop("element")
+    hits = salted_join(words, placed, ["issue_id", "keyword"], "inner", ["set_key"]).select(*pair, "list", "pos").distinct().checkpoint()
+    matched = hits.filter(F.col("list") != "glossary").select(*pair).distinct().withColumn("_hit", F.lit(True))
+    pairs = asked.join(matched, pair, "left").select(
+        *pair, (F.col("_hit").isNotNull() | (F.size("keywords") == 0)).alias("matched"), F.col("_hit").isNotNull().alias("_cut")
+    )
+    cut = hits.join(pairs.filter("_cut").select(*pair, "matched"), pair).filter(F.col("list").isin(*LISTS))
+    lists = pairs.withColumn("list", F.explode(F.array(*[F.lit(n) for n in LISTS])))
+    # Lists without a hit of their own, and all lists of pairs that are not cut, stay whole.
+    whole = lists.join(cut.select(*pair, "list").distinct(), [*pair, "list"], "left_anti")
+    texts = elements.select(*ELEMENT, "text")
+    kept = salted_join(cut, texts, ELEMENT, "inner", ["set_key"])
+    rest = salted_join(whole, texts, ["issue_id", "list"], "inner", ["set_key"])
+    names = [*pair, "matched", "list", "pos", "text"]
+    rows = kept.select(*names).unionByName(rest.select(*names))
+    bare = pairs.join(texts.filter(F.col("list").isin(*LISTS)).select("issue_id").distinct(), "issue_id", "left_anti")
+    none = {"list": "string", "pos": "int", "text": "string"}
+    return rows.unionByName(bare.select(*pair, "matched", *[F.lit(None).cast(t).alias(n) for n, t in none.items()]))
+
+
+def gathered_digests(rows: DataFrame) -> DataFrame:
+    """`set_key, issue_id, matched` and the texts of each list in order; a row holds one issue's elements at most."""
+    in_order = {
+        n: F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("list") == n, F.struct("pos", "text")))), lambda x: x["text"]
+        ).alias(n)
+        for n in LISTS
+    }
+    return rows.groupBy("set_key", "issue_id").agg(F.any_value("matched").alias("matched"), *in_order.values())

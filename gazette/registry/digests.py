@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from gazette.functions import keys
 from gazette.functions import payload as P
 from gazette.functions import render as R
-from gazette.functions.keywords import keywords_parse
+from gazette.functions.keywords import keywords_normalize, keywords_parse
 from gazette.functions.matching import NO_MATCH_BANNER, filter_digest, no_match_banner, searchable
 from gazette.functions.text import html_escape
 from gazette.operators import audience as A
 from gazette.operators import delivery as D
 from gazette.operators import issues as I
+from gazette.operators import matching as M
+from gazette.operators.common import salted_join
 from gazette.plans import mailings, weekly_issue
 from gazette.registry import people  # noqa: F401  (its SQL steps are used here)
 from gazette.registry.base import STEPS, query, rows_text, sql_rows_text, sql_strip, sql_time, time_text
@@ -375,15 +377,15 @@ def _filtered(spark, sf):
     return filter_digest(rows)
 
 
-@query(
-    "digest_filter",
-    f"""SELECT id, matched, {', '.join(
+DIGEST_FILTER = f"""SELECT id, matched, {', '.join(
         f"coalesce(array_to_string(list_transform({n}, lambda x: {t}), chr(10)), '') AS {n}"
         for n, t in (
             ('lines', "'- ' || " + _with_link('text')), ('top3', "'- ' || " + _with_link('title')),
             ('sections', "'## ' || x.title || chr(10) || x.paragraph"), ('glossary', "'- ' || x.term || ': ' || x.explain")
-        ))}, footer FROM v_digests""",
-)
+        ))}, footer FROM v_digests"""
+
+
+@query("digest_filter", DIGEST_FILTER)
 def digest_filter(spark, sf):
     rows = _filtered(spark, sf)
     lists = [
@@ -393,6 +395,20 @@ def digest_filter(spark, sf):
     return rows.select("id", "matched", *lists, F.col("digest")["footer"].alias("footer"))
 
 
+# The same rows, each distinct keyword list worked out once.
+@query("digest_filter_per_set", DIGEST_FILTER)
+def digest_filter_per_set(spark, sf):
+    latest = I.latest_ready_issue(_store(spark, sf))
+    bodies = P.with_payload(latest).select(F.col("id").alias("issue_id"), searchable(F.col("payload")).alias("body")).checkpoint()
+    words = F.array_sort(F.array_distinct(keywords_normalize(keywords_parse(F.col("keywords_json")))))
+    people_ = D.attach(view(spark, sf, "subscribers"), bodies.select("issue_id", F.col("body")["footer"].alias("footer")), "issue")
+    people_ = people_.select("id", "issue.*", words.alias("keywords")).withColumn("set_key", F.array_join("keywords", "\n"))
+    asked = people_.select("set_key", "issue_id", "keywords").distinct()
+    digests = M.gathered_digests(M.digests_per_set(asked, M.issue_elements(bodies)))
+    rows = salted_join(people_, digests, ["set_key", "issue_id"], "inner", ["id"])
+    return rows.select("id", "matched", *[F.array_join(n, "\n").alias(n) for n in M.LISTS], "footer")
+
+
 @query("issue_key", """SELECT id, CASE WHEN id % 3 = 0 THEN CAST(period_start AS VARCHAR)
     WHEN ready_at IS NOT NULL THEN strftime(ready_at, '%Y-%m-%dT%H:%M:%S') ELSE 'unknown' END AS issue_key FROM v_issues""")
 def issue_key_(spark, sf):
