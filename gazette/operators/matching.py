@@ -10,6 +10,7 @@ from gazette.functions.keywords import keywords_normalize, keywords_parse
 from gazette.operators.common import salted_join
 
 GRAM = 3
+LONGS = 1 << 16  # of the table that marks grams some keyword holds: 64 cells each, 512 kB whatever the dictionary
 
 
 def _letters(text: Column) -> Column:
@@ -28,6 +29,24 @@ def _grams(chars: Column, length: int) -> Column:
     return F.array_distinct(windows)
 
 
+def _cell(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(64 * LONGS))
+
+
+def _marked(grams: DataFrame) -> Column:
+    """Whether column `gram` may be one of `grams`: false says it certainly is not.
+
+    One bit per cell of a table of fixed size, a scalar subquery; more grams set more bits, no more memory.
+    """
+    cells = grams.select(_cell(F.col("gram")).alias("cell"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("cell") % 64).cast("int"))
+    longs = cells.groupBy(F.shiftright("cell", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = grams.sparkSession.range(LONGS).join(longs, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("t")).scalar()
+    cell = _cell(F.col("gram"))
+    return F.getbit(F.get(table, F.shiftright(cell, 6).cast("int")), (cell % 64).cast("int")) == 1
+
+
 def distinct_keywords(subscribers: DataFrame) -> DataFrame:
     words = keywords_normalize(keywords_parse(F.col("keywords_json")))
     return subscribers.select(F.explode(words).alias("keyword")).distinct()
@@ -38,7 +57,8 @@ def keyword_matches(keywords: DataFrame, items: DataFrame, item_id: str, content
 
     Texts are cut into the character triples (and, for shorter keywords, pairs and single
     characters) they hold. Each keyword is looked up by its rarest triple; only those candidates
-    are compared in full. A triple found in very many items is spread over several tasks.
+    are compared in full. A triple found in very many items is spread over several tasks; of triples no
+    keyword holds, next to none is shuffled.
     """
     words = keywords.select("keyword").filter(F.col("keyword") != "").distinct()
     words = words.withColumn("chars", _letters(F.col("keyword")))
@@ -52,8 +72,9 @@ def keyword_matches(keywords: DataFrame, items: DataFrame, item_id: str, content
     lengths = [F.when(asked[f"n{n}"], _grams(F.col("chars"), n)).otherwise(none) for n in range(1, GRAM + 1)]
     cut = items.select(F.col(item_id).alias("item_id"), _letters(F.lower(F.col(content))).alias("chars"))
     every = cut.select("item_id", F.explode(F.concat(*lengths)).alias("gram"))
-    # One pass over the texts: what no keyword holds goes at once, the rest is stored for both uses.
-    held = every.join(wanted.select("gram").distinct(), "gram", "left_semi").checkpoint()
+    # One pass over the texts: what no keyword holds goes where it is read, but for the few that share a
+    # cell; the rest is stored for both uses.
+    held = every.filter(_marked(wanted)).checkpoint()
     frequency = held.groupBy("gram").agg(F.count("*").alias("n"))
     # A keyword with a triple no text holds cannot match: its count is null and sorts first.
     rarest = (
