@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -16,6 +19,7 @@ from gazette.llm.common import prepare
 from gazette.llm.queries import HARD_TEXT, QUERIES, URL_RULES, held_out
 
 SF = "/root/testdata/sf0.01"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def test_quality_on_held_out_labels(spark):
@@ -64,6 +68,48 @@ def test_passes_agree_with_all_labellings():
     assert np.allclose(padded[0], good / total) and len(padded[1]) == 2
 
 
+def hostile_texts():
+    rng = np.random.default_rng(4)
+    some = ["", "a", "Well, this is a line.", "BUY NOW!!! >>> 50%", "\x00 \t", "naïve café", "x" * 700]
+    return ["\n".join(some[i] for i in rng.integers(0, len(some), size=n)) for n in (1, 2, 3, 50, 900)] + ["", "\n", "\n\n"]
+
+
+def test_features_and_scores_do_not_depend_on_blocks(monkeypatch):
+    table, rng = quality.kinds(), np.random.default_rng(2)
+    whole = [quality.line_features(t, table) for t in hostile_texts()]
+    width = whole[0][0].shape[1] * 3 + 3
+    model = (rng.normal(size=width), rng.uniform(0.5, 2, size=width), rng.normal(size=width), rng.normal(size=(2, 2)), 0.5)
+    plain = quality.score_texts(hostile_texts(), model, table)
+    unary = [(quality.with_neighbours(x) - model[0]) / model[1] @ model[2] for x, _ in whole]
+    want = [quality.passes(u[None], np.ones((1, len(u)), dtype=bool), model[3])[0][0] @ s / s.sum() for u, (_, s) in zip(unary, whole, strict=True)]
+    assert np.allclose(plain, want, atol=1e-9)
+    for name, value in (("BLOCK_BYTES", 40), ("BATCH_LINES", 5), ("LONG", 2)):
+        monkeypatch.setattr(quality, name, value)
+    for text, (features, sizes) in zip(hostile_texts(), whole, strict=True):
+        found, held = quality.line_features(text, table)
+        assert np.array_equal(found, features) and np.array_equal(held, sizes) and held.sum() == len(text.encode()) + 1
+        every = quality.with_neighbours(features)
+        start = len(text) * 7919 % max(1, len(every) - 48 + 1)
+        assert np.array_equal(quality.neighbouring_lines(text, 48, table), every[start : start + 48])
+    assert np.allclose(quality.score_texts(hostile_texts(), model, table), want, atol=1e-9)
+
+
+def test_a_text_of_two_million_lines_is_scored_in_bounded_memory():
+    code = """
+import resource, numpy as np
+from gazette.llm import quality
+table, rng = quality.kinds(), np.random.default_rng(3)
+width = quality.line_features("", table)[0].shape[1] * 3 + 3
+model = (np.zeros(width), np.ones(width), rng.normal(size=width) / 9, rng.normal(size=(2, 2)), 0.5)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+score = quality.score_texts(["a\\n" * 2_000_000], model, table)[0]
+assert 0 <= score <= 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 500
+
+
 def brute_topk(rows, every, k):
     sound = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in sound]
