@@ -9,7 +9,7 @@ from gazette.functions.keys import address
 from gazette.functions.keywords import has_keyword, keywords_parse
 from gazette.functions.text import strip
 from gazette.operators.histories import GATHER_LIMIT, RUN, fold_rounds, last_states
-from gazette.operators.common import first_per, salted_join
+from gazette.operators.common import first_per, split_join
 from gazette.schemas import ACTIVE, STATUSES
 
 TOKENS = ("confirm_token", "unsubscribe_token", "manage_token")
@@ -61,7 +61,7 @@ def lookup(requests: DataFrame, subscribers: DataFrame, key: str) -> DataFrame:
     spread = [c for c in requests.columns if c != key]
     if not spread:
         return requests.join(known, key)
-    return salted_join(requests, known, [key], "inner", spread)
+    return split_join(requests, known, [key], "inner", spread)
 
 
 def duplicate_tokens(subscribers: DataFrame, token: str) -> DataFrame:
@@ -76,7 +76,7 @@ def duplicate_tokens(subscribers: DataFrame, token: str) -> DataFrame:
         .filter("n_holders > 1")
         .select(token, "n_holders", (-F.col("_newest.neg_id")).alias("holder_id"))
     )
-    shared = salted_join(subscribers, holders, [token], "inner", ["id"])
+    shared = split_join(subscribers, holders, [token], "inner", ["id"])
     return shared.withColumn("needs_new_tokens", F.col("id") != F.col("holder_id"))
 
 

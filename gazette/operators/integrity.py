@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.operators.common import salted_join
+from gazette.operators.common import split_join
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
@@ -32,14 +32,14 @@ def purge_children(child: DataFrame, key: str, gone: DataFrame, spread: list[str
     """`child` without the rows of deleted parents (ids in `gone.id`). Rows without a parent stay and
     go round the join."""
     ids = gone.select(F.col("id").alias(key)).distinct()
-    kept = salted_join(child.filter(F.col(key).isNotNull()), ids, [key], "left_anti", spread)
+    kept = split_join(child.filter(F.col(key).isNotNull()), ids, [key], "left_anti", spread)
     return kept.select(*child.columns).unionByName(child.filter(F.col(key).isNull()))
 
 
 def release_children(child: DataFrame, key: str, gone: DataFrame, spread: list[str]) -> DataFrame:
     """`child` with the reference to deleted parents set to null; rows without one go round the join."""
     ids = gone.select(F.col("id").alias(key), F.lit(True).alias("_gone")).distinct()
-    marked = salted_join(child.filter(F.col(key).isNotNull()), ids, [key], "left", spread)
+    marked = split_join(child.filter(F.col(key).isNotNull()), ids, [key], "left", spread)
     released = marked.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).select(*child.columns)
     return released.unionByName(child.filter(F.col(key).isNull()))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.keywords import keywords_normalize, keywords_parse
-from gazette.operators.common import salted_join
+from gazette.operators.common import salted_join, split_join
 
 GRAM = 3
 LONGS = 1 << 16  # of the table that marks grams some keyword holds: 64 cells each, 512 kB whatever the dictionary
@@ -84,7 +84,7 @@ def keyword_matches(keywords: DataFrame, items: DataFrame, item_id: str, content
         .filter("r.n > 0")
         .select("keyword", "r.gram")
     )
-    candidates = salted_join(held, rarest, ["gram"], "inner", ["item_id"]).select("keyword", "item_id")
+    candidates = split_join(held, rarest, ["gram"], "inner", ["item_id"]).select("keyword", "item_id")
     texts = items.select(F.col(item_id).alias("item_id"), F.lower(F.col(content)).alias("text"))
     return (
         candidates.join(texts, "item_id")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from gazette.schemas import ACTIVE, PENDING, UNSUBSCRIBED
 # Sizes of the reports; each is a parameter of its operator.
 RANKED_SUBSCRIBERS, TOP_KEYWORDS = 5000, 20
 PAGE_MOST = 200
+DEEP = 4096  # offsets beyond which a page is found by rank
+CELL_BITS = 10  # of the ranges that are counted at once
 CSV_HEADER = "id,email,status,mode,keywords,created_at,confirmed_at"
 CSV_MARK = "﻿"
 
@@ -84,6 +89,45 @@ def admin_row(rows: DataFrame) -> DataFrame:
     )
 
 
+def from_rank(rows: DataFrame, order: list[str], skip: int, most: int) -> tuple[DataFrame, int]:
+    """The rows from a bound on that lies shortly ahead of rank `skip`, and how many of them are still ahead of it.
+
+    `order` names long columns without nulls, ascending. Rows are counted in at most `2 ** CELL_BITS + 1` ranges of a
+    column; the range that holds the rank is counted again until it has no more than `most` rows, then the next
+    column decides. That takes a pass per ten bits at most. Only rows equal in all columns are never parted.
+    """
+    known: list[tuple[str, int]] = []
+    for name in order:
+        inside = rows.filter(_all(F.col(c) == v for c, v in known))
+        low, high = inside.agg(F.min(name), F.max(name)).first()
+        if low is None:
+            return rows.filter(F.lit(False)), 0
+        held = most + 1
+        while low < high and held > most:
+            shift = max(0, (high - low).bit_length() - CELL_BITS)
+            cells = inside.filter(F.col(name).between(low, high)).groupBy(F.shiftright(name, shift).alias("cell")).count()
+            for cell, held in sorted((r["cell"], r["count"]) for r in cells.collect()):  # at most 1025 rows
+                if skip < held:
+                    break
+                skip -= held
+            else:
+                return rows.filter(F.lit(False)), 0  # the rank lies behind the last row
+            low, high = max(low, cell << shift), min(high, ((cell + 1) << shift) - 1)
+        known.append((name, low))
+        if held <= most:
+            break
+    bound = F.lit(False)
+    for i, (name, value) in enumerate(known):
+        last = i == len(known) - 1
+        ahead = F.col(name) >= value if last else F.col(name) > value
+        bound = bound | _all([*(F.col(c) == v for c, v in known[:i]), ahead])
+    return rows.filter(bound), skip
+
+
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(and_, conditions, F.lit(True))
+
+
 def subscribers_page(
     subscribers: DataFrame,
     send_log: DataFrame,
@@ -94,12 +138,14 @@ def subscribers_page(
     offset: int = 0,
     keyword_after_page: bool = True,
     after: tuple[datetime, int] | None = None,
+    deep: int = DEEP,
 ) -> DataFrame:
     """One page, newest first. The keyword drops rows of the page, so pages may be short;
     with `keyword_after_page=False` it filters first.
 
     `after`, the creation time and id of the last row seen, takes the place of the offset: a page far
-    down the list then costs no more than the first one.
+    down the list then costs no more than the first one. An offset over `deep` is found by counts of ranges
+    (`from_rank`), so a task sends no more than two pages, however far down the list it is.
 
     The page, at most `PAGE_MOST` rows, is cut before the log is read for its subscribers only.
     """
@@ -113,6 +159,12 @@ def subscribers_page(
         time, last = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
         rows = rows.filter((F.col("created_at") < time) | ((F.col("created_at") == time) & (F.col("id") > last)))
         skip = 0
+    if skip > deep:
+        # In the order of the list: newest first, without a time last; of equal times the lowest id, null first.
+        time = F.coalesce(-F.unix_micros("created_at"), F.lit(1 << 62))
+        number = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
+        rows, skip = from_rank(rows.withColumn("_time", time).withColumn("_number", number), ["_time", "_number"], skip, most)
+        rows = rows.drop("_time", "_number")
     page = rows.orderBy(F.desc("created_at"), "id").offset(skip).limit(most)
     if keyword_after_page:
         page = page.filter(fits)

@@ -16,7 +16,6 @@ from gazette.sources.tables import write_log
 from gazette.streaming import delivery as SD
 from gazette.streaming import entries as SE
 from gazette.streaming import lifecycle as SL
-from gazette.streaming import runs
 from gazette.streaming.seen import first_entries
 
 # --- the SQL side -----------------------------------------------------------------------------
@@ -192,10 +191,8 @@ def stream_entry_dedup(spark, sf):
     count(*) AS n_entries, CAST(max(1000 - 10 * (entry_id % 15)) AS BIGINT) AS best_heat FROM v_nonblank GROUP BY 1, 2""",
 )
 def stream_weekly_feed_stats(spark, sf):
-    stats = SE.weekly_feed_stats(_entries_stream(spark, sf))
-    rows = runs.run_to_table(stats, shared_dir(spark, "stats"), shared_dir(spark, "stats-state"), "update")
-    newest = runs.newest_version(rows, ["week_start", "feed_url"])
-    return newest.withColumn("week_start", F.col("week_start").cast("string"))
+    stats = SE.weekly_feed_table(_entries_stream(spark, sf), shared_dir(spark, "stats"), shared_dir(spark, "stats-state"), most=1)
+    return stats.withColumn("week_start", F.col("week_start").cast("string"))
 
 
 def _actions_stream(spark, sf):

@@ -298,6 +298,12 @@ def subscribers_page(spark, sf):
     )
 
 
+# A page down the list, found by counts of ranges instead of the rows ahead of it.
+@query("subscribers_page_deep", f"SELECT {_ADMIN} FROM v_admin_rows ORDER BY created DESC, id LIMIT 50 OFFSET 70")
+def subscribers_page_deep(spark, sf):
+    return _joined(R.subscribers_page(_subscribers(spark, sf), view(spark, sf, "send_log"), limit=50, offset=70, deep=0))
+
+
 # Every customer that ordered is asked for, some of them many times.
 @query("subscriber_detail", f"SELECT {_ADMIN} FROM v_admin_rows WHERE id IN (SELECT o_custkey FROM orders)")
 def subscriber_detail(spark, sf):

@@ -11,6 +11,7 @@ from gazette.functions import keywords as K
 from gazette.operators import audience as A
 from gazette.operators import integrity as I
 from gazette.operators import reporting as R
+from gazette.operators.common import hot_keys, split_join
 from gazette.operators.issues import upsert_issues
 from gazette.schemas import SEND_LOG, SUBSCRIBERS, WEEKLY_ISSUES
 from gazette.sources.tables import IssueItems, write_lines
@@ -92,6 +93,44 @@ def test_page_filters_keyword_after_the_cut(people, log):
     assert one[6].confirmed_at == "2026-04-02 00:00:00.500000"
 
 
+@pytest.mark.parametrize("skip", [0, 7, 900, 2000, 2590, 2995, 3000, 4000])
+def test_pages_by_rank(spark, skip):
+    # A third of all rows share one time, some have none; ids are far apart.
+    rows = spark.range(3000).select(
+        (F.xxhash64("id") % 10**15).alias("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("2026-01-01").cast("timestamp"))
+        .when(F.col("id") % 50 > 0, F.timestamp_seconds(1767225600 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9_000_000))))
+        .alias("created_at"),
+    ).checkpoint()
+    want = [r.id for r in rows.orderBy(F.desc("created_at"), "id").collect()][skip : skip + 20]
+    keys = rows.withColumn("_t", F.coalesce(-F.unix_micros("created_at"), F.lit(1 << 62)))
+    cut, rest = R.from_rank(keys, ["_t", "id"], skip, 20)
+    assert rest < 20 or not want
+    assert [r.id for r in cut.orderBy("_t", "id").offset(rest).limit(20).collect()] == want
+
+
+def test_deep_pages_equal_shallow_ones(people, log):
+    for skip in range(8):
+        for extra in ({}, {"status": "active"}, {"keyword": "ai", "keyword_after_page": False}):
+            plain, deep = (R.subscribers_page(people, log, limit=2, offset=skip, deep=d, **extra).collect() for d in (4096, 0))
+            assert plain == deep
+
+
+def test_only_hot_keys_are_split(spark):
+    rows = spark.range(9000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("key"))
+    found = hot_keys(rows, ["key"], 32).collect()
+    assert [r["_copies"] for r in found] == [11]  # a third of 32 shares
+    assert hot_keys(rows.filter("key <> 7"), ["key"], 32).count() == 0
+    assert hot_keys(rows.limit(0), ["key"], 32).count() == 0
+    # Keys of another type on the right, rows without a key on the left.
+    left = rows.unionByName(spark.createDataFrame([(-1, None), (-2, None)], "n long, key int"))
+    right = spark.createDataFrame([(7, "a"), (8, "b"), (None, "c"), (1 << 40, "d")], "key long, v string")
+    for how in ("inner", "left", "left_anti"):
+        got = split_join(left, right, ["key"], how, ["n"], tasks=32)
+        want = left.join(right, "key", how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_export(spark, people, tmp_path):
     out = str(tmp_path / "csv")
     write_lines(R.export_lines(people), out)

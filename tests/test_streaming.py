@@ -75,6 +75,55 @@ def test_weekly_stats_drop_late_rows(spark, tmp_path):
     assert got == {"2024-01-01": (7, 1000), "2024-01-08": (7, 930), "2024-01-15": (6, 860)}
 
 
+def weekly_rows():
+    """Rows of 60 days, each day up to two days behind its place, and one that is far too late."""
+    rows = [(i, f"f{i % 3}", T0 + timedelta(days=i // 2 - (i % 3) * 0.5), 1000 - i % 40) for i in range(120)]
+    return [*rows, (999, "f0", T0, 5000)]
+
+
+@pytest.mark.parametrize("parts,most", [(11, 1), (25, 3), (5, 8)])
+def test_weeks_close_once(spark, tmp_path, parts, most):
+    df = spark.createDataFrame(weekly_rows(), "entry_id long, feed_url string, published_at timestamp, heat_score int")
+    stream = arriving(spark, df, tmp_path / "in", "entry_id", parts=parts)
+    got = entries.weekly_feed_table(stream, str(tmp_path / "out"), str(tmp_path / "state"), most=most)
+    versions = runs.run_to_table(entries.weekly_feed_stats(stream), str(tmp_path / "all"), str(tmp_path / "all-state"), "update")
+    want = runs.newest_version(versions, ["week_start", "feed_url"])
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.select(*got.columns).collect())) and len(rows) > 20
+    table = entries.WeeklyTable(spark, str(tmp_path / "out"), entries._weekly(df, "published_at", "2 days").schema, "2 days", most)
+    closed, held = table.closed.read(), table.open.read()
+    assert closed.count() == closed.select(*table.KEY).distinct().count()
+    assert len(table.open.parts()) <= most + 1
+    if most < parts:
+        assert 0 < closed.count() < len(rows) and held.count() < versions.count()
+        assert closed.join(held, "week_start", "left_semi").count() == 0
+
+
+def test_closing_may_be_repeated(spark, tmp_path):
+    shape = "week_start date, feed_url string, n_entries long, best_heat int, week_end timestamp, latest timestamp"
+    table = entries.WeeklyTable(spark, str(tmp_path / "t"), shape, "2 days", most=1)
+
+    def week(n, count):
+        start = T0 + timedelta(days=7 * n)
+        return (start.date(), "f", count, 1, start + timedelta(days=7), start + timedelta(days=6))
+
+    for batch, rows in enumerate([[week(0, 1)], [week(0, 2), week(1, 1)], [week(3, 1)], []]):
+        table.write(spark.createDataFrame(rows, shape), batch)
+    want = sorted(r.n_entries for r in table.read().collect())
+    # Batch 4 is lost after its weeks were closed and before the open rows were merged, then runs again.
+    table.open.add(spark.createDataFrame([week(4, 7)], shape), 4)
+    before = sorted(map(tuple, table.read().collect()))
+    old = table.open.compact
+    table.open.compact = lambda *a, **k: None
+    table.settle(5)
+    assert table.closed.read().count() > 0 and sorted(map(tuple, table.read().collect())) == before
+    table.open.compact = old
+    table.settle(5)
+    table.settle(5)
+    assert sorted(map(tuple, table.read().collect())) == before and want == [1, 1, 2]
+    assert [p.number for p in table.open.parts()] == [4]
+
+
 def test_delivery_stream_is_replay_safe(spark, tmp_path, people, issues, log):  # noqa: F811
     stream = arriving(spark, people, tmp_path / "in", "id")
     path, log_path = str(tmp_path / "mails"), str(tmp_path / "log")
