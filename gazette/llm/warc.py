@@ -11,8 +11,13 @@ frame after the other is one record. Every record is checked: version line, need
 against real lengths, closing blank lines, the payload against its digest; and the number of records
 against the manifest. A damaged archive raises an error.
 
+Equal payloads are found by SHA-256 and length; SHA-1, which can be made to collide, is only the digest that
+records show.
+
 Memory: a task holds one batch of pages, one record and the dictionary. The dictionary is trained on a
-bounded sample (`SAMPLE_PAGES` pages, `SAMPLE_CHARS` of each); it changes sizes, never contents.
+bounded sample: `sample_pages` pages, the smallest by a hash of the id, and of each a slice of up to
+`sample_chars` characters, whole if the page is no longer, else from a place that the hash names. It changes
+sizes, never contents.
 
 Defined cases: a null html is an empty payload, a null url leaves out its header; a page without page_id
 is written without one and never referred to, except that a payload which only such pages have is a
@@ -48,14 +53,16 @@ MANIFEST = "path string, records bigint, bytes bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-def dictionary(pages: DataFrame) -> bytes:
+def dictionary(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> bytes:
     """A dictionary from a bounded sample; of too small a sample its own bytes; of nothing, nothing.
 
     The sample is chosen on ids alone, the smallest by hash, so that only chosen pages are moved.
     """
     known = pages.filter(F.length("html") > 0).select(F.xxhash64("page_id").alias("at"), "html")
-    chosen = known.select("at").distinct().orderBy("at").limit(SAMPLE_PAGES)
-    rows = known.join(F.broadcast(chosen), "at").select("at", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    chosen = known.select("at").distinct().orderBy("at").limit(sample_pages)
+    places = F.greatest(F.length("html") - sample_chars + 1, F.lit(1))
+    slices = F.substr("html", F.pmod(F.xxhash64("at"), places).cast("int") + 1, F.lit(sample_chars))
+    rows = known.join(F.broadcast(chosen), "at").select("at", slices.alias("html"))
     parts = [r["html"].encode() for r in sorted(rows.groupBy("at").agg(F.min("html").alias("html")).collect())]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
@@ -82,23 +89,25 @@ def record(page_id: int | None, url: str | None, body: bytes, digest: str, n_byt
     return ("WARC/1.1\r\n" + "\r\n".join(headers)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(
+    pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """Writes all pages; returns the manifest: path, records and bytes of each archive."""
     spark = pages.sparkSession
     root = shared_dir(spark, "warc")
     slim = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body")
-    ).withColumns({"n_bytes": F.octet_length("body").cast("bigint"), "digest": F.sha1("body")})
+    ).withColumns({"n_bytes": F.octet_length("body").cast("bigint"), "digest": F.sha1("body"), "same": F.sha2("body", 256)})
     heads = (
         slim.filter(F.col("n_bytes") >= LEAST_SHARED)
-        .groupBy("digest", "n_bytes")
+        .groupBy("same", "n_bytes")
         .agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
-        .select("digest", "n_bytes", "head")
+        .select("same", "n_bytes", "head")
     )
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to")
-    rows = slim.join(heads, ["digest", "n_bytes"], "left").select("page_id", "url", "body", "digest", "n_bytes", refers)
-    shared = dictionary(pages.select("page_id", "html"))
+    rows = slim.join(heads, ["same", "n_bytes"], "left").select("page_id", "url", "body", "digest", "n_bytes", refers)
+    shared = dictionary(pages.select("page_id", "html"), sample_pages, sample_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = pyarrow.fs.FileSystem.from_uri(root)

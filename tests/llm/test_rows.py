@@ -227,6 +227,15 @@ def test_archives_come_back(spark):
     assert warc.read_archives(warc.write_archives(pages(spark, []))).count() == 0
 
 
+def test_the_dictionary_takes_slices_from_anywhere(spark):
+    rows = [(i, "".join(chr(97 + (i + j // 500) % 26) for j in range(13_000))) for i in range(40)]
+    pages = spark.createDataFrame([*rows, (None, "x" * 50), (99, None)], "page_id bigint, html string")
+    small = warc.dictionary(pages, sample_pages=3, sample_chars=100)
+    assert 8 <= len(small) <= 300 and small == warc.dictionary(pages.repartition(7), sample_pages=3, sample_chars=100)
+    heads = {t[:100].encode() for _, t in rows}
+    assert not any(h in warc.dictionary(pages, sample_pages=30, sample_chars=100) for h in heads)
+
+
 def test_archives_start_with_their_dictionary(spark):
     rng = random.Random(1)
     rows = [(i, "u", " ".join(rng.choices(["alpha", "beta", "gamma", "delta", str(i)], k=300))) for i in range(100)]
