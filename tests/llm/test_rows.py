@@ -188,6 +188,18 @@ def test_url_verdicts(spark):
     assert url_filter.url_verdicts(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_url_rules_of_the_contract(spark):
+    prepare(spark)
+    want = {
+        "http://x.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://x.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://a.example.net/de/81": ("example.net/de/8", "block"),
+        "http://x.org/es/": ("org/es/", "block"), "http://x.org/de/": (None, "allow"),
+    }
+    urls = list(want)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    assert {urls[r["page_id"]]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, URL_RULES).collect()} == want
+
+
 def test_many_rules_fill_several_words(spark):
     prepare(spark)
     rng = random.Random(4)
