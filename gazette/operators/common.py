@@ -19,6 +19,16 @@ def once(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt out evenly over the shuffle's tasks, for work per row that costs far more than reading it.
+
+    A file of few dense row groups is read by as few tasks. Rows are dealt by their position: no key can be hot
+    and nothing is sorted. The number of tasks is named, so that small rows are not put together again.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, F.monotonically_increasing_id())
+
+
 def first_per(df: DataFrame, keys: list[Column | str], order: list[Column], most: int = 1, rank: str | None = None) -> DataFrame:
     """The first `most` rows of each key.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import payload as P
 from gazette.operators.issues import rejected_answers, with_answer_payload, with_texts
+from gazette.registry.fixtures import view
 
 
 def cleaned(spark, doc, passes=2):
@@ -118,3 +119,15 @@ def test_stored_lists_keep_bare_elements(spark):
     }
     empty = {"simple": {"lines": [], "footer": ""}, "normal": {"top3": [], "sections": []}, "glossary": []}
     assert got[2] == got[3] == got[4] == empty
+
+
+def test_answers_of_one_row_group_are_spread(spark, tmp_path):
+    """A part table of one row group is read by one task; what its answers cost is shared by all."""
+    part = spark.range(4000).selectExpr(
+        "id AS p_partkey", "concat('name ', id) AS p_name", "concat('Brand#', id % 25) AS p_brand", "'SMALL' AS p_type"
+    )
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    answers = view(spark, str(tmp_path), "answers").withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in answers.groupBy("task").count().collect()]
+    assert len(tasks) == 8 and max(tasks) < 1000 and sum(tasks) == 4000
+    assert answers.select("response_id").distinct().count() == 4000
