@@ -14,6 +14,9 @@ from gazette.schemas import DRAFT, READY
 PROMPT_ITEMS, PROMPT_SUMMARY = 60, 500
 SUMMARY_LABEL, LINK_LABEL, HEAT_LABEL = "   摘要: ", "   链接: ", "   热度分: "
 
+#: Issues whose newest answer is looked up by a broadcast of two ids each; those of more issues are joined by a shuffle.
+BROADCAST_ISSUES = 100_000
+
 
 def prompt_corpus(items: DataFrame, keys: list[str], order: list[Column], most: int = PROMPT_ITEMS) -> DataFrame:
     """One numbered text per issue from its first `most` items; at most `most` rows are gathered."""
@@ -56,10 +59,18 @@ def with_texts(payloads: DataFrame) -> DataFrame:
 
 
 def newest_payloads(answers: DataFrame, passes: int = 2) -> DataFrame:
-    """The newest usable answer of each issue with its clean `payload`; every answer is parsed once."""
-    docs = P.extract_answer(answers).filter(F.col("doc").isNotNull()).drop("content")
-    newest = first_per(docs, ["issue_id"], [F.desc("response_id")])
-    return once(newest, payload=P.normalize_payload(F.col("doc"), passes)).drop("doc")
+    """The newest usable answer of each issue with its clean `payload`.
+
+    Which one that is shows in the ids alone, by an aggregate over two numbers, so no answer is sorted or
+    shuffled to find it. Every answer is parsed once, and those found once more, when they are fetched.
+    """
+    usable = P.extract_answer(answers).filter(F.col("doc").isNotNull())
+    newest = usable.groupBy("issue_id").agg(F.max("response_id")).toDF("_issue", "_newest").checkpoint()
+    newest = F.broadcast(newest) if newest.count() <= BROADCAST_ISSUES else newest.hint("merge")
+    same = F.col("issue_id").eqNullSafe(F.col("_issue")) & F.col("response_id").eqNullSafe(F.col("_newest"))
+    docs = P.extract_answer(answers.join(newest, same, "left_semi")).filter(F.col("doc").isNotNull()).drop("content")
+    one = first_per(docs, ["issue_id"], [F.desc("response_id")])  # an id may be there twice
+    return once(one, payload=P.normalize_payload(F.col("doc"), passes)).drop("doc")
 
 
 def one_per_period(issues: DataFrame) -> DataFrame:

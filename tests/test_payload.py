@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.functions import payload as P
+from gazette.operators import issues
 from gazette.operators.issues import rejected_answers, with_answer_payload, with_texts
 from gazette.registry.fixtures import view
 
@@ -131,3 +132,26 @@ def test_answers_of_one_row_group_are_spread(spark, tmp_path):
     tasks = [r["count"] for r in answers.groupBy("task").count().collect()]
     assert len(tasks) == 8 and max(tasks) < 1000 and sum(tasks) == 4000
     assert answers.select("response_id").distinct().count() == 4000
+
+
+NEWEST = [
+    (1, 7, '{"simple": {"footer": "old"}}'), (3, 7, '{"simple": {"footer": "new"}}'), (5, 7, "no object"), (4, 7, "[1]"),
+    (2, 8, '{"simple": {"footer": "twice"}}'), (2, 8, '{"simple": {"footer": "twice"}}'), (2, 8, "broken {"), (9, 9, "none"),
+    (6, None, '{"simple": {"footer": "no issue"}}'), (None, None, "{}"), (None, 10, '{"simple": {"footer": "no id"}}'),
+]
+
+
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_newest_usable_answer(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(issues, "BROADCAST_ISSUES", broadcast)
+    answers = spark.createDataFrame(NEWEST, "response_id long, issue_id long, content string")
+    got = {(r.issue_id, r.response_id, r.payload.simple.footer) for r in issues.newest_payloads(answers).collect()}
+    assert got == {(7, 3, "new"), (8, 2, "twice"), (None, 6, "no issue"), (10, None, "no id")}
+    assert issues.newest_payloads(answers).count() == 4
+
+
+def test_only_the_answers_found_are_sorted(spark):
+    """Sorting every answer with its text takes memory that grows with the answers of a task."""
+    answers = spark.range(1000).selectExpr("id AS response_id", "id % 5 AS issue_id", "'{}' AS content")
+    plan = issues.newest_payloads(answers)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "LeftSemi" in plan[plan.rindex("Window") :]
