@@ -48,13 +48,18 @@ def newest(subscribers: DataFrame, key: Column | str) -> DataFrame:
     return first_per(subscribers, [key], [F.desc("created_at"), F.asc("id")])
 
 
+def holders(requests: DataFrame, subscribers: DataFrame, key: str) -> DataFrame:
+    """The newest subscriber of each `key` that any request asks for, once; only those asked for are ranked."""
+    asked = requests.select(key).distinct()
+    return newest(subscribers.join(asked, key, "left_semi"), key)
+
+
 def lookup(requests: DataFrame, subscribers: DataFrame, key: str) -> DataFrame:
     """Each request row with the newest subscriber that has its `key`; unknown keys drop out.
 
     Only subscribers that are asked for go on; many requests may ask for one key, so they are spread.
     """
-    asked = requests.select(key).distinct()
-    known = newest(subscribers.join(asked, key, "left_semi"), key)
+    known = holders(requests, subscribers, key)
     clash = [c for c in known.columns if c != key and c in requests.columns]
     for c in clash:
         known = known.withColumnRenamed(c, f"subscriber_{c}")

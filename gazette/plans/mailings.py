@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazette.functions.render import BRAND
 from gazette.functions.text import strip
 from gazette.operators import delivery as D
-from gazette.operators.audience import eligible, lookup, target_email
+from gazette.operators.audience import eligible, holders, lookup, target_email
 from gazette.operators.issues import latest_ready_issue, ready_issue_for
 
 
@@ -57,8 +57,7 @@ def resend_latest_plan(
 ) -> DataFrame:
     """Mails asked for by `manage_token`, once per issue and address."""
     issue = latest_ready_issue(issues)
-    holders = eligible(lookup(requests.select("manage_token").distinct(), subscribers, "manage_token"))
-    rows = holders.withColumn("email", strip(F.col("email")))
+    rows = eligible(holders(requests, subscribers, "manage_token")).withColumn("email", strip(F.col("email")))
     todo = D.not_sent(D.fan_out(rows, issue, "resend_latest"), send_log, issue, "resend_latest", issues)
     return _latest(todo, issue, D.LATEST_AGAIN, public_url, brand)
 

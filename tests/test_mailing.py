@@ -97,6 +97,17 @@ def test_other_mailings(spark, people, issues, log):
     assert [(r.subscriber_id, r.kind) for r in rows] == [(1, "manual_resend")] * 2
 
 
+def test_tokens_asked_for_are_gathered_once(spark, issues, log):
+    """Each gathering of the tokens is a hash table of all tokens in a task's share."""
+    token = F.when(F.col("id") < 700, F.concat(F.lit("m"), (F.col("id") % 8).cast("string")))
+    asked = spark.range(777).select(token.alias("manage_token"))
+    again = (*person(8, "h@example.com")[:7], "m3", NOW, NOW)  # the newest holder of m3
+    none = (*person(9, "i@example.com")[:7], None, NOW, NOW)
+    plan = mailings.resend_latest_plan(asked, spark.createDataFrame([*PEOPLE, again, none], SUBSCRIBERS), issues, log, URL)
+    assert sorted(r.subscriber_id for r in plan.collect()) == [1, 4, 7, 8]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 777") == 1
+
+
 def test_matching_and_fallbacks(people, issues, log):
     mails = {r.subscriber_id: r for r in weekly(people, issues, log).collect()}
     one = mails[1]  # line and top3 match; sections and glossary stay whole
