@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gazette.functions import payload as P
 from gazette.operators import issues
 from gazette.operators.issues import rejected_answers, with_answer_payload, with_texts
+from gazette.plans import weekly_issue
+from gazette.registry import catalog
 from gazette.registry.fixtures import view
 
 
@@ -155,3 +157,19 @@ def test_only_the_answers_found_are_sorted(spark):
     answers = spark.range(1000).selectExpr("id AS response_id", "id % 5 AS issue_id", "'{}' AS content")
     plan = issues.newest_payloads(answers)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "LeftSemi" in plan[plan.rindex("Window") :]
+
+
+@pytest.mark.parametrize("name", [
+    "delivery_plan",
+])
+def test_no_query_sorts_every_answer(spark, monkeypatch, name):
+    plans = []
+
+    def newest(answers, passes=2):
+        found = issues.newest_payloads(answers, passes)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(weekly_issue, "newest_payloads", newest)
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "LeftSemi" in plans[0][plans[0].rindex("Window") :]
