@@ -160,7 +160,7 @@ def test_only_the_answers_found_are_sorted(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "delivery_plan", "digest_filter", "issue_fanout", "issue_upsert", "manual_resend_plan",
+    "delivery_plan", "digest_filter", "issue_fanout", "issue_upsert", "manual_resend_plan", "no_match_banner",
 ])
 def test_no_query_sorts_every_answer(spark, monkeypatch, name):
     plans = []
