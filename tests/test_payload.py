@@ -161,7 +161,7 @@ def test_only_the_answers_found_are_sorted(spark):
 
 @pytest.mark.parametrize("name", [
     "delivery_plan", "digest_filter", "issue_fanout", "issue_upsert", "manual_resend_plan", "no_match_banner",
-    "resend_latest_plan", "send_log_append",
+    "resend_latest_plan", "send_log_append", "stream_delivery",
 ])
 def test_no_query_sorts_every_answer(spark, monkeypatch, name):
     plans = []
