@@ -14,7 +14,8 @@ from gazette.schemas import DRAFT, READY
 PROMPT_ITEMS, PROMPT_SUMMARY = 60, 500
 SUMMARY_LABEL, LINK_LABEL, HEAT_LABEL = "   摘要: ", "   链接: ", "   热度分: "
 
-#: Issues whose newest answer is looked up by a broadcast of two ids each; those of more issues are joined by a shuffle.
+#: Issues whose newest answer is looked up by a broadcast of two ids each; those of more issues are joined by a shuffle that
+#: hashes the ids, so that the answers pass unsorted there too.
 BROADCAST_ISSUES = 100_000
 
 
@@ -66,7 +67,7 @@ def newest_payloads(answers: DataFrame, passes: int = 2) -> DataFrame:
     """
     usable = P.extract_answer(answers).filter(F.col("doc").isNotNull())
     newest = usable.groupBy("issue_id").agg(F.max("response_id")).toDF("_issue", "_newest").checkpoint()
-    newest = F.broadcast(newest) if newest.count() <= BROADCAST_ISSUES else newest.hint("merge")
+    newest = F.broadcast(newest) if newest.count() <= BROADCAST_ISSUES else newest.hint("shuffle_hash")
     same = F.col("issue_id").eqNullSafe(F.col("_issue")) & F.col("response_id").eqNullSafe(F.col("_newest"))
     docs = P.extract_answer(answers.join(newest, same, "left_semi")).filter(F.col("doc").isNotNull()).drop("content")
     one = first_per(docs, ["issue_id"], [F.desc("response_id")])  # an id may be there twice

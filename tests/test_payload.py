@@ -159,6 +159,14 @@ def test_only_the_answers_found_are_sorted(spark):
     assert "Window" in plan and "LeftSemi" in plan[plan.rindex("Window") :]
 
 
+def test_answers_of_many_issues_are_not_sorted(spark, monkeypatch):
+    """More issues than a broadcast takes: the ids are hashed, and the answers pass by them as they come."""
+    monkeypatch.setattr(issues, "BROADCAST_ISSUES", 0)
+    answers = spark.range(1000).selectExpr("id AS response_id", "id % 500 AS issue_id", "'{}' AS content")
+    plan = issues.newest_payloads(answers)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("name", [
     "delivery_plan", "digest_filter", "issue_fanout", "issue_upsert", "manual_resend_plan", "no_match_banner",
     "resend_latest_plan", "send_log_append", "stream_delivery",
